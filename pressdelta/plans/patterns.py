@@ -3,6 +3,7 @@
 * `top_per_group`    top-k per key in two rounds, so that no task sorts a whole hot key
 * `group_quantiles`  exact quantiles per key from value histograms, never from collected values
 * `previous_row`     previous row per key by time chunk, so that a hot key is spread over many tasks
+* `carry_forward`    latest non-null value per key, in the same way
 * `small`            broadcast hint behind a measured size
 """
 
@@ -35,7 +36,7 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return kept.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, step: float, q: float = 0.5,
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, step: float, q: float | Column = 0.5,
                     out: str = "quantile", count: str = "n") -> DataFrame:
     """Exact interpolated quantile of `value` per key: (keys, n, quantile).
 
@@ -50,7 +51,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, step: float,
     w = W.partitionBy(*keys)
     cum = w.orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = (hist.withColumn("__upto", F.sum("__c").over(cum)).withColumn(count, F.sum("__c").over(w))
-              .withColumn("__pos", (F.col(count) - 1) * F.lit(float(q)))
+              .withColumn("__pos", F.round((F.col(count) - 1) * (q if isinstance(q, Column) else F.lit(float(q))), 6))
               .withColumn("__lo", F.floor("__pos")).withColumn("__hi", F.ceil("__pos")))
     before = F.col("__upto") - F.col("__c")
     # ranks are 0-based; a bucket holds [before, upto)
@@ -86,6 +87,17 @@ def previous_row(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[s
     return out.select(*df.columns, *[F.col(f"__prev.{c}").alias(prefix + c) for c in cols])
 
 
+def carry_forward(df: DataFrame, key: str, order: Sequence[str], value: str, out: str, chunk: Column) -> DataFrame:
+    """Latest non-null `value` of the key up to and including the row.  As `previous_row`, chunk by chunk."""
+    d = df.withColumn("__chunk", chunk)
+    run = W.partitionBy(key, "__chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = d.withColumn("__local", F.last(value, ignorenulls=True).over(run))
+    tails = d.groupBy(key, "__chunk").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__tail"))
+    before = W.partitionBy(key).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = tails.withColumn("__carry", F.last("__tail", ignorenulls=True).over(before)).select(key, "__chunk", "__carry")
+    return local.join(carried, [key, "__chunk"], "left").select(*df.columns, F.coalesce("__local", "__carry").alias(out))
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint when Spark's own size estimate of the plan is under the limit; otherwise the plan as it is."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
