@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from pressdelta import constants as K
@@ -17,8 +19,14 @@ def rx(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iu)" if ignore_case else "") + pattern.replace(r"\b", BOUNDARY)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value for an expression.  A column that is used inside the lambda of an array function would be computed
+    again for every element once Spark merges the projections; a bound value is computed once per row."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+\\z", "")
 
 
 def collapse_ws(c: Column) -> Column:
@@ -76,14 +84,21 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def norm_words(c: Column) -> Column:
     """Normalised non-empty words, with repeats."""
-    return F.filter(F.transform(split_words(c), norm_token), lambda w: w != "")
+    return F.filter(F.transform(split_words(c), lambda w: norm_token(w)), lambda w: w != "")
+
+
+def occurrences(words: Column, wanted: Column) -> Column:
+    """The words of a list, repeats included, that are in a (small) set; both already bound."""
+    return F.filter(words, lambda w: F.array_contains(wanted, w))
 
 
 def word_overlap(a: Column, b: Column) -> Column:
     """Occurrences in a of words that b has, over the size of the union set.  Repeats can push it above 1."""
-    x, y = norm_words(a), norm_words(b)
-    common = F.size(F.filter(x, lambda w: F.array_contains(y, w))).cast("double")
-    return common / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
+    def ratio(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        missing = let(F.array_except(x, y), lambda d: F.size(occurrences(x, d)))
+        return (F.size(x) - missing).cast("double") / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
+    return let(F.struct(norm_words(a).alias("x"), norm_words(b).alias("y")), ratio)
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -145,7 +160,7 @@ def cut_head(c: Column, n: int) -> Column:
 
 def cut_tail(c: Column, n: int) -> Column:
     """First n characters, ending at a word."""
-    return F.regexp_replace(F.substring(c, 1, n), f"[{WS}]+[^{WS}]*$", "")
+    return F.regexp_replace(F.substring(c, 1, n), f"[{WS}]+[^{WS}]*\\z", "")
 
 
 def clip(c: Column, n: int) -> Column:
@@ -159,7 +174,7 @@ def contains_ci(c: Column, q: str) -> Column:
 
 def split_paragraphs(body: Column) -> Column:
     """Lines of a text as normalised paragraphs: decoded, 60 characters or more, no boilerplate."""
-    lines = F.transform(F.split(body, "\\n+"), decode_entities)
+    lines = F.transform(F.split(body, "\\n+"), lambda p: decode_entities(p))
     return F.filter(lines, lambda p: (F.length(p) >= K.PARA_MIN_CHARS) & ~p.rlike(rx(K.BOILERPLATE)))
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pressdelta import constants as K
-from pressdelta.functions.text import decode_entities, fingerprint, letter_tokens, rx, split_paragraphs, trim_ws, WS
+from pressdelta.functions.text import WS, decode_entities, fingerprint, let, letter_tokens, occurrences, split_paragraphs, trim_ws
 from pressdelta.functions.timeutil import as_ts, seconds_between
 from pressdelta.operators.context import real_date_shift
 from pressdelta.operators.url_jobs import url_kind
@@ -67,12 +67,12 @@ def version_pairs(versions: DataFrame, cols: list[str], key: str = "article_id",
 
 def para_diff(pairs: DataFrame) -> DataFrame:
     """Added and removed paragraphs.  Repeated additions count, removals count once; a pure re-order changes nothing."""
-    old, new = F.coalesce("prev_para_fps", F.array().cast("array<string>")), F.col("para_fps")
-    return pairs.withColumns({
-        "added_count": F.size(F.filter(new, lambda f: ~F.array_contains(old, f))).cast("bigint"),
-        "removed_count": F.size(F.array_except(old, new)).cast("bigint"),
-        "added_fps": F.array_except(new, old), "removed_fps": F.array_except(old, new),
-    })
+    def diff(s: Column) -> Column:
+        sets = F.struct(F.array_except(s["new"], s["old"]).alias("added"), F.array_except(s["old"], s["new"]).alias("removed"))
+        return let(sets, lambda x: F.struct(x["added"].alias("added"), x["removed"].alias("removed"), F.size(occurrences(s["new"], x["added"])).cast("bigint").alias("n")))
+    sides = F.struct(F.coalesce("prev_para_fps", F.array().cast("array<string>")).alias("old"), F.col("para_fps").alias("new"))
+    d = pairs.withColumn("__d", let(sides, diff))
+    return d.withColumns({"added_count": F.col("__d.n"), "removed_count": F.size("__d.removed").cast("bigint"), "added_fps": F.col("__d.added"), "removed_fps": F.col("__d.removed")}).drop("__d")
 
 
 def title_changed(old: Column, new: Column) -> Column:
@@ -283,8 +283,8 @@ def with_change_facts(captures: DataFrame) -> DataFrame:
     old_paras, new_paras = F.coalesce("prev_paras", F.array().cast("array<string>")), F.col("paras")
     first = F.col("prev_content_hash").isNull()
     d = d.withColumns({
-        "removed_texts": F.filter(old_paras, lambda p: ~F.array_contains("para_fps", fingerprint(p))),
-        "added_texts": F.array_distinct(F.filter(new_paras, lambda p: F.array_contains("added_fps", fingerprint(p)))),
+        "removed_texts": let(F.col("removed_fps"), lambda f: F.filter(old_paras, lambda p: F.array_contains(f, fingerprint(p)))),
+        "added_texts": let(F.col("added_fps"), lambda f: F.array_distinct(F.filter(new_paras, lambda p: F.array_contains(f, fingerprint(p))))),
         "title_edit": title_changed(F.col("prev_title"), F.col("title")), "meta_edits": meta_edits(),
         "sig": flip_signature(F.coalesce("prev_para_fps", F.array().cast("array<string>")), F.col("para_fps")),
     })

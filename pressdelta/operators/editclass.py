@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressdelta import constants as K
-from pressdelta.functions.text import common_prefix, is_name, norm_token, norm_words, number_tokens, rx, simple_numbers, split_words, strip_punct
+from pressdelta.functions.text import common_prefix, is_name, let, norm_token, norm_words, number_tokens, occurrences, rx, simple_numbers, split_words, strip_punct
 
 TAG = "struct<key:string,reason:string>"
 
@@ -23,11 +21,12 @@ def headline_kind(before: Column, after: Column) -> Column:
 
 def word_set_diff(df: DataFrame, before: str, after: str) -> DataFrame:
     """Words of both sides with a flag: changed when the normal form is absent on the other side."""
-    b, a = split_words(F.col(before)), split_words(F.col(after))
     forms = lambda words: F.transform(words, lambda w: norm_token(w, inner=True))
-    df = df.withColumns({"__b": b, "__a": a}).withColumns({"__bf": forms(F.col("__b")), "__af": forms(F.col("__a"))})
-    flag = lambda words, other: F.transform(F.col(words), lambda w: F.struct(w.alias("text"), (~F.array_contains(F.col(other), norm_token(w, inner=True))).alias("changed")))
-    return df.withColumns({"before_words": flag("__b", "__af"), "after_words": flag("__a", "__bf")}).drop("__b", "__a", "__bf", "__af")
+    sides = F.struct(split_words(F.col(before)).alias("b"), split_words(F.col(after)).alias("a"))
+    flag = lambda words, other: let(forms(other), lambda f: F.transform(words, lambda w: F.struct(w.alias("text"), (~F.array_contains(f, norm_token(w, inner=True))).alias("changed"))))
+    pair = let(sides, lambda s: F.struct(flag(s["b"], s["a"]).alias("b"), flag(s["a"], s["b"]).alias("a")))
+    df = df.withColumn("__pair", pair)
+    return df.withColumns({"before_words": F.col("__pair.b"), "after_words": F.col("__pair.a")}).drop("__pair")
 
 
 def _lexicon(words: tuple[str, ...]) -> Column:
@@ -38,49 +37,72 @@ def _first(arr: Column) -> Column:
     return F.get(arr, F.lit(0))
 
 
-def with_pair_tags(df: DataFrame, old: str = "old", new: str = "new", out: str = "tags") -> DataFrame:
+def pair_tags(o: Column, n: Column) -> Column:
     """Tags of a text pair: array<struct<key,reason>>, at least one ('rephrase').
 
-    The word lists are made in one projection each, so that Spark computes them once per row.
+    Words are cut once per row; set differences are hashed array operations, and the lists with repeats are only built
+    from them where a tag can still apply.
     """
-    o, n = F.col(old), F.col(new)
-    df = df.withColumns({"__ow": split_words(o), "__on": norm_words(o), "__nn": norm_words(n), "__onum": number_tokens(o), "__nnum": number_tokens(n)})
-    c = F.col
-    absent = lambda xs, ys: F.filter(c(xs), lambda w: ~F.array_contains(c(ys), w))
-    df = df.withColumns({
-        "__rem": absent("__on", "__nn"), "__add": absent("__nn", "__on"),
-        "__overlap": F.size(F.filter(c("__on"), lambda w: F.array_contains(c("__nn"), w))) / F.greatest(F.size(F.array_union("__on", "__nn")), F.lit(1)).cast("double"),
-        "__gone": _first(absent("__onum", "__nnum")), "__came": _first(absent("__nnum", "__onum")),
-        "__names": F.filter(c("__ow"), lambda w: is_name(w) & ~F.array_contains(c("__nn"), norm_token(w)) & ~norm_token(w).isin(*K.HEDGE_WORDS)),
-    })
-    within = lambda arr, words: F.filter(c(arr), lambda w: w.isin(*words))
-    df = df.withColumns({"__hcame": within("__add", K.HEDGE_WORDS), "__hgone": within("__rem", K.HEDGE_WORDS), "__heat_in": within("__add", K.HEAT_WORDS), "__heat_out": within("__rem", K.HEAT_WORDS)})
+    words = F.struct(split_words(o).alias("ow"), norm_words(o).alias("on"), norm_words(n).alias("nn"), number_tokens(o).alias("onum"), number_tokens(n).alias("nnum"))
+
+    def sets(w: Column) -> Column:
+        diff = F.struct(F.array_except(w["on"], w["nn"]).alias("rem"), F.array_except(w["nn"], w["on"]).alias("add"),
+                        _first(F.array_except(w["onum"], w["nnum"])).alias("gone"), _first(F.array_except(w["nnum"], w["onum"])).alias("came"))
+        return let(diff, lambda d: _tags(o, n, w, d))
+
+    return let(words, sets)
+
+
+def _tags(o: Column, n: Column, w: Column, d: Column) -> Column:
+    within = lambda xs, changed, lexicon: occurrences(F.filter(xs, lambda x: x.isin(*lexicon)), changed)
+    marks = F.struct(within(w["nn"], d["add"], K.HEDGE_WORDS).alias("hedge_in"), within(w["on"], d["rem"], K.HEDGE_WORDS).alias("hedge_out"),
+                     within(w["nn"], d["add"], K.HEAT_WORDS).alias("heat_in"), within(w["on"], d["rem"], K.HEAT_WORDS).alias("heat_out"), _factual(w, d).alias("fact"))
+    return let(marks, lambda m: _tag_list(o, n, w, d, m))
+
+
+def _number_change(w: Column, d: Column) -> tuple[Column, Column, Column]:
+    gone, came = d["gone"].isNotNull(), d["came"].isNotNull()
+    return gone & came, gone & (F.size(w["nnum"]) == 0), came & (F.size(w["onum"]) == 0)
+
+
+def _factual(w: Column, d: Column) -> Column:
+    """Numbers differ while at least 40 % of the words stay."""
+    swap, drop, gain = _number_change(w, d)
+    kept = F.size(w["on"]) - F.size(occurrences(w["on"], d["rem"]))
+    overlap = kept.cast("double") / F.greatest(F.size(F.array_union(w["on"], w["nn"])), F.lit(1))
+    return F.when(swap | drop | gain, overlap >= 0.4).otherwise(F.lit(False))
+
+
+def _tag_list(o: Column, n: Column, w: Column, d: Column, m: Column) -> Column:
     q = lambda x: F.concat(F.lit("„"), x, F.lit('"'))
     tag = lambda key, reason, cond: F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(key).alias("key"), reason.alias("reason")))
-
-    enough = c("__overlap") >= 0.4
-    swap, drop, gain = c("__gone").isNotNull() & c("__came").isNotNull(), c("__gone").isNotNull() & (F.size("__nnum") == 0), c("__came").isNotNull() & (F.size("__onum") == 0)
-    fact = enough & (swap | drop | gain)
-    fact_reason = F.when(swap, F.concat(F.lit("Zahl geändert: "), c("__gone"), F.lit(" → "), c("__came"))).when(drop, F.concat(F.lit("Zahl entfernt: "), c("__gone"))).otherwise(F.concat(F.lit("Zahl ergänzt: "), c("__came")))
-    a, b = _first(c("__rem")), _first(c("__add"))
-    single = (F.size("__rem") == 1) & (F.size("__add") == 1) & ~F.concat(a, b).rlike(r"\d")
-    typo = single & (F.levenshtein(a, b) > 0) & (F.levenshtein(a, b) <= 2) & (F.greatest(F.length(a), F.length(b)) >= 5) & (common_prefix(a, b) >= 3)
+    swap, drop, _ = _number_change(w, d)
+    fact_reason = F.when(swap, F.concat(F.lit("Zahl geändert: "), d["gone"], F.lit(" → "), d["came"])).when(drop, F.concat(F.lit("Zahl entfernt: "), d["gone"])).otherwise(F.concat(F.lit("Zahl ergänzt: "), d["came"]))
+    a, b = _first(d["rem"]), _first(d["add"])
+    times = lambda xs, x: F.size(xs) - F.size(F.array_remove(xs, x))
+    single = (F.size(d["rem"]) == 1) & (F.size(d["add"]) == 1) & (times(w["on"], a) == 1) & (times(w["nn"], b) == 1) & ~F.concat(a, b).rlike(r"\d")
+    typo = F.when(single, (F.levenshtein(a, b) > 0) & (F.levenshtein(a, b) <= 2) & (F.greatest(F.length(a), F.length(b)) >= 5) & (common_prefix(a, b) >= 3))
     phrase_o, phrase_n = o.rlike(rx(K.HEDGE_PHRASE)), n.rlike(rx(K.HEDGE_PHRASE))
-    hedge_in = (F.size("__hcame") > 0) | (phrase_n & ~phrase_o)
-    hedge_out = (F.size("__hgone") > 0) | (phrase_o & ~phrase_n)
-    hedge_reason = F.when(hedge_in, F.concat(F.lit("Absicherung eingefügt: "), q(F.coalesce(_first(c("__hcame")), F.lit("nach Angaben"))))).otherwise(
-        F.concat(F.lit("Absicherung entfernt: "), q(F.coalesce(_first(c("__hgone")), F.lit("nach Angaben")))))
-    anon = (F.size("__names") > 0) & F.exists(c("__add"), lambda w: w.isin(*K.ROLE_WORDS))
-    sharper = (F.size("__heat_in") > 0) & (F.size("__heat_in") >= F.size("__heat_out")) & ~fact
-    softer = (F.size("__heat_out") > 0) & (F.size("__heat_out") > F.size("__heat_in")) & ~fact
-    df = df.withColumn(out, F.filter(F.array(
-        tag("factual", fact_reason, fact), tag("typo", F.concat(F.lit("Schreibweise: "), q(a), F.lit(" → "), q(b)), typo), tag("attribution", hedge_reason, hedge_in | hedge_out),
-        tag("anonymization", F.concat(F.lit("Name entfernt: "), q(F.array_join(F.transform(F.slice("__names", 1, 2), strip_punct), " "))), anon),
-        tag("sharpened", F.concat(F.lit("Wertung eingefügt: "), q(_first(c("__heat_in")))), sharper),
-        tag("toned", F.concat(F.lit("Wertung entfernt: "), q(_first(c("__heat_out")))), ~sharper & softer)), lambda x: x.isNotNull()).cast(f"array<{TAG}>"))
+    hedged = (F.size(m["hedge_in"]) > 0) | (phrase_n & ~phrase_o)
+    unhedged = (F.size(m["hedge_out"]) > 0) | (phrase_o & ~phrase_n)
+    word = lambda xs: q(F.coalesce(_first(xs), F.lit("nach Angaben")))
+    hedge_reason = F.when(hedged, F.concat(F.lit("Absicherung eingefügt: "), word(m["hedge_in"]))).otherwise(F.concat(F.lit("Absicherung entfernt: "), word(m["hedge_out"])))
+    role = F.exists(d["add"], lambda x: x.isin(*K.ROLE_WORDS))
+    lost_names = F.when(role, F.filter(w["ow"], lambda x: is_name(x) & F.array_contains(d["rem"], norm_token(x)) & ~norm_token(x).isin(*K.HEDGE_WORDS)))
+    name_reason = F.concat(F.lit("Name entfernt: "), q(F.array_join(F.transform(F.slice(lost_names, 1, 2), strip_punct), " ")))
+    hot, cold = F.size(m["heat_in"]), F.size(m["heat_out"])
+    sharper = (hot > 0) & (hot >= cold) & ~m["fact"]
+    softer = (cold > 0) & (cold > hot) & ~m["fact"]
+    found = F.filter(F.array(
+        tag("factual", fact_reason, m["fact"]), tag("typo", F.concat(F.lit("Schreibweise: "), q(a), F.lit(" → "), q(b)), typo), tag("attribution", hedge_reason, hedged | unhedged),
+        tag("anonymization", name_reason, F.size(lost_names) > 0), tag("sharpened", F.concat(F.lit("Wertung eingefügt: "), q(_first(m["heat_in"]))), sharper),
+        tag("toned", F.concat(F.lit("Wertung entfernt: "), q(_first(m["heat_out"]))), ~sharper & softer)), lambda x: x.isNotNull()).cast(f"array<{TAG}>")
     fallback = F.array(F.struct(F.lit("rephrase").alias("key"), F.lit("gleiche Aussage, neu formuliert").alias("reason"))).cast(f"array<{TAG}>")
-    df = df.withColumn(out, F.when(F.size(out) == 0, fallback).otherwise(c(out)))
-    return df.drop(*[x for x in df.columns if x.startswith("__")])
+    return let(found, lambda t: F.when(F.size(t) == 0, fallback).otherwise(t))
+
+
+def with_pair_tags(df: DataFrame, old: str = "old", new: str = "new", out: str = "tags") -> DataFrame:
+    return df.withColumn(out, pair_tags(F.col(old), F.col(new)))
 
 
 def tag_rank(key: Column) -> Column:

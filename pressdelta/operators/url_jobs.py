@@ -11,7 +11,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pressdelta import constants as K
-from pressdelta.functions.text import pretty, rx, strip_accents
+from pressdelta.functions.text import let, pretty, rx, strip_accents
 from pressdelta.plans.patterns import top_per_group
 from pressdelta.sources.tables import Tables
 
@@ -180,15 +180,16 @@ def url_rubric(c: Column) -> Column:
 
 def canon_category(label: Column) -> Column:
     """Category of a rubric label: federal state, then the multilingual groups, else its first word of 3 letters."""
-    norm = F.trim(F.regexp_replace(F.regexp_replace(strip_accents(F.lower(label)), "[^a-z ]", " "), r"\s+", " "))
-    words = F.split(norm, r"\s+")
-    out = None
-    for key, _, names in K.FEDERAL_STATES:
-        cond = reduce(or_, [norm.contains(n) for n in names])
-        out = F.when(cond, key) if out is None else out.when(cond, key)
-    for key, _, names in K.CANON_CATEGORIES:
-        out = out.when(reduce(or_, [norm.contains(n) for n in names]), key)
-    return out.otherwise(F.get(F.filter(words, lambda w: F.length(w) >= 3), F.lit(0)))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(strip_accents(F.lower(label)), "[^a-z ]", " "), r"\s+", " "))
+
+    def pick(norm: Column) -> Column:
+        out = None
+        for key, _, names in (*K.FEDERAL_STATES, *K.CANON_CATEGORIES):
+            cond = reduce(or_, [norm.contains(n) for n in names])
+            out = F.when(cond, key) if out is None else out.when(cond, key)
+        return out.otherwise(F.get(F.filter(F.split(norm, r"\s+"), lambda w: F.length(w) >= 3), F.lit(0)))
+
+    return let(clean, pick)
 
 
 def canon_label(key: Column, fallback: Column) -> Column:
