@@ -362,17 +362,27 @@ def with_date_track(captures: DataFrame) -> DataFrame:
     return j.withColumn("published_track", F.when(bump, F.col("reported_pub")).otherwise(F.col("published_stored")))
 
 
-def apply_sitemap_dates(articles: DataFrame, dates: DataFrame) -> DataFrame:
-    """Sitemap dates (url, at, precise) on existing articles: a precise date refines to the earlier one and a later one
-    counts as modification; an imprecise date only fills a gap."""
-    d = dates.groupBy("url").agg(F.min(F.when(F.col("precise"), F.col("at"))).alias("lo"), F.max(F.when(F.col("precise"), F.col("at"))).alias("hi"), F.min(F.when(~F.col("precise"), F.col("at"))).alias("guess"))
-    j = articles.join(d, "url", "left")
+def date_bounds(dates: DataFrame) -> DataFrame:
+    """Sitemap dates (url, at, precise) per URL: earliest and latest precise date, earliest imprecise one.  Minima and
+    maxima do not depend on the order of arrival, so the same aggregation serves a stream with late rows."""
+    at = lambda cond: F.when(cond, F.col("at"))
+    return dates.groupBy("url").agg(F.min(at(F.col("precise"))).alias("lo"), F.max(at(F.col("precise"))).alias("hi"), F.min(at(~F.col("precise"))).alias("guess"))
+
+
+def apply_date_bounds(articles: DataFrame, bounds: DataFrame) -> DataFrame:
+    """A precise date refines to the earlier one and a later one counts as modification; an imprecise one fills a gap."""
+    j = articles.join(bounds, "url", "left")
     old = F.col("published_at")
     return j.withColumns({
         "modified_at": F.when(old.isNotNull() & (F.col("hi") > old), F.greatest("modified_at", "hi")).otherwise(F.col("modified_at")),
         "published_at": F.coalesce(F.least(old, "lo"), "guess")}).select(*articles.columns)
 
 
+def apply_sitemap_dates(articles: DataFrame, dates: DataFrame) -> DataFrame:
+    """Sitemap dates on existing articles."""
+    return apply_date_bounds(articles, date_bounds(dates))
+
+
 def sitemap_stubs(articles: DataFrame, dates: DataFrame) -> DataFrame:
     """URLs with a sitemap date that have no article yet: (source_id, url, published_at)."""
     best = dates.groupBy("source_id", "url").agg(F.coalesce(F.min(F.when(F.col("precise"), F.col("at"))), F.min("at")).alias("published_at"))

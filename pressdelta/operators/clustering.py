@@ -79,8 +79,8 @@ def similar_pairs(vectors: DataFrame, k: int = NEIGHBOURS, threshold: float = TH
     probes = homes.select("g", "embedding").mapInPandas(probe, "g bigint, embedding array<double>, cell int, part int")
     # queries of one (cell, part) are cut as well, so that both sides of a task are bounded
     queries = probes.withColumn("block", F.pmod(F.xxhash64("g", F.lit(11)), F.lit(max(1, sum(chunks.values())))).cast("int"))
-    blocks = queries.select("cell", "part", "block").distinct()
-    sided = members.join(blocks, ["cell", "part"])
+    blocks = queries.select(F.col("cell").alias("m_cell"), F.col("part").alias("m_part"), F.col("block").alias("m_block")).distinct()
+    sided = members.join(blocks, (F.col("cell") == F.col("m_cell")) & (F.col("part") == F.col("m_part"))).select("g", "embedding", "m_cell", "m_part", "m_block")
 
     def best(key, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         sims = _unit(q.embedding) @ _unit(m.embedding).T
@@ -89,7 +89,7 @@ def similar_pairs(vectors: DataFrame, k: int = NEIGHBOURS, threshold: float = TH
         # a vector itself is among its members: k + 1 of each block are enough
         return out.sort_values(["a", "similarity", "b"], ascending=[True, False, True]).groupby("a").head(k + 1)
 
-    found = queries.groupBy("cell", "part", "block").cogroup(sided.groupBy("cell", "part", "block")).applyInPandas(best, "a bigint, b bigint, similarity double")
+    found = queries.groupBy("cell", "part", "block").cogroup(sided.groupBy("m_cell", "m_part", "m_block")).applyInPandas(best, "a bigint, b bigint, similarity double")
     order = [F.desc(F.round("similarity", 9)), F.asc("b")]
     top = found.withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy(*order))).filter(F.col("rn") <= k + 1).drop("rn")
     # copies: every article of a vector sees the first k + 1 articles of a neighbouring vector

@@ -272,7 +272,7 @@ SIGNALS = {
     "has_comments": lambda html, ld, ads: reduce(or_, [html.contains(m) for m in COMMENT_MARKERS]),
     "ad_signal": lambda html, ld, ads: ads,
     "paywalled": lambda html, ld, ads: F.when(_flags(ld)[0], _flags(ld)[2] & ~_flags(ld)[1]).otherwise(reduce(or_, [html.contains(m) for m in PAYWALL_MARKERS])),
-    "is_liveblog": lambda html, ld, ads: F.exists(ld, lambda v: _get(v, "$['@type']") == "LiveBlogPosting") | html.rlike("liveblog|live-blog|live-?ticker"),
+    "is_liveblog": lambda html, ld, ads: F.coalesce(F.exists(ld, lambda v: F.coalesce(_get(v, "$['@type']") == "LiveBlogPosting", F.lit(False))), F.lit(False)) | html.rlike("liveblog|live-blog|live-?ticker"),
     "body_chars": lambda html, ld, ads: F.length(F.regexp_replace(html, "<[^>]+>", "")),
 }
 

@@ -90,14 +90,15 @@ def select_rescans(t: Tables, now, budget: int, sources: DataFrame | None = None
     # a URL belongs to the first stage that offers it
     first = pool.groupBy("url").agg(F.min_by(F.struct("source_id", "last_seen", "id", "stage", "no", "slice"), "no").alias("x")).select("url", "x.*")
     ranked = first.withColumn("rn", F.row_number().over(W.partitionBy("stage").orderBy("last_seen", "id")))
-    have = ranked.groupBy("no").agg(F.count("*").alias("k"))
-    avail = have.agg(F.map_from_entries(F.collect_list(F.struct("no", "k"))).alias("m")).select("m").scalar()
-    taken, left, takes = F.lit(0), F.lit(budget), []
-    for i, (_, _, cap) in enumerate(stages):
-        take = F.least(F.greatest(left, F.lit(0)), F.lit(cap), F.coalesce(F.try_element_at(avail, F.lit(i)), F.lit(0)))
-        takes.append(take)
-        left = left - take
-    limits = F.array(*takes)
+    have = ranked.groupBy("no").agg(F.count("*").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("no", "k"))).alias("m"))
+    steps = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(cap).cast("bigint").alias("cap")) for i, (_, _, cap) in enumerate(stages)])
+    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast("array<bigint>").alias("takes"))
+
+    def roll(acc: Column, step: Column) -> Column:
+        take = F.least(acc["left"], step["cap"], F.coalesce(F.try_element_at("m", step["no"]), F.lit(0)))
+        return F.struct((acc["left"] - take).alias("left"), F.concat(acc["takes"], F.array(take)).alias("takes"))
+
+    limits = have.select(F.aggregate(steps, start, roll, lambda acc: acc["takes"]).alias("takes")).select("takes").scalar()
     return ranked.withColumn("__lim", F.get(limits, F.col("no"))).filter(F.col("rn") <= F.col("__lim")).select("url", "source_id", "stage", F.col("rn").cast("bigint").alias("rn"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pressdelta import constants as K
 from pressdelta.functions.text import let, pretty, rx, strip_accents
 from pressdelta.plans.patterns import top_per_group
+from pressdelta.session import checkpoint_dir
 from pressdelta.sources.tables import Tables
 
 # --- fixed values: publisher hosts, URL patterns ------------------------------------------------------------------
@@ -237,6 +238,9 @@ def section_tree(pages: DataFrame, max_children: int = 6) -> DataFrame:
     up = n.select("source_id", F.col("path").alias("parent"), F.col("kind").alias("p_kind"), F.col("children").alias("p_children"))
     absorbed = F.coalesce((F.col("p_children") == 1) & (F.col("p_kind") == "section") & (F.col("kind") == "section") & (F.col("children") > 0), F.lit(False))
     n = n.join(up, ["source_id", "parent"], "left").withColumn("absorbed", absorbed)
+    # the node table is read many times below and is small against the pages: fix it once
+    checkpoint_dir(pages.sparkSession)
+    n = n.checkpoint()
     # the shown node of a path is its deepest prefix that was not absorbed
     prefixes = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     sections_only = n.filter(F.col("children") > 0).select("source_id", "path", "depth", "absorbed")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from pressdelta.session import checkpoint_dir
 from pressdelta.sources.tables import Tables
 
 
@@ -63,7 +64,13 @@ def export_csv(df: DataFrame, path: str, header: dict[str, str] | None = None) -
 
 
 def numbered(df: DataFrame, order: list) -> DataFrame:
-    """Row number of the exported view as first column '#'.  The number needs the whole order: partitions are ranked by
-    range first and numbered with their offsets."""
-    sorted_df = df.orderBy(*order)
-    return sorted_df.sparkSession.createDataFrame(sorted_df.rdd.zipWithIndex().map(lambda x: (x[1] + 1, *x[0])), "`#` bigint, " + ", ".join(f"`{n}` {t}" for n, t in df.dtypes))
+    """Row number of the exported view as first column '#'.  The sorted rows are fixed by a checkpoint; each partition
+    then adds the number of rows before it, so no task sees the whole view."""
+    checkpoint_dir(df.sparkSession)
+    fixed = df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("__m", 33)
+    sizes = fixed.groupBy(part.alias("__p")).agg(F.count("*").alias("c"))
+    # one row per partition of the view
+    before = sizes.withColumn("__before", F.sum("c").over(W.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(W.unboundedPreceding, -1))).drop("c")
+    j = fixed.withColumn("__p", part).join(before, "__p")
+    return j.select((F.coalesce("__before", F.lit(0)) + F.col("__m") - F.shiftleft(F.col("__p").cast("bigint"), 33) + 1).alias("#"), *df.columns).orderBy("#")

@@ -47,3 +47,36 @@ def link_state(links: DataFrame) -> DataFrame:
     """Per URL: first and last sighting, runs, and whether it was seen again more than two hours later."""
     s = links.groupBy("article_url").agg(F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count("*").alias("sightings"))
     return s.withColumn("link_resighted", seconds_between(F.col("first_seen"), F.col("last_seen")) > K.RESIGHT_HOURS * 3600)
+
+
+# --- streams -------------------------------------------------------------------------------------------------------------------
+WATERMARK = "2 hours"
+
+
+def sightings_stream(links: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Stream of sighting counts: (source_id, minute, n), appended when a minute is complete.
+
+    A URL counts once per run.  Deduplication is keyed by run and URL, so no source is a hot key; counts combine before
+    they are shuffled.  Rows later than the watermark drop."""
+    once = links.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(["run_id", "source_id", "article_url"])
+    per = once.groupBy(F.window("seen_at", "1 minute"), "source_id").agg(F.count("*").alias("n"))
+    return per.select("source_id", F.col("window.start").cast("timestamp_ntz").alias("minute"), "n")
+
+
+def merge_refs(stored: DataFrame, links: DataFrame, keep: int = K.MAX_REFS) -> DataFrame:
+    """Reference lists (run_id, url, refs) after one more batch of observations of the same or later runs."""
+    old = stored.select("run_id", F.col("url").alias("article_url"), F.explode("refs").alias("r")).select(
+        "run_id", "article_url", F.col("r.u").alias("ref_url"), F.col("r.k").alias("ref_kind"), F.col("r.t").alias("seen_at"))
+    return link_refs(old.unionByName(links.select("run_id", "article_url", "ref_url", "ref_kind", "seen_at")), keep)
+
+
+def link_state_stream(links: DataFrame) -> DataFrame:
+    """Stream of link states in update mode: the same aggregation, kept as state per URL."""
+    return link_state(links)
+
+
+def merge_link_state(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored link states and those of one more batch."""
+    both = stored.select("article_url", "first_seen", "last_seen", "sightings").unionByName(batch.select("article_url", "first_seen", "last_seen", "sightings"))
+    s = both.groupBy("article_url").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("sightings").alias("sightings"))
+    return s.withColumn("link_resighted", seconds_between(F.col("first_seen"), F.col("last_seen")) > K.RESIGHT_HOURS * 3600)
