@@ -257,10 +257,10 @@ LINKED = f"SELECT a.url, a.source_id, a.last_seen, a.id FROM d_articles a JOIN d
 OVERDUE = f"SELECT url, source_id, last_seen, id FROM d_articles WHERE title IS NOT NULL AND (published_at >= {AGO(72)} OR first_seen >= {AGO(72)}) ORDER BY last_seen, id LIMIT 100"
 
 
-@query("pl3_rescan_tier", _tier(48, 24, 6, 100))
+@query("pl3_rescan_tier", _tier(2000, 24, 24, 100))
 def _(spark, d):
     t = domain(spark, d, *PT)
-    return pl.rescan_tier(t, PLAN_NOW, 24, 48, 6, pl.active_ids(t), 100)
+    return pl.rescan_tier(t, PLAN_NOW, 24, 2000, 24, pl.active_ids(t), 100)
 
 
 @query("pl3_select_rescans", f"""
@@ -275,10 +275,10 @@ def _(spark, d):
     return pl.select_rescans(domain(spark, d, *PT), PLAN_NOW, 20)
 
 
-@query("jn2_linked_stale", LINKED.replace("LIMIT 80", "LIMIT 500"))
+@query("jn2_linked_stale", LINKED.replace("LIMIT 80", "LIMIT 500").replace("INTERVAL 26 HOUR", "INTERVAL 2600 HOUR"))
 def _(spark, d):
     t = domain(spark, d, *PT)
-    return pl.linked_stale(t, pl.active_ids(t), "1999-06-14 10:00:00", "1999-06-14 12:00:00", 500)
+    return pl.linked_stale(t, pl.active_ids(t), "1999-02-27 04:00:00", "1999-06-14 12:00:00", 500)
 
 
 TOL = "(CASE a.source_id WHEN 1 THEN 72 WHEN 3 THEN 26 WHEN 4 THEN 26 WHEN 5 THEN 6 WHEN 6 THEN 36 ELSE 26 END)"

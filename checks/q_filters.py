@@ -139,9 +139,9 @@ def _(spark, d):
     return fl.search_articles(domain(spark, d, *SEARCH_TABLES), "URGENT")
 
 
-@query("fl6_search_keyword", _search_sql("blue 1"))
+@query("fl6_search_keyword", _search_sql("blue plate"))
 def _(spark, d):
-    return fl.search_articles(domain(spark, d, *SEARCH_TABLES), "blue 1", limit=None)
+    return fl.search_articles(domain(spark, d, *SEARCH_TABLES), "blue plate", limit=None)
 
 
 @query("fl7_keyword_ids", "SELECT article_id FROM d_article_keywords JOIN d_keywords k ON k.id = keyword_id WHERE term = (SELECT min(term) FROM d_keywords)")

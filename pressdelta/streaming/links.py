@@ -58,7 +58,8 @@ def sightings_stream(links: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
     A URL counts once per run.  Deduplication is keyed by run and URL, so no source is a hot key; counts combine before
     they are shuffled.  Rows later than the watermark drop."""
-    once = links.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(["run_id", "source_id", "article_url"])
+    # event time has to be of type TIMESTAMP
+    once = links.withColumn("seen_at", F.col("seen_at").cast("timestamp")).withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(["run_id", "source_id", "article_url"])
     per = once.groupBy(F.window("seen_at", "1 minute"), "source_id").agg(F.count("*").alias("n"))
     return per.select("source_id", F.col("window.start").cast("timestamp_ntz").alias("minute"), "n")
 
