@@ -121,8 +121,12 @@ def prepare(captures: DataFrame) -> DataFrame:
         secs("published_stored")("pub_prev_s"), secs("published_track")("pub_new_s"), F.coalesce("is_live", F.lit(False)).alias("is_live"))
 
 
-def track_changes_stream(captures: DataFrame, ttl_ms: int | None = TTL_MS) -> DataFrame:
+def track_changes_stream(captures: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Stream of change records.  Needs the RocksDB state store.  Captures of an article must not arrive in a later
-    batch than newer ones; the batch job is the reference and can be run again over the stored captures."""
+    batch than newer ones; the batch job is the reference and can be run again over the stored captures.
+
+    A long-running query (processingTime trigger) should pass TTL_MS, so that the memory of dormant articles expires.
+    With availableNow leave it out: Spark would go on with empty clean-up batches and the run would not end.
+    """
     mode = "ProcessingTime" if ttl_ms else "None"
     return prepare(captures).groupBy("article_id").transformWithStateInPandas(ChangeTracker(ttl_ms), outputStructType=OUTPUT, outputMode="Append", timeMode=mode)
