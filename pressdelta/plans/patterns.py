@@ -4,6 +4,7 @@
 * `group_quantiles`  exact quantiles per key from value histograms, never from collected values
 * `previous_row`     previous row per key by time chunk, so that a hot key is spread over many tasks
 * `carry_forward`    latest non-null value per key, in the same way
+* `spread_scan`      more tasks for a scan of few splits
 * `small`            broadcast hint behind a measured size
 """
 
@@ -98,6 +99,14 @@ def carry_forward(df: DataFrame, key: str, order: Sequence[str], value: str, out
     return local.join(carried, [key, "__chunk"], "left").select(*df.columns, F.coalesce("__local", "__carry").alias(out))
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A file scan with fewer splits than there are cores is spread over the cores, for work that is heavy per row.
+    Large tables have more splits than cores and stay as they are: no shuffle is added."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint when Spark's own size estimate of the plan is under the limit; otherwise the plan as it is."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

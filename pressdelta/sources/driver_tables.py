@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pressdelta.plans.patterns import spread_scan
 from pressdelta.session import pin_session
 from pressdelta.sources.tables import Tables
 
@@ -81,9 +82,13 @@ SELECT date_trunc('hour', ts) AS run_id, user_id % 6 + 1 AS source_id, concat('h
 }
 STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# tables whose rows are long texts or vectors
+TEXT_TABLES = ("documents", "pages", "conversations", "embeddings")
+
 
 def star(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return pin_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    df = pin_session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_scan(df) if name in TEXT_TABLES else df
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
