@@ -12,7 +12,6 @@ from pressdelta.operators import changes as ch, diffs as df, editclass as ec
 from pressdelta.operators.context import real_date_shift
 from pressdelta.sources.driver_tables import derive, domain, star
 
-DAY = F.col("scanned_at").cast("date")
 
 
 def versions(spark, d):

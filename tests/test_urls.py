@@ -62,7 +62,7 @@ def test_rubric(spark, url, raw, label):
 
 
 @pytest.mark.parametrize("label,want", [
-    ("Regional · Sachsen Anhalt", "sachsen-anhalt"), ("Inland · Thüringen", "thueringen"), ("Politique · International", "politik"), ("Économie", "wirtschaft"), ("Xy Abc", "abc"), ("12", None), ("Frühstück", "fruhstuck"),
+    ("Regional · Sachsen Anhalt", "sachsen-anhalt"), ("Inland · Thüringen", "thueringen"), ("Politique · International", "politik"), ("Économie", "economie"), ("Économies", "economies"), ("Economy", "wirtschaft"), ("Xy Abc", "abc"), ("12", None), ("Frühstück", "fruhstuck"),
 ])
 def test_canon_category(spark, label, want):
     assert one(spark, uj.canon_category, label) == want
