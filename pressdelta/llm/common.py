@@ -7,6 +7,8 @@ costs only its running tasks.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -60,6 +62,14 @@ def digest64(*parts: Column | int | str) -> Column:
     return F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def per_process(key: tuple, make):
+    """An object a Python worker keeps from task to task: task code is loaded anew each time, so it lives in a module of its own."""
+    kept = sys.modules.setdefault("pressdelta_worker_state", types.ModuleType("pressdelta_worker_state")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column in one array, and where each value begins and ends in it; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressdelta.llm import chat, linededup, mixing, quality, rules, sharding
+from pressdelta.llm import chat, linededup, mixing, neardup, quality, records, rules, sharding, subwords, tiff
+from pressdelta.llm.common import store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary, the same on every machine."""
+    return public_tokenizers.path(name)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.filter(~quality.held_out(F.col("doc_id"))))
@@ -27,21 +34,44 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("piece_bpe_32k.model")
+    done = subwords.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return done.select("doc_id", "n_tokens", "ids", F.sha2(subwords.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.added(spark))
     return chat.digests(chat.formatted(chat.from_turns(rows)))
 
 
+def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = store(tiff.to_media(table(spark, sf_dir, "documents")), "tiff")
+    kept = F.sha2("media", 256)
+    # the stored file's own figures travel in the key
+    told = files.select(F.struct("key", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), kept.alias("media_sha256")).alias("key"), "media")
+    read = tiff.pages(told, samples=False).filter("last")
+    return read.select("key.key", "key.n_bytes", F.col("image_bytes").alias("payload_bytes"), F.col("image_sha256").alias("payload_sha256"), "tail_crc32", "key.media_bytes", "key.media_sha256", "feature").withColumnRenamed("key", "doc_id")
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op5_sharding, op7_chat, op10_rules)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op4_subwords, op5_sharding, op6_near_dups, op7_chat, op8_records, op9_tiff, op10_rules)}
 
 ORACLE = {
     "op2_mixing": r"""
