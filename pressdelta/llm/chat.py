@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pressdelta.llm.common import remove, scratch, store, text_of
+from pressdelta.llm.common import store, text_of
 
 OPEN, SHUT = "<turn ", "</turn>\n"
 LEARN = "assistant"
@@ -48,26 +48,27 @@ def _same(a: DataFrame, b: DataFrame, left: str, right: str):
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(conv_id, path, step, id) of the `branches` best root-to-leaf paths per conversation: `path` is the leaf's id, `step` counts from the root."""
-    spark = messages.sparkSession
     ids = messages.select("conv_id", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = ids.select(F.col("conv_id").alias("other_conv"), F.col("id").alias("other_id"))
     # an answer to nothing starts a tree
     linked = ids.join(known, _same(ids, known, "parent", "other_id"), "left").select("conv_id", "id", F.col("other_id").alias("up"), "score", F.when(F.col("other_id").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.col("score").alias("total"), F.col("other_id").isNull().alias("rooted"))
-    first = scratch(spark, "chat-up")
-    level = store(linked, "chat-up", first)
-    levels, paths = [level], [first]
-    n, reach = level.count(), 1
-    # a thread is at most as long as the table; what still has a pointer after that runs in a circle
-    while reach < n and not level.filter(F.col("up").isNotNull()).isEmpty():
-        far = level.select(F.col("conv_id").alias("other_conv"), F.col("id").alias("other_id"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"), F.col("rooted").alias("rooted2"))
-        joined = level.join(far, _same(level, far, "up", "other_id"), "left").select(
-            "conv_id", "id", F.col("up2").alias("up"), "score", (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("rooted") | F.coalesce("rooted2", F.lit(False))).alias("rooted"))
-        paths.append(scratch(spark, "chat-up"))
-        level = store(joined, "chat-up", paths[-1])
-        levels.append(level)
+    state = store(linked, "chat-up")
+    n, reach = state.count(), 1
+    climbing, done = state.filter("up is not null"), state.filter("up is null")
+    jumps = [climbing]
+    # a thread is at most as long as the table; what still climbs after that runs in a circle
+    while reach < n and not climbing.isEmpty():
+        every = done.unionByName(climbing)
+        far = every.select(F.col("conv_id").alias("other_conv"), F.col("id").alias("other_id"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"), F.col("rooted").alias("rooted2"))
+        # only messages that have not reached their root are joined
+        joined = climbing.join(far, _same(climbing, far, "up", "other_id")).select(
+            "conv_id", "id", F.col("up2").alias("up"), "score", (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("total") + F.col("total2")).alias("total"), F.col("rooted2").alias("rooted"))
+        state = store(joined, "chat-up")
+        climbing, done = state.filter("up is not null"), done.unionByName(state.filter("up is null"))
+        jumps.append(climbing)
         reach *= 2
-    done = level.filter("up is null and rooted")
-    answered = levels[0].filter("up is not null").select(F.col("conv_id").alias("other_conv"), F.col("up").alias("other_id")).distinct()
+    done = done.filter("rooted")
+    answered = jumps[0].select(F.col("conv_id").alias("other_conv"), F.col("up").alias("other_id")).distinct()
     leaves = done.join(answered, _same(done, answered, "id", "other_id"), "left_anti")
     salted = leaves.withColumn("mean", F.col("total") / (F.col("steps") + 1)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     order = [F.desc("mean"), F.asc("id")]
@@ -75,12 +76,10 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     kept = salted.withColumn("n", F.row_number().over(W.partitionBy("conv_id", "salt").orderBy(*order))).filter(F.col("n") <= branches)
     chosen = kept.withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy(*order))).filter(F.col("n") <= branches)
     walk = chosen.select("conv_id", F.col("id").alias("path"), "id", F.col("steps").alias("step"))
-    for k in range(len(levels) - 1, -1, -1):
-        jump = levels[k].filter("up is not null").select(F.col("conv_id").alias("other_conv"), F.col("id").alias("other_id"), "up")
-        up = walk.join(jump, _same(walk, jump, "id", "other_id")).select("conv_id", "path", F.col("up").alias("id"), (F.col("step") - F.lit(1 << k)).alias("step"))
-        walk = store(walk.unionByName(up), "chat-walk")
-    for p in paths:
-        remove(p)
+    for k in range(len(jumps) - 1, -1, -1):
+        jump = jumps[k].select(F.col("conv_id").alias("other_conv"), F.col("id").alias("other_id"), "up")
+        above = walk.join(jump, _same(walk, jump, "id", "other_id")).select("conv_id", "path", F.col("up").alias("id"), (F.col("step") - F.lit(1 << k)).alias("step"))
+        walk = store(walk.unionByName(above), "chat-walk")
     return walk
 
 
