@@ -28,7 +28,7 @@ from pressdelta.llm.common import LAST_ID, SPACE, pieces, remove, scratch, store
 LEAST = 10
 BATCHES = 4
 FANOUT = 4
-KEYS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("line", T.IntegerType())])
+KEYS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("own", T.LongType())])
 KEPT = T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
 
@@ -38,20 +38,21 @@ def _long_enough(key: bytes, least: int) -> bool:
 
 
 def line_keys(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST) -> DataFrame:
-    """(doc, h1, h2, line): one row per line whose key is long enough."""
+    """(doc, h1, h2, line, own): one row per line whose key is long enough; `own` tells apart the texts of rows with the same id."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            docs_, lines, found = [], [], []
-            for doc, raw in zip(batch.column("doc").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            docs_, owns, lines, found = [], [], [], []
+            for doc, own, raw in zip(batch.column("doc").to_pylist(), batch.column("own").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 for i, line in enumerate((raw or b"").lower().split(b"\n")):
                     key = line.strip(SPACE)
                     if _long_enough(key, least):
                         docs_.append(doc)
+                        owns.append(own)
                         lines.append(i)
                         found.append(xxhash.xxh3_128_digest(key))
             both = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(lines, pa.int32())], names=["doc", "h1", "h2", "line"])
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text).alias("text")).mapInArrow(keys, KEYS)
+            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])), pa.array(lines, pa.int32()), pa.array(owns, pa.int64())], names=KEYS.names)
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("own"), F.col(text).alias("text")).mapInArrow(keys, KEYS)
 
 
 class LineRuns:
@@ -79,13 +80,13 @@ class LineRuns:
                 remove(p)
 
     def add(self, keys: DataFrame) -> DataFrame:
-        """Take in a batch (doc, h1, h2, line) whose documents come after all before.  Returns (doc, line) of what to drop from it."""
+        """Take in a batch (doc, h1, h2, line, own) whose documents come after all before.  Returns (doc, own, line) of what to drop from it."""
         batch = keys.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
         met = batch.join(self.known(), ["h1", "h2"], "left")
         decided = store(met.select("h1", "h2", F.coalesce("owner", "first").alias("owner"), F.col("owner").isNull().alias("fresh"), "last"), "line-batch")
         self._write(decided.filter("fresh"), 0)
         shared = decided.filter(F.col("last") != F.col("owner")).select("h1", "h2", "owner")
-        return keys.join(shared, ["h1", "h2"]).filter(F.col("doc") != F.col("owner")).select("doc", "line")
+        return keys.join(shared, ["h1", "h2"]).filter(F.col("doc") != F.col("owner")).select("doc", "own", "line")
 
     def drop(self) -> None:
         for level in self.levels:
@@ -121,10 +122,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     for b in range(len(cuts) + 1):
         runs.add(keys.filter(F.col("batch") == b).drop("batch")).write.mode("append").parquet(places)
     runs.drop()
-    drops = spark.read.schema("doc long, line int").parquet(places)
-    # a document's own lines: no longer than its text; repeated rows of an id name a line twice
-    per_doc = drops.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__lines"))
-    joined = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))).join(per_doc, F.col("__key") == F.col("__doc"), "left")
+    drops = spark.read.schema("doc long, own long, line int").parquet(places)
+    # a text's own lines: no longer than the text; equal rows name a line twice
+    per_doc = drops.groupBy(F.col("doc").alias("__doc"), F.col("own").alias("__own")).agg(F.collect_set("line").alias("__lines"))
+    keyed = docs.withColumns({"__key": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)), "__text": F.xxhash64(text)})
+    joined = keyed.join(per_doc, (F.col("__key") == F.col("__doc")) & (F.col("__text") == F.col("__own")), "left")
     cut = joined.withColumn("__cut", without(F.col(text), F.col("__lines")))
     plain = [c for c in docs.columns if c not in ("kept", "n_lines", "n_dropped")]
     return cut.select(*plain, "__cut.kept", "__cut.n_lines", "__cut.n_dropped")

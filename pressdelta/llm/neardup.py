@@ -336,4 +336,4 @@ def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     kept = found.select(F.col("doc_id").alias("__id"), F.col("first.h1").alias("__h1"), F.col("first.h2").alias("__h2"))
     keyed = docs.withColumn("__content", content_of(F.col(text)))
     both = keyed.join(kept, keyed[doc_id].cast("long").eqNullSafe(kept["__id"]) & (F.col("__content.h1") == F.col("__h1")) & (F.col("__content.h2") == F.col("__h2")), "left_semi")
-    return both
+    return both.select(*docs.columns).select(*docs.columns)

@@ -2,8 +2,8 @@
 
 Every row descends the tree.  At each level the children draw: the draw of a child is an exponential variable with the
 child's weight as its rate, made from the hash of the key and the child's name, and the smallest draw wins.  A child
-wins in proportion to its weight; when a weight grows, only draws inside that subtree's chain get smaller, so rows move
-only into subtrees that grew or out of those that shrank, and never between two others.  Added shards each stand as a
+wins in proportion to its weight; when a weight grows, only the draws of the subtrees above it get smaller.  So at every level rows move
+only into the child that grew or out of the one that shrank, and never between two others.  Added shards each stand as a
 region of their own until the tree is laid out anew, so a new shard takes rows only into itself.
 
 Built-in functions only.  Slots number the rows of a shard without gaps: rows are numbered inside hash slices of a shard, and a
