@@ -265,14 +265,16 @@ def _(spark, d):
     return pl.rescan_tier(t, PLAN_NOW, 24, 2000, 24, pl.active_ids(t), 100)
 
 
+def _stage(name, offers, share, before):
+    """SQL of a stage: what it offers without what was taken before, up to its share and what is left of 20."""
+    taken = " UNION ALL ".join(f"SELECT url FROM {x}" for x in before) or "SELECT '' AS url WHERE FALSE"
+    return f"""{name} AS (SELECT url, source_id, '{name}' AS stage, rn FROM (SELECT url, source_id, row_number() OVER (ORDER BY last_seen, id) AS rn FROM ({offers}) WHERE url NOT IN (SELECT url FROM ({taken}))) WHERE rn <= least({share}, 20 - (SELECT count(*) FROM ({taken}))))"""
+
+
 @query("pl3_select_rescans", f"""
-WITH pool AS (SELECT *, 0 AS no, 'tier1' AS stage FROM ({_tier(24, 0, 1, 20)}) UNION ALL SELECT *, 1, 'tier2' FROM ({_tier(48, 24, 6, 40)}) UNION ALL SELECT *, 2, 'tier3' FROM ({_tier(72, 48, 24, 60)})
- UNION ALL SELECT *, 3, 'linked' FROM ({LINKED}) UNION ALL SELECT *, 4, 'overdue' FROM ({OVERDUE})),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY no) AS k FROM pool) WHERE k = 1), r AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY last_seen, id) AS rn FROM f),
-n AS (SELECT count(*) FILTER (no = 0) AS n0, count(*) FILTER (no = 1) AS n1, count(*) FILTER (no = 2) AS n2, count(*) FILTER (no = 3) AS n3, count(*) FILTER (no = 4) AS n4 FROM r),
-t1 AS (SELECT *, least(20, 11, n0) AS k0 FROM n), t2 AS (SELECT *, least(20 - k0, 6, n1) AS k1 FROM t1), t3 AS (SELECT *, least(20 - k0 - k1, 4, n2) AS k2 FROM t2),
-t4 AS (SELECT *, least(20 - k0 - k1 - k2, n3) AS k3 FROM t3), t5 AS (SELECT *, least(20 - k0 - k1 - k2 - k3, n4) AS k4 FROM t4)
-SELECT url, source_id, stage, rn FROM r, t5 WHERE rn <= CASE no WHEN 0 THEN k0 WHEN 1 THEN k1 WHEN 2 THEN k2 WHEN 3 THEN k3 ELSE k4 END""")
+WITH {_stage("tier1", _tier(24, 0, 1, 1000), 11, [])}, {_stage("tier2", _tier(48, 24, 6, 1000), 6, ["tier1"])}, {_stage("tier3", _tier(72, 48, 24, 1000), 4, ["tier1", "tier2"])},
+{_stage("linked", LINKED.replace("LIMIT 80", ""), 20, ["tier1", "tier2", "tier3"])}, {_stage("overdue", OVERDUE.replace("LIMIT 100", ""), 20, ["tier1", "tier2", "tier3", "linked"])}
+SELECT * FROM tier1 UNION ALL SELECT * FROM tier2 UNION ALL SELECT * FROM tier3 UNION ALL SELECT * FROM linked UNION ALL SELECT * FROM overdue""")
 def _(spark, d):
     return pl.select_rescans(domain(spark, d, *PT), PLAN_NOW, 20)
 

@@ -8,7 +8,7 @@ from checks import sqltext as S
 from checks.registry import query
 from pressdelta import constants as K
 from pressdelta.functions import text as tx
-from pressdelta.operators import changes as ch, diffs as df, editclass as ec
+from pressdelta.operators import changes as ch, diffs as df, editclass as ec, passages as ps
 from pressdelta.operators.context import real_date_shift
 from pressdelta.sources.driver_tables import derive, domain, star
 
@@ -203,7 +203,7 @@ def _(spark, d):
 
 @query("ch18_headline_edits", f"""WITH {PAIRS}, o AS (SELECT article_id, min(scanned_at) AS t0 FROM d_versions GROUP BY 1)
 SELECT article_id, prev_title AS before_title, title AS after_title, scanned_at, CAST(floor((epoch(scanned_at) - epoch(t0)) / 60) AS BIGINT) AS delay_minutes FROM df JOIN o USING (article_id)
-WHERE {S.decode('prev_title')} <> {S.decode('title')} AND prev_title <> '' AND title <> '' ORDER BY scanned_at DESC, article_id LIMIT 80""")
+WHERE {S.decode('prev_title')} <> {S.decode('title')} AND prev_title <> '' AND title <> ''""")
 def _(spark, d):
     return ch.headline_edits(versions(spark, d))
 
@@ -216,9 +216,9 @@ def _(spark, d):
 # --- edit classes ---------------------------------------------------------------------------------------------------------
 # pairs made of the documents: the text, and the text with one kind of change, by document number
 EDITED = """SELECT doc_id AS id, text AS old, CASE doc_id % 6
- WHEN 0 THEN concat('Rund 14 Personen. ', substr(text, 1, 400)) WHEN 1 THEN concat('laut ', text) WHEN 2 THEN concat('Der Skandal: ', text) WHEN 3 THEN concat(text, ' Schreibweiss')
- WHEN 4 THEN concat(substr(text, 1, 300), ' die Frau') ELSE text END AS new FROM documents"""
-EDITED_SPARK = EDITED.replace("FROM documents", "FROM {documents}").replace("text AS old", "CASE doc_id % 6 WHEN 0 THEN concat('Rund 12 Personen. ', substr(text, 1, 400)) WHEN 2 THEN concat('Der Bericht: ', text) WHEN 3 THEN concat(text, ' Schreibweise') WHEN 4 THEN concat(substr(text, 1, 300), ' Angela Muster') ELSE text END AS old")
+ WHEN 0 THEN concat('Rund 14 Personen. ', text) WHEN 1 THEN concat('laut ', text) WHEN 2 THEN concat('Der Skandal: ', text) WHEN 3 THEN concat(text, ' Schreibweiss')
+ WHEN 4 THEN concat(text, ' die Frau') ELSE text END AS new FROM documents"""
+EDITED_SPARK = EDITED.replace("FROM documents", "FROM {documents}").replace("text AS old", "CASE doc_id % 6 WHEN 0 THEN concat('Rund 12 Personen. ', text) WHEN 2 THEN concat('Der Bericht: ', text) WHEN 3 THEN concat(text, ' Schreibweise') WHEN 4 THEN concat(text, ' Angela Muster') ELSE text END AS old")
 EDITED = EDITED_SPARK.format(documents="documents")
 
 
@@ -268,7 +268,7 @@ def _(spark, d):
 
 @query("ec11_tag_counts", f"""WITH {CLASSIFY}, u AS (SELECT id, unnest(list_filter(str_split(CASE WHEN k = '' THEN 'rephrase' ELSE k END, ','), lambda q: q <> '')) AS tag FROM tags),
 r AS (SELECT id, tag, row_number() OVER (PARTITION BY id ORDER BY list_position({str(list(K.TAG_PRIORITY))}, tag)) AS rn FROM u)
-SELECT source, tag, count(*) AS n FROM r JOIN documents ON doc_id = id WHERE rn <= 3 GROUP BY 1, 2""")
+SELECT source, tag, count(*) AS n FROM r JOIN documents ON doc_id = id GROUP BY 1, 2""")
 def _(spark, d):
     e = edited(spark, d)
     snaps = e.select("id", F.array(F.struct("old", "new")).alias("changes"), F.lit(None).cast("string").alias("title_old"), F.lit(None).cast("string").alias("title_new"), F.lit("").alias("added"))
@@ -277,7 +277,7 @@ def _(spark, d):
 
 @query("ec4_snapshot_tags", f"""WITH {CLASSIFY}, u AS (SELECT id, unnest(list_filter(str_split(CASE WHEN k = '' THEN 'rephrase' ELSE k END, ','), lambda q: q <> '')) AS tag FROM tags WHERE id % 4 > 0 UNION ALL SELECT id, 'showcase' FROM tags WHERE id % 4 = 0 UNION ALL SELECT id, 'addition' FROM tags WHERE id % 4 = 1 UNION ALL SELECT id, 'deletion' FROM tags WHERE id % 4 = 2),
 c AS (SELECT id, tag, count(*) OVER (PARTITION BY id) AS n FROM u), r AS (SELECT id, tag, row_number() OVER (PARTITION BY id ORDER BY list_position({str(list(K.TAG_PRIORITY))}, tag)) AS rn FROM c WHERE tag <> 'rephrase' OR n = 1)
-SELECT id, string_agg(tag, ',' ORDER BY rn) AS tags FROM r WHERE rn <= 3 GROUP BY 1""")
+SELECT id, string_agg(tag, ',' ORDER BY rn) AS tags FROM r GROUP BY 1""")
 def _(spark, d):
     e, none = edited(spark, d), F.lit(None).cast("string")
     pair, add, rem = F.struct("old", "new"), F.struct(none.alias("old"), F.col("new")), F.struct("old", none.alias("new"))
@@ -315,9 +315,9 @@ def turns(spark, d):
 
 @query("ec6_diff_reconstruct", f"WITH t AS ({TURNS}) SELECT id, regexp_replace(old, '^\\s+', '') AS old_text, regexp_replace(new, '^\\s+', '') AS new_text FROM t WHERE old IS NOT NULL")
 def _(spark, d):
-    ops = df.raw_word_ops(turns(spark, d))
+    ops = df.diff_ops(turns(spark, d))
     side = lambda *kinds: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op").isin(*kinds), F.struct("seq", "text")))), lambda x: x["text"]), "")
-    return ops.groupBy("id").agg(side("eq", "del").alias("old_text"), side("eq", "ins", "repl").alias("new_text"))
+    return ops.groupBy("id").agg(side("eq", "del").alias("old_text"), side("eq", "ins").alias("new_text"))
 
 
 @query("ec6_diff_ops")
@@ -325,18 +325,48 @@ def _(spark, d):
     return df.diff_ops(turns(spark, d))
 
 
-@query("ch6_build_changes")
+def _pairs_sql(threshold, lead):
+    """SQL of passages that are each other's best partner: m (article_id, seq, i, j, o, n)."""
+    alike = f"len(list_intersect(ot, nt)) / len(list_distinct(list_concat(ot, nt)))::DOUBLE"
+    score = f"CASE WHEN len(ot) > 0 AND len(nt) > 0 AND {alike} >= {threshold} THEN {alike} {lead} END"
+    return f"""
+v AS (SELECT article_id, seq, {S.paras('body')} AS np, lag({S.paras('body')}) OVER (PARTITION BY article_id ORDER BY seq) AS op FROM d_versions),
+w AS (SELECT article_id, seq, {S.except_('op', 'np')} AS rem, {S.except_('np', 'op')} AS ad FROM v WHERE op IS NOT NULL),
+x AS (SELECT article_id, seq, list_filter(rem, lambda y, k: list_position(rem, y) = k) AS rem, list_filter(ad, lambda y, k: list_position(ad, y) = k) AS ad FROM w),
+os AS (SELECT article_id, seq, unnest(rem) AS o, generate_subscripts(rem, 1) AS i FROM x), ns AS (SELECT article_id, seq, unnest(ad) AS n, generate_subscripts(ad, 1) AS j FROM x),
+ot AS (SELECT *, {S.tokens('o')} AS ot, lower({S.collapse('o')}) AS op FROM os), nt AS (SELECT *, {S.tokens('n')} AS nt, lower({S.collapse('n')}) AS np FROM ns),
+sc AS (SELECT article_id, seq, i, j, o, n, {score} AS s FROM ot JOIN nt USING (article_id, seq)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY article_id, seq, j ORDER BY s DESC, i) AS rn, row_number() OVER (PARTITION BY article_id, seq, i ORDER BY s DESC, j) AS ro FROM sc WHERE s IS NOT NULL),
+m AS (SELECT * FROM rk WHERE rn = 1 AND ro = 1)"""
+
+
+HEAD_LEN = "len(list_filter(range(1, least(length(o), length(n)) + 1), lambda k: substr(o, 1, k) = substr(n, 1, k)))"
+TAIL_LEN = "len(list_filter(range(1, least(length(o), length(n)) - h + 1), lambda k: right(o, k) = right(n, k)))"
+_WINDOW = "concat(CASE WHEN h > 140 THEN '…' ELSE '' END, substr({0}, greatest(h - 140, 0) + 1, least(length({0}), length({0}) - e + 140) - greatest(h - 140, 0)), CASE WHEN length({0}) - e + 140 < length({0}) THEN '…' ELSE '' END)"
+
+
+@query("ch6_build_changes", f"""
+WITH {_pairs_sql(0.35, "")}, r1 AS (SELECT *, {HEAD_LEN} AS h FROM m), r2 AS (SELECT *, {TAIL_LEN} AS e FROM r1),
+r AS (SELECT article_id, seq, 0 AS lone, j AS k, {_WINDOW.format('o')} AS old, {_WINDOW.format('n')} AS new FROM r2),
+a AS (SELECT article_id, seq, lone, k, old, new FROM r WHERE old <> new UNION ALL SELECT article_id, seq, 0, j, NULL, n FROM ns ANTI JOIN m USING (article_id, seq, j) UNION ALL SELECT article_id, seq, 1, i, o, NULL FROM os ANTI JOIN m USING (article_id, seq, i))
+SELECT article_id, seq, row_number() OVER (PARTITION BY article_id, seq ORDER BY lone, k) - 1 AS pos, old, new FROM a""")
 def _(spark, d):
     p = ch.version_pairs(ch.with_paragraphs(versions(spark, d)), ["paras"]).filter(F.col("prev_paras").isNotNull())
-    return p.select("article_id", "seq", F.posexplode(ch.build_changes(F.array_except("prev_paras", "paras"), F.array_except("paras", "prev_paras"))).alias("pos", "c")).select("article_id", "seq", "pos", "c.old", "c.new")
+    rows = p.select("article_id", "seq", F.array_except("prev_paras", "paras").alias("removed"), F.array_except("paras", "prev_paras").alias("added"))
+    c = ps.list_changes(rows, ["article_id", "seq"], "removed", "added")
+    return c.select("article_id", "seq", F.posexplode("changes").alias("pos", "c")).select("article_id", "seq", F.col("pos").cast("bigint").alias("pos"), "c.old", "c.new")
 
 
-@query("ec5_reconcile_changes")
+@query("ec5_reconcile_changes", f"""
+WITH {_pairs_sql(0.4, "WHEN length(op) >= 80 AND length(np) >= 80 AND substr(op, 1, 80) = substr(np, 1, 80) THEN 0.0")},
+a AS (SELECT article_id, seq, 0 AS lone, j AS k, o AS old, n AS new FROM m WHERE {S.collapse('o')} <> {S.collapse('n')} UNION ALL SELECT article_id, seq, 0, j, NULL, n FROM ns ANTI JOIN m USING (article_id, seq, j) UNION ALL SELECT article_id, seq, 1, i, o, NULL FROM os ANTI JOIN m USING (article_id, seq, i))
+SELECT article_id, seq, row_number() OVER (PARTITION BY article_id, seq ORDER BY lone, k) - 1 AS pos, old, new FROM a""")
 def _(spark, d):
     p = ch.version_pairs(ch.with_paragraphs(versions(spark, d)), ["paras"]).filter(F.col("prev_paras").isNotNull())
     one = lambda arr, side: F.transform(arr, lambda x: F.struct((x if side == "old" else F.lit(None).cast("string")).alias("old"), (x if side == "new" else F.lit(None).cast("string")).alias("new")))
     s = p.select("article_id", "seq", F.concat(one(F.array_except("prev_paras", "paras"), "old"), one(F.array_except("paras", "prev_paras"), "new")).alias("changes"))
-    return df.reconcile_changes(s).select("article_id", "seq", F.posexplode("changes").alias("pos", "c")).select("article_id", "seq", "pos", "c.old", "c.new")
+    c = df.reconcile_changes(s, ["article_id", "seq"])
+    return c.select("article_id", "seq", F.posexplode("changes").alias("pos", "c")).select("article_id", "seq", F.col("pos").cast("bigint").alias("pos"), "c.old", "c.new")
 
 
 @query("ec12_change_cards", f"""
@@ -347,7 +377,7 @@ def _(spark, d):
     one = lambda arr, side: F.transform(arr, lambda x: F.struct((x if side == "old" else F.lit(None).cast("string")).alias("old"), (x if side == "new" else F.lit(None).cast("string")).alias("new")))
     s = p.select((F.col("article_id") * 1000 + F.col("seq")).alias("id"), F.concat(one(F.array_except("prev_paras", "paras"), "old"), one(F.array_except("paras", "prev_paras"), "new")).alias("changes"),
                  F.lit(None).cast("timestamp_ntz").alias("pubdate_old"), F.lit(None).cast("timestamp_ntz").alias("pubdate_new"))
-    return df.change_cards(s).select("id", *[F.col(c).cast("bigint").alias(c) for c in ("added_paras", "removed_paras", "more")])
+    return df.change_cards(s, shown=3).select("id", *[F.col(c).cast("bigint").alias(c) for c in ("added_paras", "removed_paras", "more")])
 
 
 # --- text functions -----------------------------------------------------------------------------------------------------------

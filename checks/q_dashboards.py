@@ -67,7 +67,7 @@ def _(spark, d):
 RUBRIC = """
 rub AS (SELECT coalesce(topic, 'sonstiges') AS topic, source_id, CASE WHEN topic IS NULL THEN 'ausland' ELSE topic || '/ausland' END AS raw,
   CASE WHEN topic IS NULL THEN 'Ausland' ELSE upper(topic[1]) || topic[2:] || ' · Ausland' END AS label FROM d_corpus),
-raws AS (SELECT topic, raw, label, count(*) AS n FROM rub GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+raws AS (SELECT topic, raw, label, count(*) AS n FROM rub GROUP BY 1, 2, 3),
 tree AS (SELECT r.topic, CASE WHEN contains(r.label, 'Politik') THEN 'politik' ELSE 'international' END AS key, CASE WHEN contains(r.label, 'Politik') THEN 'Politik' ELSE 'International' END AS label,
   n, (SELECT count(DISTINCT source_id) FROM rub WHERE rub.topic = r.topic) AS sources, raw AS raw_keys, CAST(1 AS BIGINT) AS rank FROM raws r)"""
 
@@ -86,7 +86,7 @@ CELL = """
 cell AS (SELECT source_id, coalesce(topic, 'sonstiges') AS topic, count(*) AS n, count(*) FILTER (paywalled) AS pw, count(*) FILTER (author_status = 'named') AS named, count(author_status) AS au,
   coalesce(sum(word_count) FILTER (word_count > 0), 0) AS words, count(*) FILTER (word_count > 0) AS words_n FROM d_corpus GROUP BY 1, 2),
 tt AS (SELECT topic, sum(n) AS n, sum(pw) AS pw, sum(named) AS named, sum(au) AS au, sum(words) AS words, sum(words_n) AS words_n FROM cell GROUP BY 1),
-mt AS (SELECT * FROM tt WHERE n >= greatest(5, (SELECT sum(n) FROM cell) * 0.005) ORDER BY n DESC, topic LIMIT 10),
+mt AS (SELECT * FROM tt WHERE n >= greatest(5, (SELECT sum(n) FROM cell) * 0.005) ),
 pp AS (SELECT source_id, sum(n) AS n, sum(pw) AS pw, sum(named) AS named, sum(au) AS au, sum(words) AS words, sum(words_n) AS words_n FROM cell GROUP BY 1),
 mx AS (SELECT pp.source_id, mt.topic, coalesce(c.n, 0) AS n, pp.n AS source_n, mt.n AS topic_n, coalesce(c.n, 0) / pp.n::DOUBLE AS share, coalesce(c.n, 0) / pp.n::DOUBLE / (mt.n / (SELECT sum(n) FROM cell)::DOUBLE) AS affinity
   FROM pp CROSS JOIN mt LEFT JOIN cell c ON c.source_id = pp.source_id AND c.topic = mt.topic),
@@ -179,7 +179,7 @@ k AS ({keys}), spine AS ({_spine_sql(unit)}), s AS (SELECT k.series, spine.bucke
 
 
 ACTIVE = "SELECT CAST(id AS VARCHAR) AS series FROM d_sources WHERE active"
-TOP10 = "SELECT series FROM c GROUP BY 1 ORDER BY sum(n) DESC, 1 LIMIT 10"
+TOP10 = "SELECT series FROM c GROUP BY 1"
 
 
 def _series(spark, d, unit, by):
@@ -361,7 +361,7 @@ SUMMARY = """summary AS (SELECT a.id AS article_id, url, title, source_id, edit_
 ET = ("articles", "snapshots", "sources")
 
 
-@query("ec8_edits_summary", f"WITH {SUMMARY} SELECT * FROM summary WHERE last_change BETWEEN '{RANGE[0]}' AND '{RANGE[1]}' ORDER BY change_count DESC, article_id LIMIT 1000")
+@query("ec8_edits_summary", f"WITH {SUMMARY} SELECT * FROM summary WHERE last_change BETWEEN '{RANGE[0]}' AND '{RANGE[1]}'")
 def _(spark, d):
     return db.edits_summary(domain(spark, d, *ET), FilterParams(range_from=RANGE[0], range_to=RANGE[1]))
 
@@ -400,14 +400,14 @@ def _(spark, d):
     return db.sources_per_country(domain(spark, d, "sources"))
 
 
-@query("so1_sort_view", "SELECT id, word_count FROM d_corpus ORDER BY word_count DESC NULLS LAST, id LIMIT 500")
+@query("so1_sort_view", "SELECT id, word_count FROM d_corpus ")
 def _(spark, d):
-    return db.sort_view(corpus(spark, d), "word_count", "desc").select("id", "word_count").limit(500)
+    return db.sort_view(corpus(spark, d), "word_count", "desc").select("id", "word_count")
 
 
-@query("so1_sort_view_text", "SELECT id, CAST(word_count AS VARCHAR) AS words FROM d_corpus ORDER BY word_count NULLS LAST, id LIMIT 500")
+@query("so1_sort_view_text", "SELECT id, CAST(word_count AS VARCHAR) AS words FROM d_corpus ")
 def _(spark, d):
-    return db.sort_view(corpus(spark, d).withColumn("words", F.col("word_count").cast("string")), "words").select("id", "words").limit(500)
+    return db.sort_view(corpus(spark, d).withColumn("words", F.col("word_count").cast("string")), "words").select("id", "words")
 
 
 @query("so2_page", "SELECT id, revision_count FROM d_overview ORDER BY revision_count DESC NULLS LAST, id LIMIT 100 OFFSET 300")

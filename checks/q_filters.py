@@ -134,7 +134,7 @@ def _search_sql(q):
 SEARCH_TABLES = ("articles", "keywords", "article_keywords", "categories", "article_categories")
 
 
-@query("fl6_search", _search_sql("URGENT") + " ORDER BY 1 LIMIT 1200")
+@query("fl6_search", _search_sql("URGENT"))
 def _(spark, d):
     return fl.search_articles(domain(spark, d, *SEARCH_TABLES), "URGENT")
 
@@ -201,10 +201,15 @@ arts AS (SELECT id, coalesce(published_at, first_seen) AS t FROM d_articles WHER
 daily AS (SELECT keyword_id, {berlin_day('t')} AS d, count(*) AS n FROM arts JOIN d_article_keywords ON article_id = id WHERE t IS NOT NULL GROUP BY 1, 2),
 top AS (SELECT keyword_id, term, CAST(sum(n) AS BIGINT) AS total FROM daily JOIN d_keywords k ON k.id = keyword_id GROUP BY 1, 2 ORDER BY 3 DESC, 2 LIMIT 300),
 trends AS (SELECT term, total, d, n FROM top JOIN daily USING (keyword_id))"""
+ALL_TRENDS = TRENDS.replace(" ORDER BY 3 DESC, 2 LIMIT 300", "")
 
 
 @query("kw2_keyword_trends", f"WITH {TRENDS} SELECT term, total, d, n FROM trends")
 def keyword_trends(spark, d):
+    return kw.keyword_trends(domain(spark, d, *KWT), limit=300)
+
+
+def all_trends(spark, d):
     return kw.keyword_trends(domain(spark, d, *KWT))
 
 
@@ -228,7 +233,7 @@ def _(spark, d):
 
 
 SPAN = ("1998-01-01", "1999-12-31")
-METRICS = TRENDS + f""",
+METRICS = ALL_TRENDS + f""",
 days AS (SELECT CAST(range AS DATE) AS d, row_number() OVER (ORDER BY range) - 1 AS i, count(*) OVER () AS nd FROM range(TIMESTAMP '{SPAN[0]}', TIMESTAMP '{SPAN[1]} 12:00:00', INTERVAL 1 DAY)),
 filled AS (SELECT term, days.d, i, nd, coalesce(n, 0) AS n FROM (SELECT DISTINCT term FROM trends) CROSS JOIN days LEFT JOIN trends USING (term, d)),
 m0 AS (SELECT term, sum(n) AS total, sum(CASE WHEN i < nd // 2 THEN n ELSE 0 END) AS f, sum(CASE WHEN i >= nd - nd // 2 THEN n ELSE 0 END) AS s2, regr_slope(n, i) AS slope, avg(n) AS mean,
@@ -240,7 +245,7 @@ DBL = ("pct", "slope", "mean", "spike", "share", "share_first", "share_second",
 
 
 def metrics(spark, d):
-    return kw.keyword_metrics(keyword_trends(spark, d), *SPAN)
+    return kw.keyword_metrics(all_trends(spark, d), *SPAN)
 
 
 @query("kw3_keyword_metrics", f"WITH {METRICS} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in DBL)}) FROM metrics")
@@ -250,7 +255,7 @@ def _(spark, d):
 
 @query("kw3_zero_filled", f"WITH {METRICS} SELECT term, d, n FROM filled WHERE term IN (SELECT term FROM trends)")
 def _(spark, d):
-    return kw.zero_filled(keyword_trends(spark, d), *SPAN)
+    return kw.zero_filled(all_trends(spark, d), *SPAN)
 
 
 @query("kw4_share_movement", f"WITH {METRICS} SELECT term, round(share_first, 6) AS share_first, round(share_second, 6) AS share_second, round(share_delta, 6) AS share_delta FROM metrics")
@@ -305,8 +310,8 @@ def _(spark, d):
 
 
 @query("nb1_neighbours", """
-WITH df AS (SELECT keyword_id, count(*) AS df FROM d_article_keywords GROUP BY 1 HAVING count(*) <= 1200),
-mine AS (SELECT article_id, keyword_id, df FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY keyword_id) AS rn FROM d_article_keywords) JOIN df USING (keyword_id) WHERE rn <= 24),
+WITH df AS (SELECT keyword_id, count(*) AS df FROM d_article_keywords GROUP BY 1),
+mine AS (SELECT article_id, keyword_id, df FROM d_article_keywords JOIN df USING (keyword_id)),
 pairs AS (SELECT m.article_id, o.article_id AS neighbour_id, sum(1 / sqrt(df)) AS score, count(*) AS shared FROM mine m JOIN d_article_keywords o USING (keyword_id) WHERE m.article_id <> o.article_id GROUP BY 1, 2 HAVING count(*) >= 2),
 best AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY round(score, 9) DESC, neighbour_id) AS rn FROM pairs)
 SELECT b.article_id, neighbour_id, rn, round(score, 6) AS score, shared, n.title, n.outlet, n.country, n.source_id <> a.source_id AS "cross"

@@ -12,18 +12,17 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pressdelta import constants as K
-from pressdelta.functions.text import WS, decode_entities, fingerprint, let, letter_tokens, occurrences, split_paragraphs, trim_ws
+from pressdelta.functions.text import WS, decode_entities, fingerprint, let, occurrences, split_paragraphs, trim_ws
 from pressdelta.functions.timeutil import as_ts, seconds_between
 from pressdelta.operators.context import real_date_shift
+from pressdelta.operators.passages import list_changes
 from pressdelta.operators.url_jobs import url_kind
 from pressdelta.plans.patterns import carry_forward, previous_row
 from pressdelta.sources.tables import Tables
 
-CHANGE = T.StructType([T.StructField("old", T.StringType()), T.StructField("new", T.StringType())])
-
 
 # --- paragraphs and fingerprints -------------------------------------------------------------------------------------
 def with_paragraphs(df: DataFrame, body: str = "body") -> DataFrame:
@@ -135,54 +134,6 @@ def is_timeline(live: Column, article_type: Column, extensions: Column) -> Colum
     return F.coalesce(live, F.lit(False)) | F.coalesce(article_type.isin("liveblog", "timeline"), F.lit(False)) | (F.coalesce(extensions, F.lit(0)) >= 2)
 
 
-# --- structured change list --------------------------------------------------------------------------------------------
-def diff_region(old: str, new: str, context: int = 140, cap: int = 4000) -> tuple[str, str]:
-    """The differing middle of two texts with some context; cut ends are marked with an ellipsis."""
-    shortest = min(len(old), len(new))
-    head = next((i for i in range(shortest) if old[i] != new[i]), shortest)
-    tail = 0
-    while tail < shortest - head and old[-1 - tail] == new[-1 - tail]:
-        tail += 1
-    start = max(0, head - context)
-
-    def window(s: str) -> str:
-        end = min(len(s), len(s) - tail + context)
-        return (("…" if start else "") + s[start:end] + ("…" if end < len(s) else ""))[:cap]
-
-    return window(old), window(new)
-
-
-def pair_changes(removed: list[str], removed_tokens: list, added: list[str], added_tokens: list, threshold: float = 0.35, limit: int = 30) -> list[tuple[str | None, str | None]]:
-    """Added paragraphs, each with its most similar free removed one when the overlap is enough; the rest unpaired."""
-    free = {i: set(t) for i, t in enumerate(removed_tokens)}
-    out: list[tuple[str | None, str | None]] = []
-    for text, toks in zip(added, map(set, added_tokens)):
-        scores = ((len(toks & t) / len(toks | t), -i) for i, t in free.items() if t and toks)
-        score, neg = max(scores, default=(0.0, 0))
-        if score >= threshold:
-            old, new = diff_region(removed[-neg], text)
-            del free[-neg]
-            if old != new:
-                out.append((old, new))
-        else:
-            out.append((None, text[:1500]))
-    out += [(removed[i][:1500], None) for i in sorted(free)]
-    return out[:limit]
-
-
-@F.pandas_udf(T.ArrayType(CHANGE))
-def _build_changes(removed: pd.Series, removed_tokens: pd.Series, added: pd.Series, added_tokens: pd.Series) -> pd.Series:
-    rows = zip(removed, removed_tokens, added, added_tokens)
-    return pd.Series([None if r is None or a is None else [{"old": o, "new": n} for o, n in pair_changes(list(r), list(rt), list(a), list(at))] for r, rt, a, at in rows])
-
-
-def build_changes(removed: Column, added: Column) -> Column:
-    """Structured difference of two paragraph lists: array<struct<old,new>>.  Tokens are cut in Spark; only the greedy
-    pairing runs in Python, on Arrow batches."""
-    tokens = lambda c: F.transform(c, letter_tokens)
-    return _build_changes(removed, tokens(removed), added, tokens(added))
-
-
 # --- the decision that depends on earlier ones ---------------------------------------------------------------------------
 def new_state() -> dict:
     return {"seen": False, "hash": None, "hashes": [], "flips": [], "last_pub": None, "ext": 0, "edit": 0, "rev": 0, "type": None}
@@ -289,8 +240,9 @@ def with_change_facts(captures: DataFrame) -> DataFrame:
         "sig": flip_signature(F.coalesce("prev_para_fps", F.array().cast("array<string>")), F.col("para_fps")),
     })
     content = (F.col("added_count") > 0) | (F.col("removed_count") > 0)
-    changes = F.when(~first & content, build_changes(F.col("removed_texts"), F.col("added_texts")))
-    return d.withColumn("edit_changes", changes).withColumns({
+    keys = ["article_id", "captured_at"]
+    changes = list_changes(d.filter(~first & content), keys, "removed_texts", "added_texts").withColumnRenamed("changes", "edit_changes")
+    return d.join(changes, keys, "left").withColumns({
         "visible": F.coalesce(F.size("edit_changes") > 0, F.lit(False)), "meta_edit": F.size("meta_edits") > 0,
         "pub_prev_s": F.unix_micros(F.col("published_stored").cast("timestamp")) / 1e6, "pub_new_s": F.unix_micros(F.col("published_track").cast("timestamp")) / 1e6,
         "is_live": F.coalesce("is_live", F.lit(False)), "first_contact": first})
@@ -304,15 +256,15 @@ def track_changes(captures: DataFrame) -> DataFrame:
     decided = events.repartition("article_id").sortWithinPartitions("article_id", "captured_at").mapInPandas(_fold, DECISION)
     j = facts.join(decided, ["article_id", "captured_at"])
     content = (F.col("added_count") > 0) | (F.col("removed_count") > 0)
-    grown = F.transform("added_texts", lambda p: F.struct(F.lit(None).cast("string").alias("old"), F.substring(p, 1, 1500).alias("new")))
+    grown = F.transform("added_texts", lambda p: F.struct(F.lit(None).cast("string").alias("old"), p.alias("new")))
     none = F.array().cast("array<struct<old:string,new:string>>")
     return j.select(
         "article_id", "captured_at", "change_kind",
         F.when(F.col("title_edit"), decode_entities(F.col("prev_title"))).alias("title_old"), F.when(F.col("title_edit"), decode_entities(F.col("title"))).alias("title_new"),
-        F.when(content, F.substring(F.array_join("added_texts", "\n\n"), 1, K.PARA_CHARS)).otherwise("").alias("added"), "added_count",
+        F.when(content, F.array_join("added_texts", "\n\n")).otherwise("").alias("added"), "added_count",
         F.when(F.col("growing"), F.lit(0).cast("bigint")).otherwise(F.col("removed_count")).alias("removed_count"),
         (F.col("body_words") - F.coalesce("prev_body_words", "body_words")).alias("word_delta"),
-        F.when(~content, none).when(F.col("growing"), grown).otherwise(F.col("edit_changes")).alias("changes"),
+        F.when(~content, none).when(F.col("growing"), grown).otherwise(F.coalesce("edit_changes", none)).alias("changes"),
         F.when(F.col("pubdate_changed"), F.timestamp_micros((F.col("pub_old") * 1e6).cast("bigint")).cast("timestamp_ntz")).alias("pubdate_old"),
         F.when(F.col("pubdate_changed"), F.col("published_track")).alias("pubdate_new"), "meta_edits", "revision_count", "extension_count", "edit_count", "new_type")
 
@@ -432,7 +384,7 @@ def demote_non_articles(t: Tables, classified: DataFrame) -> Tables:
 
 
 # --- headline edits ---------------------------------------------------------------------------------------------------------
-def headline_edits(versions: DataFrame, limit: int | None = 80) -> DataFrame:
+def headline_edits(versions: DataFrame, limit: int | None = None) -> DataFrame:
     """Consecutive versions with another title: (article_id, before_title, after_title, scanned_at, delay_minutes)."""
     pairs = version_pairs(versions, ["title"])
     start = versions.groupBy("article_id").agg(F.min("scanned_at").alias("first_report"))

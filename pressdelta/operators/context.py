@@ -8,7 +8,7 @@ from pressdelta import constants as K
 from pressdelta.functions.numbers import half_up, ratio, unit_scale
 from pressdelta.functions.timeutil import duration_label, effective_published, seconds_between
 from pressdelta.operators.filters import online_cuts
-from pressdelta.plans.patterns import group_quantiles
+from pressdelta.plans.patterns import first_rows, group_quantiles
 from pressdelta.sources.tables import Tables
 
 
@@ -196,11 +196,12 @@ def cluster_members(t: Tables) -> DataFrame:
     return t.article_clusters.join(a, "article_id").join(s, "source_id")
 
 
-def cluster_overview(t: Tables, limit: int = 200) -> DataFrame:
+def cluster_overview(t: Tables, limit: int | None = None) -> DataFrame:
     """Clusters of more than one article: size, distinct outlets and their names."""
     per = cluster_members(t).groupBy("cluster_id", "outlet").agg(F.count("*").alias("n"))
     c = per.groupBy("cluster_id").agg(F.sum("n").alias("size"), F.count("*").alias("outlets"), F.array_sort(F.collect_list("outlet")).alias("outlet_names"))
-    return c.filter(F.col("size") > 1).orderBy(F.desc("outlets"), F.desc("size"), "cluster_id").limit(limit)
+    c = c.filter(F.col("size") > 1).orderBy(F.desc("outlets"), F.desc("size"), "cluster_id")
+    return first_rows(c, limit)
 
 
 def cluster_echoes(t: Tables) -> DataFrame:

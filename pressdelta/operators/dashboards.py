@@ -16,7 +16,7 @@ from pressdelta.functions.numbers import half_up, pct, ratio
 from pressdelta.functions.timeutil import as_ts, axis_time, berlin_day, day_spine
 from pressdelta.operators.filters import FilterParams, filter_corpus, with_link_cut
 from pressdelta.operators.url_jobs import canon_category, canon_label, url_rubric
-from pressdelta.plans.patterns import group_quantiles, top_per_group
+from pressdelta.plans.patterns import first_rows, group_quantiles, top_per_group
 from pressdelta.sources.tables import Tables
 
 def topic_or_rest() -> Column:
@@ -116,9 +116,9 @@ def topic_options(corpus: DataFrame, p: FilterParams = FilterParams(), ids: Data
     return filter_corpus(corpus, p, ids, skip_topics=True).groupBy(topic_or_rest().alias("topic")).agg(F.count("*").alias("n"))
 
 
-def rubric_tree(corpus: DataFrame, p: FilterParams = FilterParams(), ids: DataFrame | None = None, min_n: int = 3, k: int = 24) -> DataFrame:
+def rubric_tree(corpus: DataFrame, p: FilterParams = FilterParams(), ids: DataFrame | None = None, min_n: int = 1, k: int | None = None) -> DataFrame:
     """Publishers' own rubrics per topic, bundled across languages: (topic, key, label, n, sources, raw_keys, rank).
-    Rubrics come from the path of the rubric URL or the article URL; those with fewer than `min_n` articles drop."""
+    Rubrics come from the path of the rubric URL or the article URL; `min_n` and `k` keep those with so many articles, and the largest."""
     rows = filter_corpus(corpus, p, ids, skip_topics=True)
     rub = url_rubric(F.coalesce(F.when(F.col("rubric") != "", F.col("rubric")), F.col("url")))
     keyed = rows.select(topic_or_rest().alias("topic"), "source_id", rub.alias("r")).filter(F.col("r").isNotNull())
@@ -129,6 +129,8 @@ def rubric_tree(corpus: DataFrame, p: FilterParams = FilterParams(), ids: DataFr
         F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("src")))).alias("sources"), F.array_sort(F.collect_list("raw")).alias("raw_keys"),
         F.min(F.struct((-F.col("n")).alias("o"), "raw", "label")).alias("top"))
     group = group.select("topic", "key", canon_label(F.col("key"), F.col("top.label")).alias("label"), "n", "sources", "raw_keys")
+    if k is None:
+        return group.withColumn("rank", F.row_number().over(W.partitionBy("topic").orderBy(F.desc("n"), "key")))
     return top_per_group(group, ["topic"], [F.desc("n"), F.asc("key")], k, rank="rank", spread=["key"])
 
 
@@ -137,24 +139,25 @@ def agenda_cells(corpus: DataFrame, p: FilterParams = FilterParams(), ids: DataF
     return cells(filter_corpus(corpus, p, ids, skip_topics=True), F.col("source_id"), topic_or_rest().alias("topic"))
 
 
-def main_topics(cell: DataFrame, k: int = 10) -> DataFrame:
-    """Topics with at least 5 articles and half a percent of all, the k largest."""
+def main_topics(cell: DataFrame, k: int | None = None) -> DataFrame:
+    """Topics with at least 5 articles and half a percent of all; `k` keeps the largest."""
     t = roll(cell, "topic")
     total = _first(cell.agg(F.sum("n").alias("t")), "t")
-    return t.filter(F.col("n") >= F.greatest(F.lit(5.0), total * F.lit(0.005))).orderBy(F.desc("n"), "topic").limit(k)
+    t = t.filter(F.col("n") >= F.greatest(F.lit(5.0), total * F.lit(0.005))).orderBy(F.desc("n"), "topic")
+    return first_rows(t, k)
 
 
-def agenda_matrix(corpus: DataFrame, p: FilterParams = FilterParams(), ids: DataFrame | None = None, k: int = 10) -> DataFrame:
+def agenda_matrix(corpus: DataFrame, p: FilterParams = FilterParams(), ids: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """Publisher x topic: count, share of the publisher's output, index against the market share of the topic, mark."""
     cell = agenda_cells(corpus, p, ids)
     return matrix_from_cells(cell, k)
 
 
-def matrix_from_cells(cell: DataFrame, k: int = 10) -> DataFrame:
+def matrix_from_cells(cell: DataFrame, k: int | None = None) -> DataFrame:
     total = _first(cell.agg(F.sum("n").alias("t")), "t")
     topics = main_topics(cell, k).select("topic", F.col("n").alias("topic_n"))
     pubs = roll(cell, "source_id").select("source_id", F.col("n").alias("source_n"))
-    # every publisher shows every main topic, empty cells included; at most k topics per publisher
+    # every publisher shows every main topic, empty cells included; half a percent of all each bounds their number
     shown = topics.agg(F.collect_list("topic").alias("all"))
     grid = pubs.withColumn("topic", F.explode(_first(shown, "all"))).join(topics, "topic")
     m = grid.join(cell.select("source_id", "topic", "n"), ["source_id", "topic"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -172,7 +175,7 @@ def diversity(cell: DataFrame) -> DataFrame:
     return h.select("source_id", "n", F.when(topics > 1, F.col("h") / F.ln(topics.cast("double"))).otherwise(0.0).alias("diversity"))
 
 
-def dominance(cell: DataFrame, k: int = 10) -> DataFrame:
+def dominance(cell: DataFrame, k: int | None = None) -> DataFrame:
     """Share of voice of a publisher in a topic (35 % and more of at least 30) and specialisation (index 1.4 and more,
     15 articles of at least 60): (kind, source_id, topic, value)."""
     m = matrix_from_cells(cell, k)
@@ -249,7 +252,7 @@ def topic_stats(corpus: DataFrame, p: FilterParams = FilterParams(), ids: DataFr
 def spotlight(corpus: DataFrame, p: FilterParams = FilterParams(), topics: int = 4, rubrics: int = 5) -> DataFrame:
     """The largest topics with their largest rubrics."""
     lead = main_topics(agenda_cells(corpus, p)).orderBy(F.desc("n"), "topic").limit(topics).select("topic")
-    return rubric_tree(corpus, p).filter(F.col("rank") <= rubrics).join(F.broadcast(lead), "topic", "left_semi")
+    return rubric_tree(corpus, p, k=rubrics).join(F.broadcast(lead), "topic", "left_semi")
 
 
 def publisher_compare(corpus: DataFrame, p: FilterParams, cur_from, cur_to, prev_from, period_days: float, ids: DataFrame | None = None) -> DataFrame:
@@ -279,7 +282,7 @@ def publisher_compare(corpus: DataFrame, p: FilterParams, cur_from, cur_to, prev
 
 
 # --- edits -----------------------------------------------------------------------------------------------------------
-def edits_summary(t: Tables, p: FilterParams = FilterParams(), limit: int | None = 1000) -> DataFrame:
+def edits_summary(t: Tables, p: FilterParams = FilterParams(), limit: int | None = None) -> DataFrame:
     """Articles with changes: number of snapshots, edits, extensions, last change; most changed first."""
     changed = t.snapshots.groupBy("article_id").agg(F.count("*").alias("change_count"), F.max("captured_at").alias("last_change"))
     a = t.articles.select(F.col("id").alias("article_id"), "url", "title", "source_id", "edit_count", "extension_count", "first_seen")

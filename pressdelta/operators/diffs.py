@@ -1,347 +1,87 @@
-"""Readable differences: reconciling change lists, inline diffs, cards, repeated live entries.
-
-The alignment itself is sequential work on one pair of texts (at most a few thousand characters, the stored windows are
-capped), so it runs in Python on Arrow batches.  What is done before and after it - decoding, exploding, counting,
-ranking - is DataFrame code.
-"""
+"""Readable differences: reconciling change lists, word diffs, cards, repeated live entries."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Iterator, Sequence
+from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from pressdelta.functions.text import decode_entities, para_key, trim_ws
-from pressdelta.operators.changes import CHANGE
+from pressdelta.functions.text import collapse_ws, decode_entities, para_key, trim_ws
 from pressdelta.operators.context import real_date_shift
+from pressdelta.operators.passages import listed, paired
 
-Op = tuple[str, str]  # (eq | del | ins | repl | gap, text)
-CHANGED = ("del", "ins", "repl")
-GAP: Op = ("gap", "")
-
-# --- fixed values: thresholds and patterns ------------------------------------------------------------------------------
+# --- fixed values: thresholds ---------------------------------------------------------------------------------------------
 PAIR_OVERLAP = 0.4        # token Jaccard from which a loose addition and a loose removal are one change
 PAIR_PREFIX = 80          # or this many common leading characters
-LONG_PAIR = 600           # characters of both sides from which a diff is cut into hunks
-MANY_BLOCKS = 40          # changed blocks above which words are replaced by lines
-REFINE_OVERLAP = 0.4
-CONFETTI_OVERLAP, CONFETTI_CHARS, ANCHOR_CHARS = 0.6, 120, 16
-HEAD_CHARS, TAIL_CHARS, SEAL_ANCHOR = 100, 120, 24
-HUNK_CONTEXT = 2
-LINE_SPLIT = re.compile(
-    r"(?=[0-9]{1,2}[.:][0-9]{2}\s*Uhr)|(?=(?:Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag),\s*[0-9])|(?<=[.!?»“\"])(?=[A-ZÄÖÜ])")
-_LETTERS = re.compile(r"[^\W\d_]+|\d+")
-_WORD = re.compile(r"\S+\s*")
-
-
-def _norm(s: str) -> str:
-    return " ".join(s.split())
-
-
-def _tokens(s: str) -> set[str]:
-    return set(_LETTERS.findall(s.lower()))
-
-
-def _overlap(a: str, b: str) -> float:
-    x, y = _tokens(a), _tokens(b)
-    return len(x & y) / len(x | y) if x and y else 0.0
-
-
-def _alnum(s: str) -> str:
-    return "".join(_LETTERS.findall(s.lower()))
-
-
-def _merge(ops: list[Op]) -> list[Op]:
-    return [(op, "".join(t for _, t in run)) for op, run in groupby(ops, key=lambda o: o[0])]
-
-
-def align(a: list[str], b: list[str]) -> list[Op]:
-    """Longest common subsequence as operations; where both ways are equally long, removals come first.
-
-    The table is filled row by row with array operations: the best of the row below, of a match, and of the entry to
-    the right is a running maximum from the right.
-    """
-    p = 0
-    while p < len(a) and p < len(b) and a[p] == b[p]:
-        p += 1
-    x, y = a[p:], b[p:]
-    codes: dict[str, int] = {}
-    cx = np.array([codes.setdefault(t, len(codes)) for t in x], dtype=np.int64)
-    cy = np.array([codes.setdefault(t, len(codes)) for t in y], dtype=np.int64)
-    table = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        row = np.maximum(table[i + 1, :-1], np.where(cy == cx[i], table[i + 1, 1:] + 1, 0))
-        table[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    ops: list[Op] = [("eq", t) for t in a[:p]]
-    i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            ops.append(("eq", x[i]))
-            i, j = i + 1, j + 1
-        elif i < len(x) and (j == len(y) or table[i + 1, j] >= table[i, j + 1]):
-            ops.append(("del", x[i]))
-            i += 1
-        else:
-            ops.append(("ins", y[j]))
-            j += 1
-    return ops
-
-
-def word_ops(old: str, new: str) -> list[Op]:
-    """Word diff; a word that only changed its punctuation or case is compared letter by letter."""
-    blocks = _merge(align(_WORD.findall(old), _WORD.findall(new)))
-    fine: list[Op] = []
-    skip = False
-    for here, nxt in zip(blocks, blocks[1:] + [("", "")]):
-        if skip:
-            skip = False
-        elif here[0] == "del" and nxt[0] == "ins" and max(len(here[1]), len(nxt[1])) <= 400 and _alnum(here[1]) and _alnum(here[1]) == _alnum(nxt[1]):
-            fine += align(list(here[1]), list(nxt[1]))
-            skip = True
-        else:
-            fine.append(here)
-    out = _merge(fine)
-    return [("repl", t) if op == "ins" and k and out[k - 1][0] == "del" else (op, t) for k, (op, t) in enumerate(out)]
-
-
-def line_ops(old: str, new: str) -> list[Op]:
-    """Line diff; runs of changed lines that are still alike are refined to words."""
-    cut = lambda s: [x for x in LINE_SPLIT.split(s) if x]
-    out: list[Op] = []
-    for equal, run in groupby(align(cut(old), cut(new)), key=lambda o: o[0] == "eq"):
-        run = list(run)
-        if equal:
-            out += run
-            continue
-        gone, came = ("".join(t for op, t in run if op == k) for k in ("del", "ins"))
-        if gone and came and _overlap(_norm(gone), _norm(came)) >= REFINE_OVERLAP:
-            out += word_ops(gone, came)
-        else:
-            out += [(k, t) for k, t in (("del", gone), ("ins", came)) if t]
-    return out
-
-
-def _sides(ops: list[Op]) -> tuple[str, str]:
-    return "".join(t for op, t in ops if op in ("eq", "del")), "".join(t for op, t in ops if op in ("eq", "ins", "repl"))
-
-
-def _join_blanks(ops: list[Op]) -> list[Op]:
-    """A removal and an insertion that differ in white space only are no change."""
-    out: list[Op] = []
-    for op, t in ops:
-        if op in ("ins", "repl") and out and out[-1][0] == "del" and "".join(out[-1][1].split()) == "".join(t.split()):
-            out[-1] = ("eq", t)
-        else:
-            out.append((op, t))
-    return _merge(out)
-
-
-def _calm(ops: list[Op]) -> list[Op]:
-    """Long unlike passages that only share small words become one removed and one inserted block."""
-    out: list[Op] = []
-    for anchor, run in groupby(ops, key=lambda o: o[0] == "eq" and len(_norm(o[1])) > ANCHOR_CHARS):
-        run = list(run)
-        old, new = _sides(run)
-        changes = sum(op != "eq" for op, _ in run)
-        mixed = not anchor and changes >= 2 and changes < len(run) and max(len(old), len(new)) >= CONFETTI_CHARS
-        if mixed and _overlap(_norm(old), _norm(new)) < CONFETTI_OVERLAP:
-            out += [(k, t) for k, t in (("del", old), ("ins", new)) if t.strip()]
-        else:
-            out += run
-    return _merge(out)
-
-
-def _seal_head(ops: list[Op]) -> list[Op]:
-    """A long removed start before the first common passage lay outside the other window."""
-    first = next((k for k, o in enumerate(ops) if o[0] == "eq"), -1)
-    head = ops[:max(first, 0)]
-    if head and all(op == "del" for op, _ in head) and sum(len(t) for _, t in head) >= HEAD_CHARS and len(_norm(ops[first][1])) >= SEAL_ANCHOR:
-        return [GAP, *ops[first:]]
-    return ops
 
-
-def _seal_tail(ops: list[Op], net_words: int) -> list[Op]:
-    """A long removed end that the other side only begins to repeat lay outside the other window, unless the article
-    really lost that many words."""
-    last = max((k for k, (op, t) in enumerate(ops) if op == "eq" and len(_norm(t)) >= SEAL_ANCHOR), default=-1)
-    tail = ops[last + 1:]
-    if last < 0 or not tail or any(op == "gap" for op, _ in tail):
-        return ops
-    old, new = _sides(tail)
-    lost = len(old.split())
-    if len(old) < TAIL_CHARS or len(_norm(new)) > 40 or not _norm(old).lower().startswith(_norm(new).lower()) or (net_words < 0 and -net_words >= lost / 2):
-        return ops
-    return [*ops[:last + 1], GAP]
-
-
-def _seal_cut_word(ops: list[Op], net_words: int) -> list[Op]:
-    """A last removed token that is only the beginning of the inserted text was cut by the length cap."""
-    at = len(ops) - 1
-    while at >= 0 and ops[at][0] in ("ins", "repl"):
-        at -= 1
-    if at < 0 or at == len(ops) - 1 or ops[at][0] != "del":
-        return ops
-    word = ops[at][1]
-    if re.search(r"\s", word.strip()) or word[-1:].isspace() or not ops[at + 1][1].lstrip().startswith(word.strip()):
-        return ops
-    grown = sum(len(t.split()) for _, t in ops[at + 1:])
-    return [*ops[:at], *ops[at + 1:]] if net_words > 0 and grown <= net_words + 6 else [*ops[:at], GAP]
-
-
-def tidy(ops: list[Op], net_words: int = 0) -> list[Op]:
-    """Clean-up in fixed order; sealing never hides the only visible change."""
-    calm = _calm(_join_blanks(ops))
-    sealed = _merge(_seal_cut_word(_seal_tail(_seal_head(calm), net_words), net_words))
-    seen = lambda o: any(op in CHANGED for op, _ in o)
-    return _merge(calm) if seen(calm) and not seen(sealed) else sealed
-
-
-def hunks(ops: list[Op], context: int = HUNK_CONTEXT) -> list[list[Op]]:
-    """Changes with some context; changes far apart become hunks of their own."""
-    at = [k for k, (op, _) in enumerate(ops) if op in CHANGED]
-    spans: list[list[int]] = []
-    for k in at:
-        if spans and k - spans[-1][1] - 1 <= context * 2:
-            spans[-1][1] = k
-        else:
-            spans.append([k, k])
-    return [ops[max(0, a - context):b + context + 1] for a, b in spans]
-
-
-def _head(s: str, n: int) -> str:
-    return re.sub(r"^\S*\s+", "", s[-n:])
-
-
-def _tail(s: str, n: int) -> str:
-    return re.sub(r"\s+\S*$", "", s[:n])
+WORD = re.compile(r"\S+\s*")
+DIFF_ROWS = "id bigint, item int, hunk int, seq int, op string, text string"
 
 
-def trim_hunk(ops: list[Op]) -> list[Op]:
-    """Long unchanged passages of a hunk are cut at word borders, the cut shows as a gap."""
-    out: list[Op] = []
-    for k, (op, t) in enumerate(ops):
-        if op != "eq" or len(t) <= 160:
-            out.append((op, t))
-        elif k == 0:
-            out += [GAP, ("eq", _head(t, 120))]
-        elif k == len(ops) - 1:
-            out += [("eq", _tail(t, 120)), GAP]
+def word_ops(old: str, new: str) -> list[tuple[str, str]]:
+    """Word diff of two texts: (eq | del | ins, text) in order; eq and del give the old text back, eq and ins the new one."""
+    a, b = WORD.findall(old), WORD.findall(new)
+    out = []
+    for kind, a0, a1, b0, b1 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if kind == "equal":
+            out.append(("eq", "".join(a[a0:a1])))
         else:
-            out += [("eq", _tail(t, 80)), GAP, ("eq", _head(t, 80))]
+            out += [(op, "".join(part)) for op, part in (("del", a[a0:a1]), ("ins", b[b0:b1])) if part]
     return out
 
 
-def _cut_fragment(old: str, new: str) -> str:
-    """Last word of a capped text, when the other side has the whole word."""
-    m = re.search(r"[^\W\d_]{4,}$", old)
-    if len(old) < 200 or old[-1] == "…" or not m:
-        return ""
-    frag = m.group().lower()
-    return m.group() if any(w.startswith(frag) and len(w) > len(frag) for w in re.findall(r"[^\W\d_]+", new.lower())) else ""
-
-
-def diff_pair(old: str, new: str, net_words: int = 0) -> list[list[Op]]:
-    """Hunks of one pair of texts."""
-    frag = _cut_fragment(old, new)
-    o, n = (old[:len(old) - len(frag)].rstrip() if frag else old), new
-    lead, trail = re.compile(r"^\s*…\s*"), re.compile(r"\s*…\s*$")
-    head_gap = bool(lead.search(o) and lead.search(n))
-    if head_gap:
-        o, n = lead.sub("", o), lead.sub("", n)
-        a, b = re.match(r"\S*\s+", o), re.match(r"\S*\s+", n)
-        if a and b and a.group() == b.group():
-            o, n = o[a.end():], n[b.end():]
-    tail_gap = bool(frag or trail.search(o) or trail.search(n))
-    o, n = trail.sub("", o), trail.sub("", n)
-    ops = word_ops(o, n)
-    if len(o) + len(n) > LONG_PAIR and sum(op != "eq" for op, _ in ops) > MANY_BLOCKS:
-        ops = line_ops(o, n)
-    ops = _merge([GAP] * head_gap + tidy(ops, net_words) + [GAP] * tail_gap)
-    if len(o) + len(n) <= LONG_PAIR:
-        return [ops]
-    return [trim_hunk(h) for h in hunks(ops)] or [ops]
-
-
-DIFF_ROWS = "id bigint, item int, hunk int, seq int, op string, text string"
-
-
 def _diff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = [(r.id, r.item, h, k, op, text) for r in pdf.itertuples(index=False) for h, ops in enumerate(diff_pair(r.old, r.new, int(r.net_words or 0))) for k, (op, text) in enumerate(ops)]
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in DIFF_ROWS.split(", ")])
+        rows = []
+        for key, item, old, new in zip(pdf["id"], pdf["item"], pdf["old"], pdf["new"]):
+            hunk, before = 0, "eq"
+            for seq, (op, text) in enumerate(word_ops(old, new)):
+                # a hunk is a run of changes and the unchanged words before it
+                hunk += op == "eq" and before != "eq"
+                before = op
+                rows.append((key, item, hunk, seq, op, text))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in DIFF_ROWS.split(", ")])
 
 
 def diff_ops(pairs: DataFrame) -> DataFrame:
-    """Inline diff of text pairs (id, item, old, new, net_words) in long form: (id, item, hunk, seq, op, text).  Pairs
-    are spread by their own hash first: the changes of one busy article do not stay in one task."""
-    d = pairs.select("id", F.col("item").cast("int").alias("item"), decode_entities(F.col("old"), collapse=False).alias("old"), decode_entities(F.col("new"), collapse=False).alias("new"),
-                     F.coalesce("net_words", F.lit(0)).cast("bigint").alias("net_words")).filter(F.col("old").isNotNull() & F.col("new").isNotNull())
-    return d.repartition(F.xxhash64("id", "item", "old")).mapInPandas(_diff_batches, DIFF_ROWS)
-
-
-def _raw_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = [(r.id, r.item, 0, k, op, text) for r in pdf.itertuples(index=False) for k, (op, text) in enumerate(word_ops(r.old, r.new))]
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in DIFF_ROWS.split(", ")])
-
-
-def raw_word_ops(pairs: DataFrame) -> DataFrame:
-    """The word diff without hunks and clean-up."""
+    """Inline word diff of text pairs (id, item, old, new) in long form: (id, item, hunk, seq, op, text).  Pairs are
+    spread by their own hash first: the changes of one busy article do not stay in one task."""
     d = pairs.select("id", F.col("item").cast("int").alias("item"), "old", "new").filter(F.col("old").isNotNull() & F.col("new").isNotNull())
-    return d.repartition(F.xxhash64("id", "item", "old")).mapInPandas(_raw_batches, DIFF_ROWS)
-
-
-# --- reconciling --------------------------------------------------------------------------------------------------------
-def _prefix(a: str, b: str) -> int:
-    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-
-
-def reconcile(pairs: list[tuple[str | None, str | None]]) -> list[tuple[str | None, str | None]]:
-    """Pair loose additions and removals that are the same passage; drop pairs that look the same."""
-    whole = [(o, n) for o, n in pairs if o and n]
-    rems = {k: o for k, o in enumerate(o for o, n in pairs if o and not n)}
-    plain = {k: _norm(o).lower() for k, o in rems.items()}
-    out = [(o, n) for o, n in whole if _norm(o) != _norm(n)]
-    for add in (n for o, n in pairs if n and not o):
-        score, neg = max(((_overlap(add, r), -k) for k, r in rems.items()), default=(0.0, 0))
-        if score < PAIR_OVERLAP:
-            key = _norm(add).lower()
-            length, neg = max(((_prefix(key, plain[k]), -k) for k in rems), default=(0, 0))
-            score = 1.0 if length >= PAIR_PREFIX else 0.0
-        if score < PAIR_OVERLAP:
-            out.append((None, add))
-            continue
-        old = rems.pop(-neg)
-        if _norm(old) != _norm(add):
-            out.append((old, add))
-    return out + [(rems[k], None) for k in sorted(rems)]
-
+    return d.repartition(F.xxhash64("id", "item", "old")).mapInPandas(_diff_batches, DIFF_ROWS)
 
-@F.pandas_udf(T.ArrayType(CHANGE))
-def _reconcile(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([None if o is None else [{"old": a, "new": b} for a, b in reconcile(list(zip(o, n)))] for o, n in zip(old, new)])
 
+def reconcile_changes(snapshots: DataFrame, keys: Sequence[str] = ("id",), column: str = "changes") -> DataFrame:
+    """The change list of each snapshot, decoded and reconciled, in place.
 
-def reconcile_changes(snapshots: DataFrame, column: str = "changes") -> DataFrame:
-    """The change list of each snapshot, decoded and reconciled, in place."""
-    side = lambda s: F.transform(F.col(column), lambda x: decode_entities(x[s], collapse=False))
-    return snapshots.withColumn(column, _reconcile(side("old"), side("new")))
+    Loose additions and removals that are the same passage become one change, by shared words or a long common beginning;
+    changes whose sides look the same go.  Whole changes come first, in their order.
+    """
+    keys = list(keys)
+    text = lambda s: F.nullif(decode_entities(F.col(f"x.{s}"), collapse=False), F.lit(""))
+    items = snapshots.select(*keys, F.posexplode(column).alias("pos", "x")).select(*keys, "pos", text("old").alias("o"), text("new").alias("n"))
+    whole = items.filter("o IS NOT NULL AND n IS NOT NULL").select(*keys, F.struct(F.lit(-1).alias("lone"), "pos").alias("place"), F.col("o").alias("old"), F.col("n").alias("new"))
+    loose = items.filter("(o IS NULL) <> (n IS NULL)").select(*keys, F.col("o").isNotNull().alias("old"), "pos", F.coalesce("o", "n").alias("text"))
+    both = whole.unionByName(paired(loose, keys, PAIR_OVERLAP, PAIR_PREFIX))
+    seen = both.filter(~F.coalesce(collapse_ws(F.col("old")) == collapse_ws(F.col("new")), F.lit(False)))
+    rest = [c for c in snapshots.columns if c != column]
+    done = snapshots.select(*rest, F.col(column).isNotNull().alias("__had")).join(listed(seen, keys, column), keys, "left")
+    empty = F.array().cast("array<struct<old:string,new:string>>")
+    return done.withColumn(column, F.when(F.col("__had"), F.coalesce(column, empty))).select(*snapshots.columns)
 
 
 # --- cards ----------------------------------------------------------------------------------------------------------------
-def change_cards(snapshots: DataFrame, key: str = "id", shown: int = 3) -> DataFrame:
+def change_cards(snapshots: DataFrame, key: str = "id", shown: int | None = None) -> DataFrame:
     """Facts of a change card from reconciled changes: (id, shown, more, added_paras, removed_paras, date_changed).
-    The largest passages are shown, the rest is counted; paragraph counts come from the reconciled list."""
+    The largest passages come first; with `shown` so many are given and the rest is counted; paragraph counts come from the reconciled list."""
     ch = F.coalesce("changes", F.array().cast("array<struct<old:string,new:string>>"))
     size = lambda x: F.coalesce(F.length(x["old"]), F.lit(0)) + F.coalesce(F.length(x["new"]), F.lit(0))
     ranked = F.array_sort(F.transform(ch, lambda x, i: F.struct((-size(x)).alias("o"), i.alias("i"), x["old"].alias("old"), x["new"].alias("new"))))
     only = lambda have, lack: F.size(F.filter(ch, lambda x: (F.coalesce(x[have], F.lit("")) != "") & (F.coalesce(x[lack], F.lit("")) == "")))
     return snapshots.select(
-        key, F.transform(F.slice(ranked, 1, shown), lambda x: F.struct(x["old"].alias("old"), x["new"].alias("new"))).alias("shown"), F.greatest(F.size(ch) - shown, F.lit(0)).alias("more"),
+        key, F.transform(ranked if shown is None else F.slice(ranked, 1, shown), lambda x: F.struct(x["old"].alias("old"), x["new"].alias("new"))).alias("shown"), F.lit(0).alias("more") if shown is None else F.greatest(F.size(ch) - shown, F.lit(0)).alias("more"),
         only("new", "old").alias("added_paras"), only("old", "new").alias("removed_paras"), real_date_shift(F.col("pubdate_old"), F.col("pubdate_new")).alias("date_changed"))
 
 
@@ -359,8 +99,8 @@ def first_shown(paras: DataFrame, order: str = "captured_at") -> DataFrame:
     return paras.join(first, ["article_id", "key"]).withColumn("hidden", F.col(order) > F.col("__first")).drop("__first")
 
 
-def added_sections(paras: DataFrame, shown: int = 5, order: str = "captured_at") -> DataFrame:
-    """First new paragraphs of a snapshot that were not shown before, and how many more there are."""
+def added_sections(paras: DataFrame, shown: int | None = None, order: str = "captured_at") -> DataFrame:
+    """New paragraphs of a snapshot that were not shown before; with `shown` the first so many, and how many more there are."""
     fresh = first_shown(paras, order).filter(~F.col("hidden"))
     lists = fresh.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "para"))).alias("p"))
-    return lists.select("id", F.transform(F.slice("p", 1, shown), lambda x: x["para"]).alias("sections"), F.greatest(F.size("p") - shown, F.lit(0)).alias("more"))
+    return lists.select("id", F.transform(F.col("p") if shown is None else F.slice("p", 1, shown), lambda x: x["para"]).alias("sections"), F.lit(0).alias("more") if shown is None else F.greatest(F.size("p") - shown, F.lit(0)).alias("more"))

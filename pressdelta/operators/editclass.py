@@ -116,12 +116,12 @@ def tag_rank(key: Column) -> Column:
     return F.array_position(_lexicon(K.TAG_PRIORITY), key)
 
 
-def classify_snapshots(snapshots: DataFrame, limit: int = 3, key: str = "id") -> DataFrame:
+def classify_snapshots(snapshots: DataFrame, limit: int | None = None, key: str = "id") -> DataFrame:
     """Tags of snapshots: (id, tags[key, reason]).
 
     Snapshots bring reconciled changes (array<struct<old,new>>), title_old, title_new, added.  Pairs are tagged one by
     one after an explode; per snapshot the first reason of each tag stays, 'rephrase' only shows alone, the strongest
-    `limit` tags are kept.
+    come first; `limit` keeps so many.
     """
     c = F.col
     title = F.coalesce((c("title_old") != "") & (c("title_new") != ""), F.lit(False))
@@ -137,7 +137,7 @@ def classify_snapshots(snapshots: DataFrame, limit: int = 3, key: str = "id") ->
     per = both.unionByName(one).unionByName(show).groupBy(key, F.col("t.key").alias("tag")).agg(F.min(F.struct("pos", "i", "t.reason")).alias("f"))
     tags = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(tag_rank(c("tag")).alias("rank"), c("tag").alias("key"), c("f.reason").alias("reason")))).alias("all"))
     shown = F.when(F.size("all") > 1, F.filter("all", lambda t: t["key"] != "rephrase")).otherwise(c("all"))
-    return tags.select(key, F.transform(F.slice(shown, 1, limit), lambda t: F.struct(t["key"].alias("key"), t["reason"].alias("reason"))).alias("tags"))
+    return tags.select(key, F.transform(shown if limit is None else F.slice(shown, 1, limit), lambda t: F.struct(t["key"].alias("key"), t["reason"].alias("reason"))).alias("tags"))
 
 
 def tag_counts(tags: DataFrame, facts: DataFrame, *by: str, key: str = "id") -> DataFrame:

@@ -37,7 +37,7 @@ PAYWALL_MARKERS = (
 )
 PAYWALL_PROBES = {
     "iaff-false": r"(?i)\"isAccessibleForFree\"\s*:\s*\"?false\"?", "iaff-true": r"(?i)\"isAccessibleForFree\"\s*:\s*\"?true\"?", "haspart": r"(?i)\"hasPart\"", "jetzt-kostenlos": r"(?i)Jetzt kostenlos",
-    "f-plus": r"\bF\+", "bildplus": r"(?i)BILDplus", "spiegelplus": r"SPIEGEL\s?\+|\bS\+", "weiterlesen-mit": r"(?i)weiterlesen mit",
+    "f-plus": r"(?<![A-Za-z0-9_])F\+(?=[A-Za-z0-9_])", "bildplus": r"(?i)BILDplus", "spiegelplus": r"SPIEGEL\s?\+|(?<![A-Za-z0-9_])S\+(?=[A-Za-z0-9_])", "weiterlesen-mit": r"(?i)weiterlesen mit",
     "piano": r"(?i)tp-modal|tp-container|class=\"[^\"]*piano|id=\"piano\"", "abo-schranke": r"(?i)nur mit Abo|Abonnement erforderlich|Zugang erforderlich|Diese Funktion ist .{0,20}Abonnenten",
 }
 PROBED_HOSTS = r"(^|\.)(faz\.net|bild\.de|spiegel\.de)$"
@@ -299,11 +299,12 @@ def backfill_paywall(articles: DataFrame, captures: DataFrame) -> DataFrame:
     return articles.join(sure, "url", "left").withColumn("paywalled", F.when(F.col("__free") & F.col("paywalled"), F.lit(False)).otherwise(F.col("paywalled"))).select(*articles.columns)
 
 
-def paywall_marker_counts(captures: DataFrame, per_host: int = 60) -> DataFrame:
-    """How often each paywall marker occurs in a sample of captures per host: (host, captures, marker, n)."""
+def paywall_marker_counts(captures: DataFrame, per_host: int | None = None) -> DataFrame:
+    """How often each paywall marker occurs per host: (host, captures, marker, n); `per_host` takes a sample of so many captures."""
     host = url_host(F.col("url"))
     rows = captures.withColumn("host", host).filter(F.col("host").rlike(PROBED_HOSTS))
-    rows = top_per_group(rows.select("host", "url", "html"), ["host"], [F.asc("url")], per_host, spread=["url"])
+    if per_host is not None:
+        rows = top_per_group(rows.select("host", "url", "html"), ["host"], [F.asc("url")], per_host, spread=["url"])
     flags = F.array(*[F.struct(F.lit(n).alias("marker"), F.col("html").rlike(p).alias("hit")) for n, p in PAYWALL_PROBES.items()])
     return rows.select("host", F.explode(flags).alias("x")).groupBy("host", "x.marker").agg(F.count("*").alias("captures"), F.count_if("x.hit").alias("n"))
 
@@ -336,10 +337,11 @@ def missing_keywords(t: Tables, budget: int, sources: int) -> DataFrame:
     return top_per_group(a.select("source_id", "id", "url"), ["source_id"], [F.asc("id")], share, spread=["id"]).drop("rn").orderBy("source_id", "id").limit(budget)
 
 
-def upsert_dimension(dim: DataFrame, junction: DataFrame, values: DataFrame, key: str, name: str, limit: int = 25) -> tuple[DataFrame, DataFrame]:
-    """New dimension values and links: `values` is (article_id, values array), up to `limit` per article.
+def upsert_dimension(dim: DataFrame, junction: DataFrame, values: DataFrame, key: str, name: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """New dimension values and links: `values` is (article_id, values array); `limit` takes the first so many per article.
     Ids of new values are a 64-bit hash of the text, so that no counter is shared."""
-    v = values.select("article_id", F.explode(F.slice(F.array_distinct(F.filter(F.transform("values", lambda x: trim_ws(x)), lambda x: x != "")), 1, limit)).alias(name))
+    clean = F.array_distinct(F.filter(F.transform("values", lambda x: trim_ws(x)), lambda x: x != ""))
+    v = values.select("article_id", F.explode(clean if limit is None else F.slice(clean, 1, limit)).alias(name))
     fresh = v.select(name).distinct().join(dim.select(name), name, "left_anti").select(F.xxhash64(name).alias("id"), name)
     grown = dim.select("id", name).unionByName(fresh)
     links = v.join(grown.select(F.col("id").alias(key), name), name).select("article_id", key).distinct()

@@ -152,7 +152,7 @@ def select_articles(t: Tables, p: FilterParams) -> DataFrame:
     return rows
 
 
-def search_articles(t: Tables, q: str, sources: tuple[int, ...] = (), limit: int | None = 1200) -> DataFrame:
+def search_articles(t: Tables, q: str, sources: tuple[int, ...] = (), limit: int | None = None) -> DataFrame:
     """Articles whose title, URL, description, topic, keywords or categories contain the text, ignoring case.
 
     The dimension tables are searched once and their hits reduced to article ids; the article table is scanned once.
@@ -178,7 +178,7 @@ def search_articles(t: Tables, q: str, sources: tuple[int, ...] = (), limit: int
     return ids.orderBy("article_id").limit(limit) if limit else ids
 
 
-def search_many(t: Tables, terms: tuple[str, ...], sources: tuple[int, ...] = (), limit: int | None = 1200) -> DataFrame:
+def search_many(t: Tables, terms: tuple[str, ...], sources: tuple[int, ...] = (), limit: int | None = None) -> DataFrame:
     """Hits per term: (term, article_id).  The set of a combined search is the distinct article_id of it."""
     return reduce(DataFrame.union, [search_articles(t, q, sources, limit).select(F.lit(q).alias("term"), "article_id") for q in terms])
 

@@ -10,6 +10,10 @@ from pressdelta.plans.patterns import small, top_per_group
 from pressdelta.sources.tables import Tables
 
 
+# articles of a keyword in one block of the neighbour join
+BLOCK = 2000
+
+
 def keyword_opts(t: Tables, p: FilterParams = FilterParams(), limit: int = 80) -> DataFrame:
     """Most used keywords among the filtered articles: (term, n).  Counts per integer key, cuts, then looks up the
     text of the winners only."""
@@ -25,11 +29,11 @@ def keyword_opts(t: Tables, p: FilterParams = FilterParams(), limit: int = 80) -
     return terms.select("term", "n").orderBy(F.desc("n"), "term")
 
 
-def keyword_trends(t: Tables, p: FilterParams = FilterParams(), limit: int = 300) -> DataFrame:
-    """Day series of the most used keywords, long form: (term, total, d, n).
+def keyword_trends(t: Tables, p: FilterParams = FilterParams(), limit: int | None = None) -> DataFrame:
+    """Day series of keywords, long form: (term, total, d, n); `limit` keeps the most used ones.
 
-    Mentions are counted per (keyword, day) and per keyword on integer keys, the top is cut, and the text is joined
-    to the winners only.  Both aggregations combine on the map side.
+    Mentions are counted per (keyword, day) and per keyword on integer keys, the top is cut if asked for, and the text is joined
+    to what is left.  Both aggregations combine on the map side.
     """
     arts = select_articles(t, p).select(F.col("id").alias("article_id"), axis_time(p.axis, first="first_seen").alias("t")).filter(F.col("t").isNotNull())
     if p.range_from is not None:
@@ -40,9 +44,9 @@ def keyword_trends(t: Tables, p: FilterParams = FilterParams(), limit: int = 300
     daily = t.article_keywords.join(days, "article_id").groupBy("keyword_id", "d").agg(F.count("*").alias("n"))
     totals = daily.groupBy("keyword_id").agg(F.sum("n").alias("total"))
     named = totals.join(t.keywords.select(F.col("id").alias("keyword_id"), "term"), "keyword_id")
-    top = named.orderBy(F.desc("total"), "term").limit(limit)
-    # at most `limit` rows by construction
-    return daily.join(F.broadcast(top), "keyword_id").select("term", "total", "d", "n")
+    # a cut table has at most `limit` rows
+    top = named if limit is None else F.broadcast(named.orderBy(F.desc("total"), "term").limit(limit))
+    return daily.join(top, "keyword_id").select("term", "total", "d", "n")
 
 
 def trend_series(trends: DataFrame) -> DataFrame:
@@ -144,26 +148,27 @@ def article_terms(t: Tables, ids: DataFrame | None = None, shown: int = 6) -> Da
     return lists.withColumn("shown", F.slice("terms", 1, shown))
 
 
-def neighbours(t: Tables, overview: DataFrame | None = None, ids: DataFrame | None = None, own: int = 24, max_df: int = 1200,
+def neighbours(t: Tables, overview: DataFrame | None = None, ids: DataFrame | None = None, own: int | None = None, max_df: int | None = None,
                min_shared: int = 2, k: int = 8) -> DataFrame:
     """Articles that share rare keywords: (article_id, neighbour_id, score, shared, cross).
 
-    Of each article the first `own` keywords count, and of those only keywords with at most `max_df` articles; the
-    frequent ones are cut before the join, which bounds the fan-out of one article by own * max_df.  Score is the sum
-    of 1/sqrt(df).  Pairs are summed on the map side before they are shuffled.
+    Score is the sum of 1/sqrt(df) over the shared keywords.  The articles of a keyword are dealt into blocks of `BLOCK` on one
+    side of the join, and the other side is sent to every block, so a keyword that many articles carry is worked on by many
+    tasks; pairs are summed on the map side before they are shuffled, and the ranking runs in two rounds.  `own` and `max_df`
+    leave keywords out if asked for: all but the first of an article, and those of more articles.
     """
-    df = keyword_dfs(t).filter(F.col("df") <= max_df)
-    links = t.article_keywords.join(df, "keyword_id").select("article_id", "keyword_id", (F.lit(1.0) / F.sqrt("df")).alias("w"))
+    df = keyword_dfs(t)
+    df = df if max_df is None else df.filter(F.col("df") <= max_df)
+    links = t.article_keywords.join(df, "keyword_id").select("article_id", "keyword_id", (F.lit(1.0) / F.sqrt("df")).alias("w"), F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
     # rank before the frequency cut: the first keywords of an article are chosen among all of its keywords
-    order = W.partitionBy("article_id").orderBy("keyword_id")
-    mine = t.article_keywords.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= own).drop("rn").join(df, "keyword_id").select("article_id", "keyword_id")
+    mine = t.article_keywords if own is None else top_per_group(t.article_keywords, ["article_id"], [F.asc("keyword_id")], own, spread=["keyword_id"]).drop("rn")
+    mine = mine.join(df, "keyword_id").select("article_id", "keyword_id", F.explode(F.sequence(F.lit(0), F.ceil(F.col("df") / BLOCK).cast("int") - 1)).alias("block"))
     if ids is not None:
         mine = mine.join(ids.select("article_id").distinct(), "article_id", "left_semi")
-    other = links.withColumnRenamed("article_id", "neighbour_id")
-    pairs = mine.join(other, "keyword_id").filter(F.col("article_id") != F.col("neighbour_id"))
+    other = links.withColumn("block", F.pmod(F.xxhash64("article_id"), F.col("blocks")).cast("int")).withColumnRenamed("article_id", "neighbour_id").drop("blocks")
+    pairs = mine.join(other, ["keyword_id", "block"]).filter(F.col("article_id") != F.col("neighbour_id"))
     scored = pairs.groupBy("article_id", "neighbour_id").agg(F.sum("w").alias("score"), F.count("*").alias("shared")).filter(F.col("shared") >= min_shared)
-    rank = F.row_number().over(W.partitionBy("article_id").orderBy(F.desc(F.round("score", 9)), "neighbour_id"))
-    best = scored.withColumn("rn", rank).filter(F.col("rn") <= k)
+    best = top_per_group(scored, ["article_id"], [F.desc(F.round("score", 9)), F.asc("neighbour_id")], k, spread=["neighbour_id"])
     if overview is None:
         return best.select("article_id", "neighbour_id", "rn", "score", "shared")
     facts = overview.select(F.col("article_id").alias("neighbour_id"), F.col("source_id").alias("n_source"), "title", "outlet", "country")

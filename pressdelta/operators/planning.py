@@ -76,30 +76,30 @@ def select_rescans(t: Tables, now, budget: int, sources: DataFrame | None = None
     """Articles to scan again: (url, source_id, stage, rn).
 
     Three age tiers with their share of the budget, then articles that are still linked, then the most overdue ones;
-    what a stage does not use is left to the next.  Every stage is cut to the budget before it is numbered, so the
-    numbering and the roll-over only see a few budgets of rows.
+    what a stage does not use is left to the next, and only a URL that was really taken is closed to later stages.  A
+    stage can lose at most one budget of its rows to earlier ones, so two budgets of rows of each are enough, and the choice is a
+    fold over that bounded list.
     """
     sources = active_ids(t) if sources is None else sources
     ago = lambda h: as_ts(now) - F.expr(f"INTERVAL {h} HOURS")
-    # the tier ranges share their borders: a later stage brings at most what earlier ones took as well
-    stages = [(f"tier{k + 1}", rescan_tier(t, now, low, high, due, sources, budget * (k + 1)), math.ceil(budget * w)) for k, (high, low, due, w) in enumerate(tiers) if high > low]
-    stages.append(("linked", linked_stale(t, sources, ago(LINKED_SEEN_H), ago(LINKED_DUE_H), budget * 4), budget))
-    stages.append(("overdue", overdue(t, sources, as_ts(now) - F.expr(f"INTERVAL {horizon_days} DAYS"), budget * 5), budget))
-    numbered = [d.withColumns({"stage": F.lit(n), "no": F.lit(i), "slice": F.lit(cap)}) for i, (n, d, cap) in enumerate(stages)]
-    pool = reduce(DataFrame.unionByName, numbered)
-    # a URL belongs to the first stage that offers it
-    first = pool.groupBy("url").agg(F.min_by(F.struct("source_id", "last_seen", "id", "stage", "no", "slice"), "no").alias("x")).select("url", "x.*")
-    ranked = first.withColumn("rn", F.row_number().over(W.partitionBy("stage").orderBy("last_seen", "id")))
-    have = ranked.groupBy("no").agg(F.count("*").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("no", "k"))).alias("m"))
-    steps = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(cap).cast("bigint").alias("cap")) for i, (_, _, cap) in enumerate(stages)])
-    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast("array<bigint>").alias("takes"))
-
-    def roll(acc: Column, step: Column) -> Column:
-        take = F.least(acc["left"], step["cap"], F.coalesce(F.try_element_at("m", step["no"]), F.lit(0)))
-        return F.struct((acc["left"] - take).alias("left"), F.concat(acc["takes"], F.array(take)).alias("takes"))
-
-    limits = have.select(F.aggregate(steps, start, roll, lambda acc: acc["takes"]).alias("takes")).select("takes").scalar()
-    return ranked.withColumn("__lim", F.get(limits, F.col("no"))).filter(F.col("rn") <= F.col("__lim")).select("url", "source_id", "stage", F.col("rn").cast("bigint").alias("rn"))
+    tiers = [*tiers[:-1], (horizon_days * 24, *tiers[-1][1:])]
+    most = 2 * budget
+    stages = [(f"tier{k + 1}", rescan_tier(t, now, low, high, due, sources, most), math.ceil(budget * w)) for k, (high, low, due, w) in enumerate(tiers) if high > low]
+    stages.append(("linked", linked_stale(t, sources, ago(LINKED_SEEN_H), ago(LINKED_DUE_H), most), budget))
+    stages.append(("overdue", overdue(t, sources, as_ts(now) - F.expr(f"INTERVAL {horizon_days} DAYS"), most), budget))
+    pool = reduce(DataFrame.unionByName, [d.withColumns({"no": F.lit(i), "stage": F.lit(n), "share": F.lit(cap)}) for i, (n, d, cap) in enumerate(stages)])
+    listed = pool.agg(F.array_sort(F.collect_list(F.struct("no", "last_seen", "id", "url", "source_id", "stage", "share"))).alias("rows"))
+    taken = "array<struct<url:string,source_id:int,stage:string,rn:bigint>>"
+    kind = dict(pool.dtypes)["source_id"]
+    start = F.struct(F.lit(-1).alias("no"), F.lit(0).cast("bigint").alias("got"), F.array().cast(taken.replace("source_id:int", f"source_id:{kind}")).alias("taken"))
+
+    def step(acc: Column, row: Column) -> Column:
+        got = F.when(acc["no"] == row["no"], acc["got"]).otherwise(F.lit(0).cast("bigint"))
+        free = (F.size(acc["taken"]) < budget) & (got < row["share"]) & ~F.exists(acc["taken"], lambda x: x["url"] == row["url"])
+        one = F.struct(row["url"].alias("url"), row["source_id"].alias("source_id"), row["stage"].alias("stage"), (got + 1).alias("rn"))
+        return F.struct(row["no"].alias("no"), F.when(free, got + 1).otherwise(got).alias("got"), F.when(free, F.concat(acc["taken"], F.array(one))).otherwise(acc["taken"]).alias("taken"))
+
+    return listed.select(F.explode(F.aggregate("rows", start, step, lambda acc: acc["taken"])).alias("x")).select("x.url", "x.source_id", "x.stage", "x.rn")
 
 
 def drop_gone(queue: DataFrame, pages: DataFrame, now) -> DataFrame:

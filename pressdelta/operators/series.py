@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pressdelta.functions.timeutil import as_ts, axis_time, berlin_day, bucket, bucket_spine, to_utc, berlin_local
 from pressdelta.operators.dashboards import topic_or_rest
 from pressdelta.operators.filters import FilterParams, filter_corpus
+from pressdelta.plans.patterns import first_rows
 
 
 def _key(by: str) -> Column:
@@ -24,17 +25,17 @@ def _source_keys(sources: DataFrame, p: FilterParams) -> DataFrame:
     return rows.select(F.col("id").cast("string").alias("series"))
 
 
-def rate_series(corpus: DataFrame, p: FilterParams, start, end, unit: str, by: str = "source", sources: DataFrame | None = None, top: int = 10,
+def rate_series(corpus: DataFrame, p: FilterParams, start, end, unit: str, by: str = "source", sources: DataFrame | None = None, top: int | None = None,
                 ids: DataFrame | None = None) -> DataFrame:
     """Articles per bucket, zero-filled: (series, bucket, n).
 
-    By source every active source has a series, by topic the `top` largest have one.  Rows are counted per bucket
+    By source every active source has a series, by topic every topic, or the `top` largest.  Rows are counted per bucket
     with map-side combining first; only the counts are joined to the bucket spine.
     """
     rows = filter_corpus(corpus, p.with_(range_from=start, range_to=end), ids)
     counts = rows.groupBy(_key(by).alias("series"), bucket(axis_time(p.axis), unit).alias("bucket")).agg(F.count("*").alias("n"))
     if by == "topic":
-        keys = counts.groupBy("series").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "series").limit(top).select("series")
+        keys = first_rows(counts.groupBy("series").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "series"), top).select("series")
     elif by == "source" and sources is not None:
         keys = _source_keys(sources, p)
     elif by == "total":
@@ -44,13 +45,13 @@ def rate_series(corpus: DataFrame, p: FilterParams, start, end, unit: str, by: s
     return _fill(counts, keys, start, end, unit)
 
 
-def day_series(corpus: DataFrame, p: FilterParams, first_day, last_day, by: str = "source", sources: DataFrame | None = None, top: int = 10) -> DataFrame:
+def day_series(corpus: DataFrame, p: FilterParams, first_day, last_day, by: str = "source", sources: DataFrame | None = None, top: int | None = None) -> DataFrame:
     """Articles per Berlin day between two days, all filters but time: (series, day, n)."""
     rows = filter_corpus(corpus, p, skip_time=True).select(_key(by).alias("series"), berlin_day(axis_time(p.axis)).alias("day"))
     rows = rows.filter(F.col("day").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
     counts = rows.groupBy("series", "day").agg(F.count("*").alias("n"))
     if by == "topic":
-        keys = counts.groupBy("series").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "series").limit(top).select("series")
+        keys = first_rows(counts.groupBy("series").agg(F.sum("n").alias("k")).orderBy(F.desc("k"), "series"), top).select("series")
     else:
         keys = _source_keys(sources, p) if sources is not None else counts.select("series").distinct()
     spine = keys.withColumn("day", F.explode(F.sequence(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))))

@@ -37,6 +37,11 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return kept.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def first_rows(df: DataFrame, k: int | None) -> DataFrame:
+    """The first k rows of a sorted table, or all of them."""
+    return df if k is None else df.limit(k)
+
+
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, step: float, q: float | Column = 0.5,
                     out: str = "quantile", count: str = "n") -> DataFrame:
     """Exact interpolated quantile of `value` per key: (keys, n, quantile).

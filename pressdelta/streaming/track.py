@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pressdelta.functions.text import decode_entities, letter_tokens
-from pressdelta.operators.changes import META_COLUMNS, advance, new_state, pair_changes, with_fingerprints, with_paragraphs
+from pressdelta.operators.changes import META_COLUMNS, advance, new_state, with_fingerprints, with_paragraphs
+from pressdelta.operators.passages import changes_of
 
 OUTPUT = ("article_id bigint, captured_at timestamp, change_kind string, title_old string, title_new string, added_count bigint, removed_count bigint, "
           "word_delta bigint, changes array<struct<old:string,new:string>>, meta_edits array<struct<field:string,old:string,new:string>>, revision_count bigint, extension_count bigint, edit_count bigint")
@@ -59,7 +60,7 @@ def step(mem: dict, row: dict) -> dict | None:
     gone = [(p, t) for f, p, t in zip(old_fps, mem.get("paras", []), mem.get("tokens", [])) if f not in news]
     state = mem.setdefault("state", new_state())
     first = not state["seen"]
-    items = [] if first or not (added or removed) else pair_changes([p for p, _ in gone], [t for _, t in gone], [p for p, _ in fresh], [t for _, t in fresh])
+    items = [] if first or not (added or removed) else changes_of(gone, fresh)
     rec = advance(state, {"hash": row["hash"], "sig": _flip(old_fps, new_fps), "added": len(added), "removed": removed, "visible": bool(items), "title": title_edit,
                           "meta": bool(edits), "pub_prev": row["pub_prev"], "pub_new": row["pub_new"], "live": row["live"]})
     words = mem.get("words", row["words"])
@@ -67,7 +68,7 @@ def step(mem: dict, row: dict) -> dict | None:
     if rec is None:
         return None
     if rec["growing"]:
-        items = [(None, p[:1500]) for p, _ in fresh]
+        items = [(None, p) for p, _ in fresh]
     return {"change_kind": rec["kind"], "title_old": before if title_edit else None, "title_new": title if title_edit else None, "added_count": len(added),
             "removed_count": 0 if rec["growing"] else removed, "word_delta": row["words"] - words, "changes": [{"old": o, "new": n} for o, n in items], "meta_edits": edits,
             "revision_count": rec["rev"], "extension_count": rec["ext"], "edit_count": rec["edit"]}

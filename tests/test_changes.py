@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from pressdelta.operators import changes as ch
+from pressdelta.operators import changes as ch, passages as ps
 from pressdelta.sources.tables import SCHEMAS, Tables, conform
 
 T0 = dt.datetime(2026, 1, 1)
@@ -70,20 +70,26 @@ def test_many_articles_share_nothing(spark):
     assert ch.track_changes(many).groupBy("article_id").count().filter("count <> 1").count() == 0
 
 
-@given(st.lists(st.sampled_from("abcdef"), max_size=6), st.lists(st.sampled_from("abcdef"), max_size=6))
-@settings(max_examples=60, deadline=None)
-def test_pairing_accounts_for_every_paragraph(old, new):
-    tok = lambda xs: [[x, x * 2] for x in xs]
-    out = ch.pair_changes(old, tok(old), new, tok(new), limit=100)
-    assert sum(n is not None for _, n in out) + sum(o is not None and n is None for o, n in out) <= len(old) + len(new)
-    assert all(o != n for o, n in out)
+PASSAGES = st.lists(st.text(alphabet="abcd ", min_size=1, max_size=12).filter(str.strip), max_size=5, unique=True)
 
 
-def test_diff_region():
+@given(st.lists(st.tuples(PASSAGES, PASSAGES), min_size=1, max_size=12))
+@settings(max_examples=4, deadline=None)
+def test_batch_and_stream_pair_alike(spark, pairs):
+    rows = spark.createDataFrame([(i, o, n) for i, (o, n) in enumerate(pairs)], "id int, removed array<string>, added array<string>")
+    got = {r.id: [(c.old, c.new) for c in r.changes] for r in ps.list_changes(rows, ["id"], "removed", "added").collect()}
+    tok = lambda xs: [(x, sorted(set(x.split()))) for x in xs]
+    for i, (old, new) in enumerate(pairs):
+        want = ps.changes_of(tok(old), tok(new))
+        assert got.get(i, []) == want
+        assert sum(n is not None for _, n in want) <= len(new) and sum(o is not None for o, _ in want) <= len(old)
+
+
+def test_diff_region(spark):
     a, b = "x" * 300 + "alt" + "y" * 300, "x" * 300 + "neu!" + "y" * 300
-    o, n = ch.diff_region(a, b)
-    assert o == "…" + "x" * 140 + "alt" + "y" * 140 + "…" and n == "…" + "x" * 140 + "neu!" + "y" * 140 + "…"
-    assert ch.diff_region("gleich", "gleich") == ("gleich", "gleich")
+    want = ("…" + "x" * 140 + "alt" + "y" * 140 + "…", "…" + "x" * 140 + "neu!" + "y" * 140 + "…")
+    rows = spark.createDataFrame([(a, b), ("gleich", "gleich"), ("aaa", "aa"), ("", "x")], "o string, n string").select("o", "n", ps.diff_region(F.col("o"), F.col("n")).alias("r")).collect()
+    assert [(r.r.old, r.r.new) for r in rows] == [ps.region_of(r.o, r.n) for r in rows] and ps.region_of(a, b) == want
 
 
 def test_flip_signature_is_symmetric(spark):

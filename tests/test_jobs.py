@@ -80,6 +80,25 @@ def test_rescan_tier_borders(spark):
     assert got == {"u1": "tier1", "u3": "tier1", "u4": "tier2", "u5": "tier3", "u6": "linked", "u2": "overdue"}
 
 
+def test_what_a_full_tier_leaves_goes_to_later_stages(spark):
+    h = lambda n: NOW - dt.timedelta(hours=n)
+    a = table(spark, "articles", [(i, 1, f"u{i:02}", h(2), h(2), h(3 + i), "T") for i in range(20)], "id bigint, source_id bigint, url string, published_at timestamp_ntz, first_seen timestamp_ntz, last_seen timestamp_ntz, title string")
+    pages = table(spark, "pages", [(1, 1, "u01", "article", h(80), h(1))], "id bigint, source_id bigint, url string, kind string, first_seen timestamp_ntz, last_seen timestamp_ntz")
+    s = table(spark, "sources", [(1, True)], "id bigint, active boolean")
+    got = [(r.url, r.stage, r.rn) for r in pl.select_rescans(Tables(articles=a, pages=pages, sources=s), NOW, 20).collect()]
+    want = [(f"u{i:02}", "tier1", 20 - i) for i in range(19, 8, -1)] + [(f"u{i:02}", "overdue", 9 - i) for i in range(8, -1, -1)]
+    assert sorted(got) == sorted(want)
+
+
+def test_horizon_sets_the_last_tier(spark):
+    h = lambda n: NOW - dt.timedelta(hours=n)
+    a = table(spark, "articles", [(1, 1, "u1", h(100), h(100), h(30), "T")], "id bigint, source_id bigint, url string, published_at timestamp_ntz, first_seen timestamp_ntz, last_seen timestamp_ntz, title string")
+    pages = table(spark, "pages", [], "id bigint, source_id bigint, url string, kind string, first_seen timestamp_ntz, last_seen timestamp_ntz")
+    t = Tables(articles=a, pages=pages, sources=table(spark, "sources", [(1, True)], "id bigint, active boolean"))
+    assert pl.select_rescans(t, NOW, 20).count() == 0
+    assert [r.stage for r in pl.select_rescans(t, NOW, 20, horizon_days=5).collect()] == ["tier3"]
+
+
 def test_unit_vectors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(4, 8))
