@@ -312,7 +312,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     wanted = groups.join(firsts.select("node", "doc_id", "h1", "h2", "size"), "node")
     cut = store(dealt(wanted, "group", "node", F.col("size")), "candidates")
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("text"))
-    found = texts.join(cut, texts["__id"].eqNullSafe(cut["doc_id"])).select("group", "low", "high", "side", "node", "h1", "h2", "text")
+    # texts are shuffled once at every size: the candidates grow with the input
+    found = texts.join(cut.hint("merge"), texts["__id"].eqNullSafe(cut["doc_id"])).select("group", "low", "high", "side", "node", "h1", "h2", "text")
     links = found.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high").mapInArrow(similar(similarity), EDGE)
     joined = components(links.distinct()).withColumnRenamed("group", "class")
     placed = firsts.select("h1", "h2", "node", "least", "copies").join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
