@@ -131,21 +131,32 @@ def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 def components(edges: DataFrame) -> DataFrame:
     """(node, group) of an undirected graph (a, b): `group` is the smallest node that can be reached.
 
-    Every node takes the smallest group around it, then the group of that group; each round is written, so lineage stays short.
+    In each round every node goes to its smallest neighbour if that is smaller, and then to where that one went; the graph is
+    contracted to what is left between different nodes, so it shrinks by more than half.  Each round is written, so lineage stays short.
     """
-    both = store(edges.filter("a != b").select("a", "b").union(edges.filter("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph-edges")
-    path = scratch(edges.sparkSession, "graph-groups")
-    groups = store(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("group")), "", path)
+    spark, used = edges.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        used.append(scratch(spark, name))
+        return store(df, name, used[-1])
+
+    left = kept(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "graph-edges")
+    groups = None
     while True:
-        near = both.join(groups.select(F.col("node").alias("b"), "group"), "b").groupBy(F.col("a").alias("node")).agg(F.min("group").alias("near"))
-        hooked = groups.join(near, "node").select("node", "group", F.least("group", "near").alias("new"))
-        up = groups.select(F.col("node").alias("new"), F.col("group").alias("up"))
-        jumped = hooked.join(up, "new", "left").select("node", F.least("new", F.coalesce("up", "new")).alias("group"), (F.least("new", F.coalesce("up", "new")) != F.col("group")).alias("moved"))
-        after = scratch(edges.sparkSession, "graph-groups")
-        now = store(jumped, "", after)
-        remove(path)
-        groups, path = now.select("node", "group"), after
-        if now.filter("moved").isEmpty():
+        # a local minimum has no smaller neighbour and stays
+        to = left.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.col("b").alias("up"))
+        every = left.select("a").union(left.select("b")).distinct().withColumnRenamed("a", "node").join(to, "node", "left").select("node", F.coalesce("up", "node").alias("up"))
+        every = kept(every, "graph-parents")
+        jump = every.select(F.col("node").alias("up"), F.col("up").alias("above"))
+        every = kept(every.join(jump, "up").select("node", F.col("above").alias("up")), "graph-parents")
+        step = every.select(F.col("node").alias("group"), "up")
+        groups = kept(every.select("node", F.col("up").alias("group")) if groups is None else groups.join(step, "group", "left").select("node", F.coalesce("up", "group").alias("group")), "graph-groups")
+        at = lambda c: every.select(F.col("node").alias(c), F.col("up").alias(f"{c}2"))
+        ends = left.join(at("a"), "a").join(at("b"), "b").filter("a2 != b2")
+        left = kept(ends.select(F.greatest("a2", "b2").alias("a"), F.least("a2", "b2").alias("b")).distinct(), "graph-edges")
+        if left.isEmpty():
+            for path in used[:-2]:
+                remove(path)
             return groups
 
 
@@ -216,7 +227,8 @@ def _pairs(allowed: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 
 def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between members of a bucket whose prints agree often enough."""
+    """Links between members of a bucket whose prints agree often enough.  Members are sorted, so buckets of the same members
+    give mostly the same links."""
     found = []
     for unit in units(batches, ("bucket", "low", "high")):
         n = len(unit)
@@ -307,14 +319,14 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = banded.join(full, "bucket").join(firsts.select("node", "prints"), "node")
     met = dealt(members, "bucket", "node").select("bucket", "low", "high", "side", "node", "prints")
-    maybe = met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(plausible, EDGE)
+    maybe = met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node").mapInArrow(plausible, EDGE)
     groups = components(maybe.distinct())
     wanted = groups.join(firsts.select("node", "doc_id", "h1", "h2", "size"), "node")
     cut = store(dealt(wanted, "group", "node", F.col("size")), "candidates")
     texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("text"))
     # texts are shuffled once at every size: the candidates grow with the input
     found = texts.join(cut.hint("merge"), texts["__id"].eqNullSafe(cut["doc_id"])).select("group", "low", "high", "side", "node", "h1", "h2", "text")
-    links = found.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high").mapInArrow(similar(similarity), EDGE)
+    links = found.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "node").mapInArrow(similar(similarity), EDGE)
     joined = components(links.distinct()).withColumnRenamed("group", "class")
     placed = firsts.select("h1", "h2", "node", "least", "copies").join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
     told = placed.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_rows"))
