@@ -48,13 +48,26 @@ def _some(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def meta_content(html: Column, *names: str) -> Column:
-    """Content of the first named meta tag that is there, in either order of its attributes."""
-    out = []
-    for n in names:
-        out.append(_some(F.trim(F.regexp_extract(html, f"(?i)<meta[^>]+(?:name|property)={Q}{n}{Q}[^>]+content={Q}([^\"']+){Q}", 1))))
-        out.append(_some(F.trim(F.regexp_extract(html, f"(?i)<meta[^>]+content={Q}([^\"']+){Q}[^>]+(?:name|property)={Q}{n}{Q}", 1))))
-    return F.coalesce(*out)
+META_TAG = "(?i)<meta(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<meta[^>]*>"
+
+
+def meta_tags(html: Column) -> Column:
+    """Meta tags of a page, read in one pass: array<struct<names, content>> with the values of name and property."""
+    names = lambda tag: F.transform(F.regexp_extract_all(tag, F.lit(f"(?i)(?:name|property)={Q}([^\"']+){Q}"), 1), lambda n: F.lower(n))
+    content = lambda tag: F.trim(F.regexp_extract(tag, f"(?i)content={Q}([^\"']+){Q}", 1))
+    return F.transform(F.regexp_extract_all(html, F.lit(META_TAG), 0), lambda tag: F.struct(names(tag).alias("names"), content(tag).alias("content")))
+
+
+def meta_values(metas: Column, test) -> Column:
+    """Contents of the tags one of whose names passes the test."""
+    return F.transform(F.filter(metas, lambda m: (m["content"] != "") & F.exists(m["names"], test)), lambda m: m["content"])
+
+
+def meta_content(metas: Column, *names: str) -> Column:
+    """Content of the first named meta tag that is there."""
+    def first(name: str) -> Column:
+        return F.get(meta_values(metas, lambda n: n == name), F.lit(0))
+    return F.coalesce(*[first(n) for n in names])
 
 
 # --- JSON-LD -----------------------------------------------------------------------------------------------------------------
@@ -62,15 +75,18 @@ def _get(v: Column, path: str, typ: str = "string") -> Column:
     return F.try_variant_get(v, path, typ)
 
 
-def jsonld_items(html: Column) -> Column:
-    """All JSON-LD objects of a page: lists and @graph wrappers unpacked, broken blocks skipped."""
+def jsonld_items(html: Column, graphs: bool = True) -> Column:
+    """All JSON-LD objects of a page: lists and, if wanted, @graph wrappers unpacked; broken blocks skipped."""
     blocks = F.filter(F.transform(F.regexp_extract_all(html, F.lit(LD_SCRIPT), 1), lambda s: F.try_parse_json(s)), lambda v: v.isNotNull())
     tops = F.flatten(F.transform(blocks, lambda v: F.coalesce(_get(v, "$", "array<variant>"), F.array(v))))
+    if not graphs:
+        return tops
     return F.flatten(F.transform(tops, lambda v: F.concat(F.array(v), F.coalesce(_get(v, "$['@graph']", "array<variant>"), F.array().cast("array<variant>")))))
 
 
-def with_jsonld(captures: DataFrame) -> DataFrame:
-    return captures.withColumn("ld", jsonld_items(F.col("html")))
+def with_jsonld(captures: DataFrame, graphs: bool = True) -> DataFrame:
+    """Adds `ld`, the JSON-LD objects; `graphs` also unpacks @graph wrappers."""
+    return captures.withColumn("ld", jsonld_items(F.col("html"), graphs))
 
 
 def type_includes(v: Column, needle: str) -> Column:
@@ -129,13 +145,13 @@ def page_language(html: Column) -> Column:
     return _some(F.regexp_extract(html, f"(?i)<html[^>]+lang={Q}([a-z]{{2}})", 1))
 
 
-def author_list(html: Column, article: Column) -> Column:
+def author_list(metas: Column, article: Column) -> Column:
     raw = _get(article, "$.author", "variant")
     items = F.when(raw.isNotNull(), F.coalesce(_get(raw, "$", "array<variant>"), F.array(raw))).otherwise(F.array().cast("array<variant>"))
     # an object without a name reads as its JSON text and does not count
     name = lambda v: F.coalesce(_get(v, "$.name"), F.when(~_get(v, "$").startswith("{"), _get(v, "$")), F.lit(""))
     names = F.filter(F.transform(items, lambda v: trim_ws(name(v))), lambda s: s != "")
-    extra = meta_content(html, "author", "article:author")
+    extra = meta_content(metas, "author", "article:author")
     return F.when(extra.isNotNull() & ~F.array_contains(names, extra), F.concat(names, F.array(extra))).otherwise(names)
 
 
@@ -151,12 +167,12 @@ def _list_value(v: Column) -> Column:
     return F.coalesce(_get(v, "$", "array<string>"), F.split(_get(v, "$"), "[,;|]"), F.array().cast("array<string>"))
 
 
-def keyword_list(html: Column, article: Column) -> Column:
+def keyword_list(html: Column, metas: Column, article: Column) -> Column:
     cut = lambda c: F.coalesce(F.split(c, "[,;|]"), F.array().cast("array<string>"))
-    vendor = F.flatten(F.transform(F.regexp_extract_all(html, F.lit(f"(?i)<meta[^>]+name={Q}[a-z0-9_]*keywords{Q}[^>]+content={Q}([^\"']*){Q}"), 1), lambda s: F.split(s, "[,;|]")))
-    tags = F.regexp_extract_all(html, F.lit(f"(?i)<meta[^>]+property={Q}article:tag{Q}[^>]+content={Q}([^\"']+){Q}"), 1)
+    vendor = F.flatten(F.transform(meta_values(metas, lambda n: n.rlike("^[a-z0-9_]*keywords$")), lambda s: F.split(s, "[,;|]")))
+    tags = meta_values(metas, lambda n: n == "article:tag")
     links = F.transform(F.regexp_extract_all(html, F.lit(f"(?i)<a[^>]+rel={Q}tag{Q}[^>]*>([\\s\\S]*?)</a>"), 1), lambda s: F.regexp_replace(s, "<[^>]+>", ""))
-    parts = F.concat(_list_value(_get(article, "$.keywords", "variant")), cut(meta_content(html, "news_keywords", "keywords")), vendor, tags, links)
+    parts = F.concat(_list_value(_get(article, "$.keywords", "variant")), cut(meta_content(metas, "news_keywords", "keywords")), vendor, tags, links)
     clean = F.transform(parts, lambda k: F.replace(F.lower(trim_ws(k)), F.lit("_"), F.lit(" ")))
     return F.array_distinct(F.filter(clean, lambda k: (F.length(k) > 1) & (F.length(k) < 60)))
 
@@ -171,9 +187,9 @@ def breadcrumb_sections(ld: Column) -> Column:
     return F.filter(middle, lambda s: ~s.rlike(CRUMB_NOISE))
 
 
-def category_list(html: Column, ld: Column, article: Column) -> Column:
+def category_list(metas: Column, ld: Column, article: Column) -> Column:
     section = _get(article, "$.articleSection", "variant")
-    own = F.when(section.isNotNull(), _list_value(section)).otherwise(F.coalesce(F.split(meta_content(html, "article:section"), "[,;|]"), F.array().cast("array<string>")))
+    own = F.when(section.isNotNull(), _list_value(section)).otherwise(F.coalesce(F.split(meta_content(metas, "article:section"), "[,;|]"), F.array().cast("array<string>")))
     ok = lambda c: (F.length(c) > 1) & (F.length(c) < 80)
     return F.array_distinct(F.filter(F.concat(F.transform(own, lambda c: trim_ws(c)), breadcrumb_sections(ld)), ok))
 
@@ -205,19 +221,19 @@ def extract_metadata(captures: DataFrame) -> DataFrame:
     """Captures (url, html, ...) with all article facts as columns.  The parsed JSON-LD is dropped at the end."""
     c, html, url = F.col, F.col("html"), F.col("url")
     d = with_jsonld(captures)
-    d = d.withColumn("__a", article_item(c("ld")))
-    a, ld = c("__a"), c("ld")
+    d = d.withColumns({"__a": article_item(c("ld")), "__m": meta_tags(html)})
+    a, ld, metas = c("__a"), c("ld"), c("__m")
     flagged, free, closed = _flags(ld)
-    title = F.coalesce(meta_content(html, "og:title", "twitter:title"), _get(a, "$.headline"), _some(trim_ws(F.regexp_extract(html, "(?i)<title[^>]*>([^<]+)", 1))))
-    precise = F.coalesce(parse_ts(meta_content(html, "article:published_time", "og:article:published_time")), parse_ts(_get(a, "$.datePublished")), _first_ld(ld, "$.datePublished"), _raw_date(html, "datePublished"), _time_tag(html))
-    modified = F.coalesce(parse_ts(meta_content(html, "article:modified_time", "og:updated_time")), parse_ts(_get(a, "$.dateModified")), _first_ld(ld, "$.dateModified"), _raw_date(html, "dateModified"))
+    title = F.coalesce(meta_content(metas, "og:title", "twitter:title"), _get(a, "$.headline"), _some(trim_ws(F.regexp_extract(html, "(?i)<title[^>]*>([^<]+)", 1))))
+    precise = F.coalesce(parse_ts(meta_content(metas, "article:published_time", "og:article:published_time")), parse_ts(_get(a, "$.datePublished")), _first_ld(ld, "$.datePublished"), _raw_date(html, "datePublished"), _time_tag(html))
+    modified = F.coalesce(parse_ts(meta_content(metas, "article:modified_time", "og:updated_time")), parse_ts(_get(a, "$.dateModified")), _first_ld(ld, "$.dateModified"), _raw_date(html, "dateModified"))
     canon = F.coalesce(*[_some(F.regexp_extract(html, p, 1)) for p in (f"(?i)<link[^>]+rel={Q}canonical{Q}[^>]+href={Q}([^\"']+){Q}", f"(?i)<link[^>]+href={Q}([^\"']+){Q}[^>]+rel={Q}canonical{Q}")])
     d = d.withColumns({
-        "title": decode_entities(title), "description": F.coalesce(meta_content(html, "og:description", "description", "twitter:description"), _get(a, "$.description")),
-        "og_image": F.coalesce(meta_content(html, "og:image", "twitter:image"), _get(a, "$.image.url"), _get(a, "$.image")),
-        "__precise": precise, "modified_at": modified, "og_url": meta_content(html, "og:url"), "canonical_href": canon,
+        "title": decode_entities(title), "description": F.coalesce(meta_content(metas, "og:description", "description", "twitter:description"), _get(a, "$.description")),
+        "og_image": F.coalesce(meta_content(metas, "og:image", "twitter:image"), _get(a, "$.image.url"), _get(a, "$.image")),
+        "__precise": precise, "modified_at": modified, "og_url": meta_content(metas, "og:url"), "canonical_href": canon,
         "paywalled": F.when(url_host(url).rlike(FREE_HOSTS), F.lit(False)).when(flagged, closed & ~free).when(html.rlike(PAYWALL_CSS), F.lit(True)),
-        "word_count": visible_words(html), "lang_detected": page_language(html), "authors": author_list(html, a), "keywords": keyword_list(html, a), "categories": category_list(html, ld, a),
+        "word_count": visible_words(html), "lang_detected": page_language(html), "authors": author_list(metas, a), "keywords": keyword_list(html, metas, a), "categories": category_list(metas, ld, a),
         "__type": F.coalesce(_get(a, "$['@type']"), F.lit("NewsArticle")),
     })
     kind = None
@@ -229,7 +245,7 @@ def extract_metadata(captures: DataFrame) -> DataFrame:
         "reading_min": F.greatest(F.lit(1), half_up(c("word_count") / 200)), "author_status": author_status(c("authors")),
         "topic": topic_of(c("categories"), url, c("og_url"), c("canonical_href")), "rubric": rubric_source_url(url, c("og_url"), c("canonical_href")),
     })
-    return d.drop("ld", "__a", "__precise", "__type")
+    return d.drop("ld", "__a", "__m", "__precise", "__type")
 
 
 # --- page kind ---------------------------------------------------------------------------------------------------------------------------
@@ -281,7 +297,7 @@ def page_signals(captures: DataFrame, collectors: dict | None = None) -> DataFra
     """Adds `signals`: one field per collector.  A collector is a function of (lower-case html, JSON-LD items, number of
     ad requests); add an entry to collect one more."""
     ads = F.col("ad_requests") if "ad_requests" in captures.columns else F.lit(None).cast("bigint")
-    d = with_jsonld(captures).withColumn("__low", F.lower("html"))
+    d = with_jsonld(captures, graphs=False).withColumn("__low", F.lower("html"))
     fields = [F.coalesce(fn(F.col("__low"), F.col("ld"), ads)).alias(n) for n, fn in (collectors or SIGNALS).items()]
     return d.withColumn("signals", F.struct(*fields)).drop("ld", "__low")
 
