@@ -36,8 +36,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("piece_bpe_32k.model")
-    done = subwords.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return done.select("doc_id", "n_tokens", "ids", F.sha2(subwords.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    done = subwords.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
+    return done.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

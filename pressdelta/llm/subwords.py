@@ -20,18 +20,23 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pressdelta.llm.common import per_process
+from pressdelta.llm.common import per_process, pieces
 
 MARK = "▁"
-CACHED = 700_000
-PAIRS = 500_000
+CACHED = 600_000
+PAIRS = 400_000
+# text taken at a time: its words are held together
+SLICE_BYTES = 2 << 20
 ENCODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 MARKED_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -44,7 +49,15 @@ class Vocabulary:
         special = {unknown, *self.bytes.values()}
         self.ids = {p: i for i, p in enumerate(self.pieces) if p and i not in special}
         self.scores = list(scores)
-        self.longest = max(map(len, self.ids), default=1)
+        # pieces as a trie: (node, character) -> node, and the piece that ends at a node
+        self.trie, self.ends = {}, [-1]
+        for p, i in self.ids.items():
+            node = 0
+            for c in p:
+                node = self.trie.setdefault(node << 21 | ord(c), len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(-1)
+            self.ends[node] = i
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self.plain = [p.replace(MARK, " ").encode() for p in self.pieces]
         for b, i in self.bytes.items():
@@ -85,79 +98,92 @@ def merge(vocabulary: Vocabulary, text: str) -> list[str]:
 
 
 class Segmenter:
-    """Words to ids, with the forward states of common prefixes reused."""
+    """Words to ids, with the forward states of common prefixes reused.
+
+    The state of a prefix is (where its last piece begins, that piece's id, the best score); a character without a piece has the id
+    -1 - its code point.
+    """
 
     def __init__(self, vocabulary: Vocabulary, cached: int = CACHED):
-        self.v, self.cached, self.words, self.follows = vocabulary, cached, {"": b""}, {}
-        self.kind = "<u2" if len(vocabulary.pieces) <= 1 << 16 else "<u4"
+        self.v, self.cached, self.words, self.follows, self.whole = vocabulary, cached, {"": b""}, {}, {}
+        self.letter = "H" if len(vocabulary.pieces) <= 1 << 16 else "I"
+        self.kind = np.dtype(f"<u{array(self.letter).itemsize}")
+
+    def _piece(self, i: int) -> str:
+        return self.v.pieces[i] if i >= 0 else chr(-1 - i)
 
-    def _may_follow(self, a: str, b: str) -> bool:
+    def _may_follow(self, a: int, b: int) -> bool:
         """Merging the two pieces alone leaves them as they are."""
-        found = self.follows.get((a, b))
+        key = a << 32 ^ b
+        found = self.follows.get(key)
         if found is None:
             if len(self.follows) >= PAIRS:
                 self.follows.clear()
-            found = self.follows[a, b] = merge(self.v, a + b) == [a, b]
+            one, two = self._piece(a), self._piece(b)
+            found = self.follows[key] = merge(self.v, one + two) == [one, two]
         return found
 
-    def _last_piece(self, word: str, end: int, stack: list) -> tuple:
-        """State of the prefix word[:end] of a merge model: where its last piece begins."""
-        ids = self.v.ids
-        for start in range(max(0, end - self.v.longest), end):
-            piece = word[start:end]
-            if end - start > 1 and piece not in ids:
+    def _stays_whole(self, i: int) -> bool:
+        """Merging the characters of the piece gives the piece."""
+        if i not in self.whole:
+            self.whole[i] = merge(self.v, self._piece(i)) == [self._piece(i)]
+        return self.whole[i]
+
+    def _grow(self, char: str, end: int, stack: list) -> tuple:
+        """State of a prefix that ends with `char` at `end`, from the states before: where its last piece begins, that piece, the best
+        score, and the pieces that have begun and may go on."""
+        trie, ends, follows, merges = self.v.trie, self.v.ends, self.follows, self.v.merges
+        code, open_, best = ord(char), [], None
+        for start, node in stack[-1][3] + [(end - 1, 0)]:
+            node = trie.get(node << 21 | code)
+            if node is None:
                 continue
-            if not start:
-                if merge(self.v, piece) == [piece]:
-                    return 0, None
-            elif self._may_follow(word[stack[start][0] : start], piece):
-                return start, None
-        raise ValueError("no piece can end a prefix")
-
-    def _best_piece(self, word: str, end: int, stack: list) -> tuple:
-        """State of the prefix word[:end] of a unigram model: where its last piece begins and its best score."""
-        best = None
-        for start in range(max(0, end - self.v.longest), end):
-            i = self.v.ids.get(word[start:end])
-            if i is None and end - start > 1:
+            open_.append((start, node))
+            i = ends[node]
+            if i < 0 or merges and best is not None:
                 continue
-            score = stack[start][1] + (self.v.scores[i] if i is not None else self.v.worst)
-            if best is None or score > best[1]:
-                best = start, score
-        return best
-
-    def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+            if merges:
+                # exactly one piece can end a prefix
+                if start:
+                    before = stack[start][1]
+                    fits = follows.get(before << 32 ^ i)
+                    if fits if fits is not None else self._may_follow(before, i):
+                        best = start, i, 0.0
+                elif self._stays_whole(i):
+                    best = start, i, 0.0
+            elif best is None or stack[start][2] + self.v.scores[i] > best[2]:
+                best = start, i, stack[start][2] + self.v.scores[i]
+        if char not in self.v.ids:
+            # a character without a piece stands alone
+            alone = stack[end - 1][2] + self.v.worst
+            if best is None or not merges and alone > best[2]:
+                best = end - 1, -1 - code, alone
+        return *best, open_
+
+    def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Each distinct word with its pieces.  Sorted words are a trie walked depth first; `stack` holds the states of the path."""
-        step = self._last_piece if self.v.merges else self._best_piece
-        before, stack = "", [(0, 0.0)]
+        before, stack, grow = "", [(0, 0, 0.0, [])], self._grow
         for word in sorted(words):
-            common, most = 0, min(len(word), len(before))
-            while common < most and word[common] == before[common]:
-                common += 1
+            common = len(commonprefix((before, word)))
             del stack[common + 1 :]
             for end in range(common + 1, len(word) + 1):
-                stack.append(step(word, end, stack))
+                stack.append(grow(word[end - 1], end, stack))
             parts, end = [], len(word)
             while end:
-                parts.append(word[stack[end][0] : end])
-                end = stack[end][0]
-            yield word, parts[::-1]
+                end, i = stack[end][:2]
+                parts.append(i)
+            parts.reverse()
+            yield word, parts
             before = word
 
-    def _ids(self, parts: list[str]) -> list[int]:
-        out = []
-        for p in parts:
-            i = self.v.ids.get(p)
-            if i is None:
-                i = self.v.fallback(p)
+    def _bytes(self, parts: list[int]) -> bytes:
+        if parts and min(parts) < 0:
+            ids = []
+            for i in parts:
                 # neighbours without a piece are one unknown
-                out += [] if not self.v.bytes and out and out[-1] == self.v.unknown else i
-            else:
-                out.append(i)
-        return out
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+                ids += [i] if i >= 0 else self.v.fallback(chr(-1 - i)) if self.v.bytes or not ids or ids[-1] != self.v.unknown else []
+            parts = ids
+        return array(self.letter, parts).tobytes()
 
     def _cut(self, text: str) -> list[str]:
         """Marked words of a text, and line feeds."""
@@ -175,9 +201,9 @@ class Segmenter:
         # runs of marks tie in rank, so their words are merged as they are
         tied = {w for w in new if w.startswith(MARK + MARK)} if self.v.merges else set()
         for w in tied:
-            self.words[w] = self._bytes(self._ids(merge(self.v, w)))
+            self.words[w] = self._bytes([self.v.ids[p] if p in self.v.ids else -1 - ord(p) for p in merge(self.v, w)])
         for w, parts in self.segment(new - tied):
-            self.words[w] = self._bytes(self._ids(parts))
+            self.words[w] = self._bytes(parts)
         known = self.words
         for words in cut:
             yield np.frombuffer(b"".join([known[w] for w in words]), self.kind)
@@ -193,17 +219,6 @@ def _segmenter(path: str, merges: bool) -> Segmenter:
     return per_process(("subwords", path, merges), lambda: Segmenter(Vocabulary.load(path, merges)))
 
 
-def encode(text: Column, path: str, merges: bool = True) -> Column:
-    """struct<n_tokens, ids> of a text column."""
-    @F.pandas_udf(ENCODED)
-    def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        segmenter = _segmenter(path, merges)
-        for batch in texts:
-            ids = [i.astype(np.int32) for i in segmenter.encode(batch.tolist())]
-            yield pd.DataFrame({"n_tokens": [len(i) for i in ids], "ids": pd.Series(ids, dtype=object)})
-    return encoded(text)
-
-
 def decode(ids: Column, path: str, merges: bool = True) -> Column:
     """Text of an id column."""
     @F.pandas_udf(T.StringType())
@@ -214,7 +229,19 @@ def decode(ids: Column, path: str, merges: bool = True) -> Column:
     return decoded(ids)
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text", merges: bool = True) -> DataFrame:
-    """The documents with n_tokens and ids."""
-    done = docs.withColumn("__encoded", encode(F.col(text), path, merges))
-    return done.select(*[c for c in docs.columns if c not in ENCODED.names], "__encoded.n_tokens", "__encoded.ids")
+def encoded(docs: DataFrame, path: str, text: str = "text", merges: bool = True, decoded: str | None = None) -> DataFrame:
+    """The documents with n_tokens and ids; `decoded` names a column for the text made of the ids again."""
+    added = [*ENCODED, *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    kept = [c for c in docs.columns if c not in {f.name for f in added}]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = _segmenter(path, merges)
+        for batch in pieces(batches, text, SLICE_BYTES):
+            ids = [i.astype(np.int32) for i in segmenter.encode(batch.column(text).to_pylist())]
+            ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+            out = [batch.column(c) for c in kept] + [pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))]
+            if decoded:
+                out.append(pa.array([decode_ids(segmenter.v, i.tolist()) for i in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, names=[*kept, *(f.name for f in added)])
+
+    return docs.mapInArrow(rows, T.StructType([*(docs.schema[c] for c in kept), *added]))
