@@ -38,9 +38,26 @@ def _(spark, d):
     return star(spark, d, "pages").select("page_id", uj.outlet_host(F.col("url")).alias("host"), F.nullif(uj.url_path(F.col("url")), F.lit("")).alias("path"))
 
 
-@query("bd1_extract_body")
+def _sql(pattern):
+    return pattern.replace("'", "''")
+
+
+def _plain(e):
+    return S.collapse(f"regexp_replace({e}, '{bd.ANY_TAG}', '', 'g')")
+
+
+_REGIONS = ", ".join(f"CASE WHEN length({_plain(e)}) >= {bd.K.BODY_MIN_CHARS} THEN {e} END" for e in (f"regexp_replace(regexp_extract(q, '{_sql(c)}', 1), '{bd.MARKED_END}', '')" for c in bd.CONTAINERS))
+
+
+# pages whose articles are made long enough: the text of the page several times
+@query("bd1_extract_body", f"""
+WITH h AS (SELECT page_id, concat('<main>', repeat(html, 3), '</main>') AS html FROM pages), q AS (SELECT page_id, regexp_replace(regexp_replace(html, '{_sql(bd.SILENT)}', ' ', 'g'), '{_sql(bd.CHROME)}', ' ', 'g') AS q FROM h),
+r AS (SELECT page_id, coalesce({_REGIONS}) AS r FROM q),
+b AS (SELECT page_id, r, array_to_string(list_filter(list_transform(str_split(regexp_replace(r, '{bd.BLOCK_TAG}', chr(1), 'g'), chr(1)), lambda x: {S.decode(f"regexp_replace(x, '{bd.ANY_TAG}', '', 'g')")}), lambda x: length(x) >= {bd.BLOCK_CHARS}), chr(10) || chr(10)) AS t FROM r)
+SELECT page_id, CASE WHEN len(regexp_extract_all(r, '(?i)<a\\b')) / (length({_plain('r')}) / 100.0) <= {bd.LINKS_PER_100} AND length(t) >= {bd.K.BODY_MIN_CHARS} THEN t END AS body FROM b""")
 def _(spark, d):
-    return bd.extract_body(star(spark, d, "pages")).select("page_id", F.length("body").alias("chars"), "body")
+    pages = star(spark, d, "pages").withColumn("html", F.concat(F.lit("<main>"), F.repeat("html", F.lit(3)), F.lit("</main>")))
+    return bd.extract_body(pages).select("page_id", "body")
 
 
 @query("ur7_page_kind", "SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<title[^>]*>\\s*(404|410|not found|forbidden|access denied)') THEN 'error' ELSE 'section' END AS kind FROM pages")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from pressdelta.functions.text import let
 from pressdelta.functions.timeutil import parse_ts
 from pressdelta.operators.url_jobs import canonical_url, origin, strip_hash, url_kind, url_path
 from pressdelta.plans.patterns import top_per_group
 from pressdelta.sources.tables import SCHEMAS
 
 Q = "[\"']"
-MAX_SITEMAP_FILES, MAX_INDEX_CHILDREN, MAX_SITEMAP_URLS = 10, 6, 3000
 
 
 def read_captures(spark: SparkSession, path: str, streaming: bool = False, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
@@ -30,14 +30,25 @@ def read_links(spark: SparkSession, path: str, streaming: bool = False, fmt: str
 
 
 def resolve_url(href: Column, base: Column) -> Column:
-    """Absolute http(s) URL of a link on a page; NULL for other schemes.  Parent steps (..) are not followed."""
+    """Absolute http(s) URL of a link on a page; NULL for other schemes.  Steps (. and ..) are followed, never above the root."""
     h = F.trim(href)
     root = F.regexp_extract(base, r"(?i)^(https?://[^/?#]+)", 1)
     bare = F.regexp_replace(base, r"[?#].*$", "")
     folder = F.when(F.length(bare) > F.length(root), F.regexp_replace(bare, r"/[^/]*$", "/")).otherwise(F.concat(root, F.lit("/")))
-    return (F.when(root == "", None).when(h.rlike("(?i)^https?://"), h).when(h.startswith("//"), F.concat(F.regexp_extract(base, r"(?i)^(https?:)", 1), h))
+    full = (F.when(root == "", None).when(h.rlike("(?i)^https?://"), h).when(h.startswith("//"), F.concat(F.regexp_extract(base, r"(?i)^(https?:)", 1), h))
             .when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(h.startswith("/"), F.concat(root, h)).when(h.startswith("?"), F.concat(bare, h)).when(h.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), h))
             .when(h == "", None).otherwise(F.concat(folder, h)))
+    return let(full, _without_steps)
+
+
+def _without_steps(url: Column) -> Column:
+    """Path segments . and .. of a URL taken as steps."""
+    root, path, rest = (F.regexp_extract(url, r"(?is)^([a-z]+://[^/?#]*)([^?#]*)(.*)$", i) for i in (1, 2, 3))
+    none = F.array().cast("array<string>")
+    walk = lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))
+    segments = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    steps = F.when(segments[F.size(segments) - 1].isin(".", ".."), F.concat(segments, F.array(F.lit("")))).otherwise(segments)
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(root, F.lit("/"), F.array_join(F.aggregate(steps, none, walk), "/"), rest)).otherwise(url)
 
 
 def page_links(captures: DataFrame) -> DataFrame:
@@ -73,21 +84,29 @@ def sitemap_score(url: Column) -> Column:
     return F.when(url.rlike("(?i)(news|aktuell|recent)"), F.lit(2**53 - 1)).otherwise(dated)
 
 
-def rank_sitemaps(files: DataFrame, per_source: int = MAX_SITEMAP_FILES) -> DataFrame:
+def rank_sitemaps(files: DataFrame, per_source: int | None = None) -> DataFrame:
     """Newest sitemap files per source: (source_id, url, rn)."""
     d = files.select("source_id", "url").distinct().withColumn("score", sitemap_score(F.col("url")))
-    return top_per_group(d, ["source_id"], [F.desc("score"), F.asc("url")], per_source, spread=["url"])
+    return _ranked(d, ["source_id"], per_source)
+
+
+def _ranked(files: DataFrame, keys: list[str], most: int | None) -> DataFrame:
+    """Sitemap files newest first, with their rank; `most` keeps so many."""
+    order = [F.desc("score"), F.asc("url")]
+    if most is None:
+        return files.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return top_per_group(files, keys, order, most, spread=["url"])
 
 
-def index_children(indexes: DataFrame, children: int = MAX_INDEX_CHILDREN) -> DataFrame:
+def index_children(indexes: DataFrame, children: int | None = None) -> DataFrame:
     """Newest children of sitemap indexes (source_id, url, xml)."""
     locs = F.regexp_extract_all("xml", F.lit(r"(?i)<loc>\s*([^<]+?)\s*</loc>"), 1)
     rows = indexes.filter(F.col("xml").rlike("(?i)<sitemapindex")).select("source_id", F.col("url").alias("index_url"), F.explode(F.array_distinct(locs)).alias("url"))
     rows = rows.withColumn("score", sitemap_score(F.col("url")))
-    return top_per_group(rows, ["source_id", "index_url"], [F.desc("score"), F.asc("url")], children, spread=["url"])
+    return _ranked(rows, ["source_id", "index_url"], children)
 
 
-def sitemap_entries(files: DataFrame, limit: int | None = MAX_SITEMAP_URLS) -> DataFrame:
+def sitemap_entries(files: DataFrame, limit: int | None = None) -> DataFrame:
     """Article URLs of sitemap files (source_id, url, xml) with their date: (source_id, article_url, at, precise).
     A publication date beats a modification date, which only fills; other origins and kinds drop."""
     blocks = files.select("source_id", F.col("url").alias("sitemap"), F.explode(F.regexp_extract_all("xml", F.lit(r"(?i)<url\b[^>]*>([\s\S]*?)</url>"), 1)).alias("b"))

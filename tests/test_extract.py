@@ -114,12 +114,15 @@ def test_marker_counts(spark):
 PARA = "Ein Absatz mit genug Zeichen, damit er als echter Text zählt, Nummer {}."
 
 
-def test_main_text():
+def test_main_text(spark):
     paras = "".join(f"<p>{PARA.format(i)}</p>" for i in range(30))
-    assert bd.main_text(f"<html><nav><li>{'x' * 2000}</li></nav><article><h2>kurz</h2>{paras}<script>{'y' * 99}</script></article></html>").split("\n\n")[0] == PARA.format(0)
-    assert bd.main_text(f"<article>{paras}<div data-external-selector='recommendations'><p>{'z' * 99}</p></div></article>").count("z" * 99) == 0
-    assert bd.main_text("<article>" + "".join(f"<a href='/{i}'>Kurzer Link {i}</a>" for i in range(200)) + "</article>") is None
-    assert bd.main_text("<article><p>wenig</p></article>") is None and bd.main_text(None) is None
+    pages = [f"<html><nav><li>{'x' * 2000}</li></nav><article><h2>kurz</h2>{paras}<script>{'y' * 99}</script></article></html>",
+             f"<article>{paras}<div data-external-selector='recommendations'><p>{'z' * 99}</p></div></article>",
+             "<article>" + "".join(f"<a href='/{i}'>Kurzer Link {i}</a>" for i in range(200)) + "</article>", "<article><p>wenig</p></article>", None,
+             f"<article><p>{'v' * 2000}</p><div data-area='body'>{paras}</div></article>"]
+    got = [r.body for r in bd.extract_body(spark.createDataFrame(list(enumerate(pages)), "i int, html string")).orderBy("i").collect()]
+    assert got[0].split("\n\n")[0] == PARA.format(0) and len(got[0].split("\n\n")) == 30 and "z" * 99 not in got[1]
+    assert got[2:5] == [None, None, None] and got[5].startswith(PARA.format(0))
 
 
 @pytest.mark.parametrize("url,body,want", [
@@ -130,6 +133,8 @@ def test_main_text():
     ("https://www.n-tv.de/a", "SachsenEigener Text lang " + "x" * 500 + " BayernErste ZeileHessenZweite Zeile", "SachsenEigener Text lang " + "x" * 500),
     ("https://www.n-tv.de/a", "Text. Empfehlungen1:23Film Mehr Inhalte anzeigen", "Text."),
     ("https://www.faz.net/aktuell/feuilleton/debatten/slug-1.html", "FeuilletonDebattenTitel 18.06.2026, 12:58 Lesezeit: 6 Min. Text FAZ+ weiter.", "Titel Text weiter."),
+    ("https://www.faz.net/x/y-1.html", "Am Anfang. Lesermeinungen1 kurz. " + "Text. " * 30 + "Das Beste von FAZ+ und mehr", "Am Anfang. Lesermeinungen1 kurz. " + "Text. " * 30 + "Das Beste von und mehr"),
+    ("https://www.faz.net/x/y-1.html", "Text. " * 30 + "Lesermeinungen1 weg", ("Text. " * 30).strip()),
     ("https://www.spiegel.de/a", "Echter Text ohne Marken.\nEin Film über etwas Schönes 01:23Noch ein Film über etwas 02:34Und ein dritter Film dazu 03:45", "Echter Text ohne Marken."),
 ])
 def test_clean_body(spark, url, body, want):
