@@ -240,10 +240,9 @@ def with_change_facts(captures: DataFrame) -> DataFrame:
         "sig": flip_signature(F.coalesce("prev_para_fps", F.array().cast("array<string>")), F.col("para_fps")),
     })
     content = (F.col("added_count") > 0) | (F.col("removed_count") > 0)
-    keys = ["article_id", "captured_at"]
-    changes = list_changes(d.filter(~first & content), keys, "removed_texts", "added_texts").withColumnRenamed("changes", "edit_changes")
-    return d.join(changes, keys, "left").withColumns({
-        "visible": F.coalesce(F.size("edit_changes") > 0, F.lit(False)), "meta_edit": F.size("meta_edits") > 0,
+    # paragraphs that are not in the other version always show something
+    return d.withColumns({
+        "visible": ~first & content, "meta_edit": F.size("meta_edits") > 0,
         "pub_prev_s": F.unix_micros(F.col("published_stored").cast("timestamp")) / 1e6, "pub_new_s": F.unix_micros(F.col("published_track").cast("timestamp")) / 1e6,
         "is_live": F.coalesce("is_live", F.lit(False)), "first_contact": first})
 
@@ -254,8 +253,11 @@ def track_changes(captures: DataFrame) -> DataFrame:
     moved = F.col("first_contact") | F.col("title_edit") | F.col("meta_edit") | (F.col("content_hash") != F.col("prev_content_hash")) | date_differs(F.col("published_stored"), F.col("published_track"))
     events = facts.filter(moved).select(*_EVENT_COLUMNS)
     decided = events.repartition("article_id").sortWithinPartitions("article_id", "captured_at").mapInPandas(_fold, DECISION)
-    j = facts.join(decided, ["article_id", "captured_at"])
+    keys = ["article_id", "captured_at"]
+    j = facts.join(decided, keys)
     content = (F.col("added_count") > 0) | (F.col("removed_count") > 0)
+    # only recorded edits are paired
+    j = j.join(list_changes(j.filter(content & ~F.col("growing")), keys, "removed_texts", "added_texts").withColumnRenamed("changes", "edit_changes"), keys, "left")
     grown = F.transform("added_texts", lambda p: F.struct(F.lit(None).cast("string").alias("old"), p.alias("new")))
     none = F.array().cast("array<struct<old:string,new:string>>")
     return j.select(
