@@ -38,8 +38,8 @@ def _(spark, d):
 
 @query("ch1_version_pairs", "SELECT article_id, seq, title, lag(title) OVER w AS prev_title, lag(scanned_at) OVER w AS prev_scanned_at FROM d_versions WINDOW w AS (PARTITION BY article_id ORDER BY scanned_at)")
 def _(spark, d):
-    # hour chunks: several per article, so that the carried rows are used
-    p = ch.version_pairs(versions(spark, d), ["title", "scanned_at"], chunk=F.floor(F.hour("scanned_at") / 3))
+    # chunks of three hours: several per article, so that the carried rows are used
+    p = ch.version_pairs(versions(spark, d), ["title", "scanned_at"], chunk=F.floor(F.unix_seconds(F.col("scanned_at").cast("timestamp")) / 10800))
     return p.select("article_id", "seq", "title", "prev_title", "prev_scanned_at")
 
 

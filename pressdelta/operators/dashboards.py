@@ -361,9 +361,13 @@ SORTABLE = {
 }
 
 
+# places of a number inside a text
+DIGITS = 30
+
+
 def sort_keys(rows: DataFrame, column: str, direction: str = "asc") -> list[Column]:
     """Typed order: numbers by value, texts by number or date when they look like one, else by letters ignoring case
-    and accents; blanks last in both directions.  Digits inside a text are not compared by value."""
+    and accents, with runs of digits inside a text by value; blanks last in both directions."""
     kind = dict(rows.dtypes)[column]
     c = F.col(column)
     turn = (lambda x: x.asc_nulls_last()) if direction == "asc" else (lambda x: x.desc_nulls_last())
@@ -372,7 +376,9 @@ def sort_keys(rows: DataFrame, column: str, direction: str = "asc") -> list[Colu
     text = F.when(c != "", c)
     number = F.when(F.trim(text).rlike(r"^-?\d+(?:[.,]\d+)?$"), F.regexp_replace(F.trim(text), ",", ".")).try_cast("double")
     date = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.substring(text, 1, 10)))
-    return [F.isnull(text).asc(), turn(number), turn(date), turn(F.collate(text, "UNICODE_CI_AI"))]
+    # every run of digits with the same number of places
+    natural = F.regexp_replace(F.regexp_replace(text, r"(\d+)", "0" * DIGITS + "$1"), rf"\d*(\d{{{DIGITS}}})", "$1")
+    return [F.isnull(text).asc(), turn(number), turn(date), turn(F.collate(natural, "UNICODE_CI_AI"))]
 
 
 def sort_view(rows: DataFrame, column: str, direction: str = "asc", unique: str = "id") -> DataFrame:

@@ -92,3 +92,11 @@ def test_parse_ts(spark):
     text = ["2026-06-18T12:58:00+02:00", "2026-06-18T12:58:00Z", "2026-06-18T12:58:00.123Z", "2026-06-18 12:58", "2026-06-18", "Thu, 18 Jun 2026 12:58:00 GMT", "18.06.2026 um zwölf", "", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in text], "t string").select(tu.parse_ts(F.col("t"))).collect()]
     assert [str(g) if g else None for g in got] == ["2026-06-18 10:58:00", "2026-06-18 12:58:00", "2026-06-18 12:58:00.123000", "2026-06-18 12:58:00", "2026-06-18 00:00:00", "2026-06-18 12:58:00", None, None, None]
+
+
+def test_numbers_inside_texts_sort_by_value(spark):
+    from pressdelta.operators.dashboards import sort_view
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["Teil 10", "teil 9", "Teil 9b", None, "Äpfel 2", "Teil 100", "12", "7,5"])], "id bigint, name string")
+    assert sort_view(rows, "name").collect()[-1].name is None
+    texts = [r.name for r in sort_view(rows.filter("id not in (3, 6, 7)"), "name").collect()]
+    assert texts == ["Äpfel 2", "teil 9", "Teil 9b", "Teil 10", "Teil 100"]

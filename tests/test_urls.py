@@ -115,3 +115,10 @@ def test_sitemaps(spark):
     assert [r.url.split("/")[-1] for r in cp.rank_sitemaps(files, 3).orderBy("rn").collect()] == ["sitemap-news.xml", "sitemap-2026-06.xml", "sitemap-2026-05.xml"]
     index = spark.createDataFrame([(1, "https://x.de/i.xml", "<sitemapindex>" + "".join(f"<loc>https://x.de/{n}</loc>" for n in names) + "</sitemapindex>")], "source_id bigint, url string, xml string")
     assert [r.url.split("/")[-1] for r in cp.index_children(index, 2).orderBy("rn").collect()] == ["sitemap-news.xml", "sitemap-2026-06.xml"]
+
+
+def test_steps_in_links(spark):
+    base = "https://x.de/a/b/c.html?q=1"
+    cases = {"../d.html": "https://x.de/a/d.html", "./d": "https://x.de/a/b/d", "../../../../d": "https://x.de/d", "..": "https://x.de/a/", "/x/./y/../z": "https://x.de/x/z", "e?u=../f": "https://x.de/a/b/e?u=../f", "https://y.de/../g": "https://y.de/g", "a..b": "https://x.de/a/b/a..b"}
+    rows = spark.createDataFrame([(h, base) for h in cases], "h string, b string").select("h", cp.resolve_url(F.col("h"), F.col("b")).alias("u")).collect()
+    assert {r.h: r.u for r in rows} == cases
