@@ -90,3 +90,5 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20)
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    # a worker lives on beside the executor's next tasks
+    pa.default_memory_pool().release_unused()

@@ -33,8 +33,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pressdelta.llm.common import per_process, pieces
 
 MARK = "▁"
-CACHED = 600_000
-PAIRS = 400_000
+CACHED = 250_000
+PAIRS = 200_000
 # text taken at a time: its words are held together
 SLICE_BYTES = 2 << 20
 ENCODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
