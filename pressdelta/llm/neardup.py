@@ -309,7 +309,8 @@ def similar(similarity: float):
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILAR) -> DataFrame:
-    """(doc_id, h1, h2, class_id, class_rows): a row per document; class_id is the smallest id of its class."""
+    """(doc_id, h1, h2, class_h1, class_h2, class_id, class_rows): a row per document.  class_h1 and class_h2, the smallest content key of the class,
+    name it; class_id is the smallest id in it, which other classes may have too: it is null without ids, and an id may stand for unlike texts."""
     spark = docs.sparkSession
     # the row number is fixed once written
     rows = store(signed(docs, text, doc_id).withColumn("row", F.monotonically_increasing_id()), "signatures")
@@ -329,9 +330,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     links = found.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "node").mapInArrow(similar(similarity), EDGE)
     joined = components(links.distinct()).withColumnRenamed("group", "class")
     placed = firsts.select("h1", "h2", "node", "least", "copies").join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    told = placed.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_rows"))
-    named = placed.join(told, "class").select("h1", "h2", "class_id", "class_rows")
-    return rows.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "h1", "h2", "class_id", "class_rows")
+    told = placed.groupBy("class").agg(F.min(F.struct("h1", "h2")).alias("key"), F.min("least").alias("class_id"), F.sum("copies").alias("class_rows"))
+    named = placed.join(told, "class").select("h1", "h2", F.col("key.h1").alias("class_h1"), F.col("key.h2").alias("class_h2"), "class_id", "class_rows")
+    return rows.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "h1", "h2", "class_h1", "class_h2", "class_id", "class_rows")
 
 
 def content_of(text: Column) -> Column:
@@ -344,8 +345,8 @@ def content_of(text: Column) -> Column:
 
 
 def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each class, the one with the smallest id; all columns of the documents."""
-    found = classes(docs, text, doc_id).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id").agg(F.min(F.struct("h1", "h2")).alias("first"))
+    """One document of each class, the one with the smallest id (of several texts under it, or without ids, the smallest content key); all columns of the documents."""
+    found = classes(docs, text, doc_id).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_h1", "class_h2", "doc_id").agg(F.min(F.struct("h1", "h2")).alias("first"))
     kept = found.select(F.col("doc_id").alias("__id"), F.col("first.h1").alias("__h1"), F.col("first.h2").alias("__h2"))
     keyed = docs.withColumn("__content", content_of(F.col(text)))
     both = keyed.join(kept, keyed[doc_id].cast("long").eqNullSafe(kept["__id"]) & (F.col("__content.h1") == F.col("__h1")) & (F.col("__content.h2") == F.col("__h2")), "left_semi")

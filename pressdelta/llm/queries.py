@@ -45,7 +45,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows", "class_h1", "class_h2")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

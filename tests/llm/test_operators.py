@@ -251,6 +251,22 @@ def test_near_duplicates(spark, docs, none):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((d for d, _ in want), key=repr)
 
 
+def test_classes_with_the_same_id_stay_apart(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    near = text("b").replace("b59", "other")
+    rows = [(None, text("n")), (None, text("m")), (None, text("k")), (7, text("a")), (7, text("b")), (9, near), (None, text("b").upper())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = neardup.classes(frame).collect()
+    assert len(found) == len(rows)
+    sizes = {}
+    for r in found:
+        sizes[r.class_h1, r.class_h2] = sizes.get((r.class_h1, r.class_h2), 0) + 1
+        assert r.class_id == (7 if r.doc_id else r.class_id)
+    assert sorted(sizes.values()) == [1, 1, 1, 1, 3] and all(r.class_rows == sizes[r.class_h1, r.class_h2] for r in found)
+    kept = [(r.doc_id, r.text) for r in neardup.first_of_each(frame).collect()]
+    assert sorted(kept, key=repr) == sorted(rows[:5], key=repr)
+
+
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     random.seed(7)
     base = [f"b{i}" for i in range(60)]
