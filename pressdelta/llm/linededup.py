@@ -3,8 +3,9 @@
 A line's key is the line without white space at both ends, A-Z in lower case; keys of fewer than `least` code points never
 count.  Runs are sorted tables of (128-bit key hash, owner): the document that keeps the line.  Each batch of documents is joined once with the
 runs: keys the runs hold belong to their owner, the others (the anti-join) belong to the smallest id in the batch and form a new
-run.  When a level has `fanout` runs they are merged into one run of the next level, so a batch meets few runs.  Batches come
-in ascending id order, so the owner is the smallest document id of all.
+run.  When a level has `fanout` runs they are merged into one run of the next level before the next batch comes, so a batch meets few runs, and no
+run is merged that no batch will meet.  Batches come in ascending id order, so the owner is the smallest document id of all.  Each batch reads all runs, so the
+number of batches grows with the logarithm of the rows: two up to 3 x BATCH_ROWS, then one more for about each fourfold.
 
 Only hashes are shuffled until the last step, in which the places to drop meet the texts.
 
@@ -15,6 +16,7 @@ the result that clash are replaced).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pressdelta.llm.common import LAST_ID, SPACE, pieces, remove, scratch, store, text_of
 
 LEAST = 10
-BATCHES = 4
-FANOUT = 4
+BATCH_ROWS = 8192
+FANOUT = 2
 KEYS = T.StructType([T.StructField("doc", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("own", T.LongType())])
 KEPT = T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
@@ -73,14 +75,21 @@ class LineRuns:
         path = scratch(self.spark, f"line-run-{level}")
         rows.select("h1", "h2", "owner").sort("h1", "h2").write.parquet(path)
         self.levels[level].append(path)
-        if len(self.levels[level]) >= self.fanout:
-            merged, self.levels[level] = self.levels[level], []
-            self._write(self.spark.read.parquet(*merged), level + 1)
-            for p in merged:
-                remove(p)
+
+    def _compact(self) -> None:
+        """Merge the runs of full levels; a level that fills up by it comes next."""
+        level = 0
+        while level < len(self.levels):
+            if len(self.levels[level]) >= self.fanout:
+                merged, self.levels[level] = self.levels[level], []
+                self._write(self.spark.read.parquet(*merged), level + 1)
+                for p in merged:
+                    remove(p)
+            level += 1
 
     def add(self, keys: DataFrame) -> DataFrame:
         """Take in a batch (doc, h1, h2, line, own) whose documents come after all before.  Returns (doc, own, line) of what to drop from it."""
+        self._compact()
         batch = keys.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
         met = batch.join(self.known(), ["h1", "h2"], "left")
         decided = store(met.select("h1", "h2", F.coalesce("owner", "first").alias("owner"), F.col("owner").isNull().alias("fresh"), "last"), "line-batch")
@@ -110,9 +119,15 @@ def without(text: Column, places: Column) -> Column:
     return cut(text, places)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, batches: int = BATCHES) -> DataFrame:
-    """The documents with kept, n_lines and n_dropped."""
+def batches_for(rows: int, batch_rows: int = BATCH_ROWS) -> int:
+    """Batches for so many documents: 1 + log4(1 + rows / batch_rows), rounded up."""
+    return 1 + math.ceil(math.log(1 + rows / batch_rows, 4))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = LEAST, batches: int | None = None) -> DataFrame:
+    """The documents with kept, n_lines and n_dropped.  `batches` follows the number of documents unless given."""
     spark = docs.sparkSession
+    batches = batches or batches_for(docs.count())
     cuts = sorted(set(docs.approxQuantile(doc_id, [i / batches for i in range(1, batches)], 0.01)))
     number = sum((F.when(F.col("doc") > F.lit(int(c)), 1).otherwise(0) for c in cuts), F.lit(0))
     staged, places = scratch(spark, "line-keys"), scratch(spark, "line-drops")

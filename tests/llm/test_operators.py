@@ -146,6 +146,25 @@ def test_runs_are_merged_and_batches_agree(spark):
     runs.drop()
 
 
+def test_merged_runs_are_met(spark, monkeypatch):
+    rows = [(i, f"line that repeats {i % 5}\nline of its own {i}") for i in range(48)]
+    monkeypatch.setattr(linededup.batches_for, "__defaults__", (3,))
+    met, known = [], linededup.LineRuns.known
+    written, write = [], linededup.LineRuns._write
+    def watched(self):
+        met.append([list(level) for level in self.levels])
+        return known(self)
+    def noted(self, run, level):
+        write(self, run, level)
+        written.append((level, self.levels[level][-1]))
+    monkeypatch.setattr(linededup.LineRuns, "known", watched)
+    monkeypatch.setattr(linededup.LineRuns, "_write", noted)
+    assert by_id(linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")), "n_lines", "n_dropped", "kept") == lines_by_hand(rows)
+    assert len(met) == 4 and any(len(levels) > 1 and levels[1] for levels in met)
+    assert all(any(path in runs for levels in met for runs in levels) for level, path in written if level)
+    assert [linededup.batches_for(n, 8192) for n in (0, 1, 30_000, 250_000, 15_000_000)] == [1, 2, 3, 4, 7]
+
+
 # subwords
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
