@@ -50,11 +50,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text: doc_id, source, n_tokens, ids."""
-    return subwords.encoded(docs.select("doc_id", "source", "text"), queries.tokenizer("piece_bpe_32k.model")).drop("text")
+    """Ids of every text, and the digest of the text decoded from them: doc_id, source, n_tokens, ids, decoded_sha256."""
+    done = subwords.encoded(docs.select("doc_id", "source", "text"), queries.tokenizer("piece_bpe_32k.model"), decoded="decoded")
+    return done.select("doc_id", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("quality classifier", keep_good), ("line dedup", drop_seen_lines), ("near-dedup", drop_near_copies), ("mixing", mix_sources), ("subword encoding", encode_pieces)]
+STAGES = [("quality classifier", keep_good), ("line dedup", drop_seen_lines), ("near-dedup", drop_near_copies), ("mixing", mix_sources), ("subword encoding and decoding", encode_pieces)]
 # neither the classifier nor near-duplicates nor the vocabulary can be said in SQL: tests/llm/test_pipeline.py holds the stages against plain code
 ORACLE_SQL = None
 

@@ -1,5 +1,7 @@
 """The pipeline's stages against plain code over a small corpus, each on its own input."""
 
+import hashlib
+
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -46,6 +48,14 @@ def test_stages(spark):
     assert rows_of(done, ("doc_id", "ids", "n_tokens")) == sorted(((r.doc_id, i := model.encode(r.text), len(i)) for r in mixed.collect()), key=repr)
 
 
+def test_last_stage_decodes(spark):
+    docs = queries.table(spark, SF, "documents").limit(20).unionByName(queries.table(spark, SF, "documents").limit(1).withColumn("text", F.lit(None).cast("string")))
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer("piece_bpe_32k.model"))
+    done = corpus_pipeline.encode_pieces(spark, docs, SF).collect()
+    assert len(done) == 21
+    assert all(r.decoded_sha256 == hashlib.sha256(model.decode(list(r.ids)).encode()).hexdigest() for r in done)
+
+
 def test_empty_corpus(spark):
     docs = queries.table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
