@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressdelta.llm import chat, linededup, mixing, neardup, quality, records, rules, sharding, subwords, tiff
+from pressdelta.llm import chat, exactdedup, linededup, mixing, neardup, periodic, quality, records, rules, sharding, subwords, tiff
 from pressdelta.llm.common import store
 
 
@@ -71,7 +71,17 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op4_subwords, op5_sharding, op6_near_dups, op7_chat, op8_records, op9_tiff, op10_rules)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = exactdedup.decisions(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    return periodic.summary(periodic.with_runs(docs, carry=["doc_id"]))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op4_subwords, op5_sharding, op6_near_dups, op7_chat, op8_records, op9_tiff, op10_rules, op11_exact_dedup, op13_periodic_runs)}
 
 ORACLE = {
     "op2_mixing": r"""
@@ -112,4 +122,24 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * len(string_split(text, chr(10)))
             OR 2 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > letters OR 5 * length(regexp_replace(text, '[^!?]', '', 'g')) > n_words OR 2 * letters < length(text)) AS kept FROM f""",
+    "op11_exact_dedup": r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS k, row_number() OVER () AS r FROM documents),
+w AS (SELECT *, first_value(r) OVER p AS best, first_value(doc_id) OVER p AS keep_id, count(*) OVER (PARTITION BY k) AS n FROM d WINDOW p AS (PARTITION BY k ORDER BY chars DESC, doc_id NULLS LAST, r))
+SELECT doc_id, keep_id, n::BIGINT AS group_size, r = best AS kept, k AS text_sha256 FROM w""",
+    "op13_periodic_runs": r"""
+WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+             xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                 lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) AS h FROM documents),
+g AS (SELECT *, len(ws) AS n, coalesce(h % 10 = 0, false) AND len(ws) > 0 AS hit, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM g),
+t AS (SELECT doc_id, i, CASE WHEN hit AND i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS w FROM (SELECT *, unnest(range(0, n)) AS i FROM p)),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i),
+s AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM e GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (SELECT doc_id, s, l, min(q) AS q FROM s GROUP BY doc_id, s, l),
+b AS (SELECT doc_id, count(*)::BIGINT AS n_runs, arg_min([s, l, q], [-l, s, q]) AS best, string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q) AS runs FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+c AS (SELECT t.doc_id, string_agg(w, ' ' ORDER BY t.i) AS text FROM t ANTI JOIN gone ON t.doc_id = gone.doc_id AND t.i = gone.i GROUP BY t.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best[1]::BIGINT AS start, best[2]::BIGINT AS length, best[3]::BIGINT AS period, (1000 * best[2] // best[3])::BIGINT AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(c.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN c ON d.doc_id = c.doc_id""",
 }
