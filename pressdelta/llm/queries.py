@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressdelta.llm import chat, exactdedup, linededup, mixing, neardup, periodic, quality, records, rules, sharding, subwords, tiff
+from pressdelta.llm import chat, exactdedup, hardneg, linededup, mixing, neardup, periodic, quality, records, rules, sharding, subwords, tiff
 from pressdelta.llm.common import store
 
 
@@ -76,12 +76,17 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(hardneg.scaled(table(spark, sf_dir, "embeddings").withColumn("label", moved)), F.col("id") % 100 == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("text"), F.col("doc_id")).alias("text"))
     return periodic.summary(periodic.with_runs(docs, carry=["doc_id"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op4_subwords, op5_sharding, op6_near_dups, op7_chat, op8_records, op9_tiff, op10_rules, op11_exact_dedup, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_line_dedup, op4_subwords, op5_sharding, op6_near_dups, op7_chat, op8_records, op9_tiff, op10_rules, op11_exact_dedup, op12_hard_negatives, op13_periodic_runs)}
 
 ORACLE = {
     "op2_mixing": r"""
@@ -126,6 +131,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS k, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, first_value(r) OVER p AS best, first_value(doc_id) OVER p AS keep_id, count(*) OVER (PARTITION BY k) AS n FROM d WINDOW p AS (PARTITION BY k ORDER BY chars DESC, doc_id NULLS LAST, r))
 SELECT doc_id, keep_id, n::BIGINT AS group_size, r = best AS kept, k AS text_sha256 FROM w""",
+    "op12_hard_negatives": r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id AS other_id, a.label = e.label AS same, list_dot_product(a.v, e.v)::BIGINT AS score FROM e a JOIN e ON a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (SELECT p.*, other_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
     "op13_periodic_runs": r"""
 WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
              xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
