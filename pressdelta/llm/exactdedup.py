@@ -181,7 +181,7 @@ class History:
         self.drop()
         remove(path)
         self.path, self.bits = later, bits
-        self.size = self.index().agg(F.sum(F.octet_length("slots"))).first()[0] // SLOT.itemsize if later else 0
+        self.size = (self.index().agg(F.sum(F.octet_length("slots"))).first()[0] or 0) // SLOT.itemsize
 
     def entries(self) -> DataFrame:
         """(digest, n, chars, doc, row): every distinct digest with its group's size and winner."""
@@ -227,13 +227,13 @@ def decisions(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", batch
     total = keys.count()
     batches = batches or batch_count(total)
     # each batch as large as all before it
-    cuts = sorted(set(keys.approxQuantile("doc", [0.5**i for i in range(1, batches)], 0.01))) if total else []
+    cuts = sorted({min(int(c), LAST_ID) for c in keys.approxQuantile("doc", [0.5**i for i in range(1, batches)], 0.01)}) if total and batches > 1 else []
     edges = [None, *cuts, None]
     history = History(spark)
     for low, high in zip(edges, edges[1:]):
         part = keys
-        part = part if low is None else part.filter(F.col("doc") > F.lit(int(low)))
-        part = part if high is None else part.filter(F.col("doc") <= F.lit(int(high)))
+        part = part if low is None else part.filter(F.col("doc") > F.lit(low))
+        part = part if high is None else part.filter(F.col("doc") <= F.lit(high))
         history.add(grouped(part))
     groups = store(history.entries(), "digest-winners")
     history.drop()
