@@ -326,18 +326,21 @@ def _(spark, d):
 
 
 def _pairs_sql(threshold, lead):
-    """SQL of passages that are each other's best partner: m (article_id, seq, i, j, o, n)."""
+    """SQL of the matching, one new passage after the other: m (article_id, seq, i, j, o, n).  `taken` are the old ones used so far."""
     alike = f"len(list_intersect(ot, nt)) / len(list_distinct(list_concat(ot, nt)))::DOUBLE"
-    score = f"CASE WHEN len(ot) > 0 AND len(nt) > 0 AND {alike} >= {threshold} THEN {alike} {lead} END"
-    return f"""
+    score = f"CASE WHEN len(ot) > 0 AND len(nt) > 0 AND {alike} >= {threshold} THEN 1000000 + {alike} {lead} END"
+    return f"""RECURSIVE
 v AS (SELECT article_id, seq, {S.paras('body')} AS np, lag({S.paras('body')}) OVER (PARTITION BY article_id ORDER BY seq) AS op FROM d_versions),
 w AS (SELECT article_id, seq, {S.except_('op', 'np')} AS rem, {S.except_('np', 'op')} AS ad FROM v WHERE op IS NOT NULL),
 x AS (SELECT article_id, seq, list_filter(rem, lambda y, k: list_position(rem, y) = k) AS rem, list_filter(ad, lambda y, k: list_position(ad, y) = k) AS ad FROM w),
 os AS (SELECT article_id, seq, unnest(rem) AS o, generate_subscripts(rem, 1) AS i FROM x), ns AS (SELECT article_id, seq, unnest(ad) AS n, generate_subscripts(ad, 1) AS j FROM x),
 ot AS (SELECT *, {S.tokens('o')} AS ot, lower({S.collapse('o')}) AS op FROM os), nt AS (SELECT *, {S.tokens('n')} AS nt, lower({S.collapse('n')}) AS np FROM ns),
-sc AS (SELECT article_id, seq, i, j, o, n, {score} AS s FROM ot JOIN nt USING (article_id, seq)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY article_id, seq, j ORDER BY s DESC, i) AS rn, row_number() OVER (PARTITION BY article_id, seq, i ORDER BY s DESC, j) AS ro FROM sc WHERE s IS NOT NULL),
-m AS (SELECT * FROM rk WHERE rn = 1 AND ro = 1)"""
+sc AS MATERIALIZED (SELECT * FROM (SELECT article_id, seq, i, j, o, n, {score} AS s FROM ot JOIN nt USING (article_id, seq)) WHERE s IS NOT NULL),
+wants AS MATERIALIZED (SELECT article_id, seq, row_number() OVER (PARTITION BY article_id, seq ORDER BY j) AS step, j, list(i ORDER BY s DESC, i) AS wanted FROM sc GROUP BY article_id, seq, j),
+go AS (SELECT article_id, seq, 0::BIGINT AS step, 0::BIGINT AS j, 0::BIGINT AS i, []::BIGINT[] AS taken FROM (SELECT DISTINCT article_id, seq FROM wants) UNION ALL
+       SELECT article_id, seq, step, j, pick, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END
+       FROM (SELECT w.*, go.taken, list_filter(w.wanted, lambda y: NOT list_contains(go.taken, y))[1] AS pick FROM go JOIN wants w ON w.article_id = go.article_id AND w.seq = go.seq AND w.step = go.step + 1)),
+m AS (SELECT sc.* FROM go JOIN sc USING (article_id, seq, i, j) WHERE go.step > 0 AND go.i IS NOT NULL)"""
 
 
 HEAD_LEN = "len(list_filter(range(1, least(length(o), length(n)) + 1), lambda k: substr(o, 1, k) = substr(n, 1, k)))"
@@ -358,7 +361,7 @@ def _(spark, d):
 
 
 @query("ec5_reconcile_changes", f"""
-WITH {_pairs_sql(0.4, "WHEN length(op) >= 80 AND length(np) >= 80 AND substr(op, 1, 80) = substr(np, 1, 80) THEN 0.0")},
+WITH {_pairs_sql(0.4, "WHEN length(op) >= 80 AND length(np) >= 80 AND substr(op, 1, 80) = substr(np, 1, 80) THEN len(list_filter(range(1, least(length(op), length(np)) + 1), lambda k: substr(op, 1, k) = substr(np, 1, k)))")},
 a AS (SELECT article_id, seq, 0 AS lone, j AS k, o AS old, n AS new FROM m WHERE {S.collapse('o')} <> {S.collapse('n')} UNION ALL SELECT article_id, seq, 0, j, NULL, n FROM ns ANTI JOIN m USING (article_id, seq, j) UNION ALL SELECT article_id, seq, 1, i, o, NULL FROM os ANTI JOIN m USING (article_id, seq, i))
 SELECT article_id, seq, row_number() OVER (PARTITION BY article_id, seq ORDER BY lone, k) - 1 AS pos, old, new FROM a""")
 def _(spark, d):

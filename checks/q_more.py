@@ -92,7 +92,22 @@ def _(spark, d):
     return ex.paywall_marker_counts(made(spark, d, PROBED)).withColumn("host", F.regexp_replace("host", r"^www\.", ""))
 
 
-CHOICES = "SELECT doc_id, coalesce(text, '') AS raw, CASE doc_id % 4 WHEN 0 THEN concat(text, chr(10), text) WHEN 1 THEN '' WHEN 2 THEN substr(text, 1, 900) ELSE concat(text, ' ') END AS rendered, doc_id % 3 = 0 AS live FROM documents"
+# the text between and around what each publisher's pages carry
+FURNITURE = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'https://x.example/a.html' WHEN 1 THEN 'https://www.bild.de/a.html' WHEN 2 THEN 'https://www.n-tv.de/a.html' WHEN 3 THEN 'https://www.spiegel.de/a.html'
+  WHEN 4 THEN 'https://www.faz.net/aktuell/x/y-1.html' ELSE 'https://y.example/a.html' END AS url, 'T' AS title, CAST(NULL AS VARCHAR) AS description,
+ CASE doc_id % 6 WHEN 0 THEN concat(t, ' {"@context":"s","a":{"b":', doc_id, '},"c":[{}]} ', t) WHEN 1 THEN concat('Kopf Foto: Max 01.02.2026 - 10:11 Uhr ', t, ' TTS-Player überspringen ')
+  WHEN 2 THEN concat(t, ' Empfehlungen1:23Film Mehr Inhalte anzeigen') WHEN 3 THEN concat(t, chr(10), 'Ein Film über etwas Schönes 01:23Noch ein Film über etwas 02:34Und ein dritter Film dazu 03:45')
+  WHEN 4 THEN concat('18.06.2026, 12:58 Lesezeit: 6 Min. ', t, ' FAZ+ ') ELSE concat(t, ' An dieser Stelle findest du Inhalte aus ', doc_id, ' Weitere Infos finden Sie hier. ', t) END AS body
+ FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
+
+
+@query("bd2_clean_body", f"SELECT doc_id, {S.collapse("CASE WHEN doc_id % 6 IN (0, 5) THEN concat(coalesce(text, ''), ' ', coalesce(text, '')) ELSE coalesce(text, '') END")} AS body FROM documents")
+def _(spark, d):
+    rows = spark.sql(FURNITURE.replace("{", "{{").replace("}", "}}").replace("chr(10)", "'\\n'").replace("VARCHAR", "STRING").replace("FROM documents", "FROM {rows}"), rows=star(spark, d, "documents"))
+    return bd.clean_body(rows).select("doc_id", "body")
+
+
+CHOICES = "SELECT doc_id, coalesce(text, '') AS raw, CASE doc_id % 4 WHEN 0 THEN concat(text, chr(10), text) WHEN 1 THEN '' WHEN 2 THEN upper(text) ELSE concat(text, ' ') END AS rendered, doc_id % 3 = 0 AS live FROM documents"
 _CHARS = lambda c: f"coalesce(list_sum(list_transform({S.paras(c)}, lambda p: length(p))), 0)"
 
 

@@ -41,6 +41,8 @@ def with_domain(sql: str) -> str:
     body = sql.strip()
     if not parts:
         return body
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[14:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body

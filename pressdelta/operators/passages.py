@@ -1,7 +1,7 @@
-"""Passages of two texts that belong together: candidates by shared tokens, then the best of both sides.
+"""Passages of two texts that belong together: candidates by shared tokens, then a matching in order of the new passages.
 
-An old and a new passage are one changed passage when each is the other's most similar partner and they are similar enough.
-Candidates come from a prefix filter: two token sets with a Jaccard similarity of t share a token among the first
+Each new passage, in its order, takes the most similar old passage that is left, if that is similar enough.  The result of this
+sequence is found set-wise, in rounds (`matched_in_order`).  Candidates come from a prefix filter: two token sets with a Jaccard similarity of t share a token among the first
 n - ceil(t n) + 1 of each in any common order, so only those tokens are joined; long words come first, as they are rare.
 """
 
@@ -13,16 +13,17 @@ from os.path import commonprefix
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pressdelta.functions.text import collapse_ws, let, letter_tokens, set_jaccard
+from pressdelta.session import checkpoint_dir
 
 CHANGE_LIST = "array<struct<old:string,new:string>>"
 CONTEXT = 140
 
 
-def match_passages(items: DataFrame, keys: Sequence[str], threshold: float, lead_chars: int | None = None) -> DataFrame:
-    """(keys, old_pos, new_pos, score) of passages that are each other's best partner.
+def scored_passages(items: DataFrame, keys: Sequence[str], threshold: float, lead_chars: int | None = None) -> DataFrame:
+    """(keys, old_pos, new_pos, tier, score): old and new passages that are similar enough.
 
-    `items` is (keys, old boolean, pos, text).  Score is the Jaccard similarity of the tokens; with `lead_chars`, passages below the
-    threshold that begin with the same characters match as well, after all others.  Ties go to the earlier passage.
+    `items` is (keys, old boolean, pos, text).  Score is the Jaccard similarity of the tokens, at least the threshold (tier 0); with
+    `lead_chars`, others that begin with at least so many equal characters count by their number (tier 1), after all of tier 0.
     """
     keys = list(keys)
     t = items.select(*keys, "old", "pos", letter_tokens(F.col("text")).alias("tokens"), F.lower(collapse_ws(F.col("text"))).alias("plain"))
@@ -36,20 +37,51 @@ def match_passages(items: DataFrame, keys: Sequence[str], threshold: float, lead
     maybe = side(marked, True).join(side(marked, False), [*keys, "mark"]).select(*keys, "old_pos", "new_pos").distinct()
     full = maybe.join(side(t, True).withColumnsRenamed({"tokens": "a", "plain": "pa"}), [*keys, "old_pos"]).join(side(t, False).withColumnsRenamed({"tokens": "b", "plain": "pb"}), [*keys, "new_pos"])
     alike = set_jaccard(F.col("a"), F.col("b"))
-    score = F.when(alike >= threshold, alike)
+    tier, score = F.when(alike >= threshold, 0), F.when(alike >= threshold, alike)
     if lead_chars is not None:
         lead = lambda c: F.substring(c, 1, lead_chars)
-        score = F.coalesce(score, F.when((F.length("pa") >= lead_chars) & (lead("pa") == lead("pb")), F.lit(0.0)))
-    scored = full.select(*keys, "old_pos", "new_pos", score.alias("score")).filter(F.col("score").isNotNull())
-    rank = lambda mine, other: F.row_number().over(W.partitionBy(*keys, mine).orderBy(F.desc("score"), other))
-    both = scored.withColumns({"__n": rank("new_pos", "old_pos"), "__o": rank("old_pos", "new_pos")})
-    return both.filter("__n = 1 AND __o = 1").select(*keys, "old_pos", "new_pos", "score")
+        long = (F.length("pa") >= lead_chars) & (F.length("pb") >= lead_chars) & (lead("pa") == lead("pb"))
+        tier, score = F.coalesce(tier, F.when(long, 1)), F.coalesce(score, F.when(long, common_length(F.col("pa"), F.col("pb")).cast("double")))
+    return full.select(*keys, "old_pos", "new_pos", tier.alias("tier"), score.alias("score")).filter(F.col("score").isNotNull())
+
+
+def matched_in_order(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, old_pos, new_pos): the pairs that arise when the new passages, by position, each take their best old passage that is left.
+
+    Best is by tier, score and position of the old passage.  In a round every new passage asks for the best of its list; the first of those that
+    ask for an old passage bars it to all later ones.  New passages with the same list ask for different entries at once, the
+    r-th for the r-th, as those before it are sure to take the ones before.  When a round bars nothing, every request stands.  A list gets
+    shorter in every round it does not stand, so the rounds end; pairs without a rival need none.
+    """
+    keys, spark = list(keys), edges.sparkSession
+    checkpoint_dir(spark)
+    best = F.struct("tier", (-F.col("score")).alias("score"), "old_pos").alias("best")
+    all_ = edges.select(*keys, "old_pos", "new_pos", best).checkpoint()
+    rivals = all_.withColumns({"__o": F.count("*").over(W.partitionBy(*keys, "old_pos")), "__n": F.count("*").over(W.partitionBy(*keys, "new_pos"))})
+    alone = rivals.filter("__o = 1 AND __n = 1").select(*keys, "old_pos", "new_pos")
+    live = rivals.filter("__o > 1 OR __n > 1").drop("__o", "__n").checkpoint()
+    left = live.count()
+    while left:
+        lists = live.groupBy(*keys, "new_pos").agg(F.transform(F.array_sort(F.collect_list("best")), lambda x: x["old_pos"]).alias("wanted"))
+        turn = F.row_number().over(W.partitionBy(*keys, "wanted").orderBy("new_pos")) - 1
+        asked = lists.withColumn("old_pos", F.get("wanted", turn)).filter("old_pos IS NOT NULL").groupBy(*keys, "old_pos").agg(F.min("new_pos").alias("__first"))
+        live = live.join(asked, [*keys, "old_pos"], "left").filter("__first IS NULL OR new_pos <= __first").drop("__first").checkpoint()
+        before, left = left, live.count()
+        if left == before:
+            settled = asked.select(*keys, "old_pos", F.col("__first").alias("new_pos")).checkpoint()
+            return alone.unionByName(settled)
+    return alone
+
+
+def match_passages(items: DataFrame, keys: Sequence[str], threshold: float, lead_chars: int | None = None) -> DataFrame:
+    """(keys, old_pos, new_pos) of passages that belong together; `items` as of `scored_passages`."""
+    return matched_in_order(scored_passages(items, keys, threshold, lead_chars), keys)
 
 
 def paired(items: DataFrame, keys: Sequence[str], threshold: float, lead_chars: int | None = None) -> DataFrame:
     """(keys, place, old, new): every passage once, with its partner or alone; new ones in their order, then lone old ones."""
     keys = list(keys)
-    pairs = match_passages(items, keys, threshold, lead_chars).drop("score")
+    pairs = match_passages(items, keys, threshold, lead_chars)
     olds = items.filter("old").select(*keys, F.col("pos").alias("old_pos"), F.col("text").alias("old"))
     news = items.filter("NOT old").select(*keys, F.col("pos").alias("new_pos"), F.col("text").alias("new"))
     joined = olds.join(pairs, [*keys, "old_pos"], "left").join(news, [*keys, "new_pos"], "full")
@@ -104,10 +136,13 @@ def region_of(old: str, new: str, context: int = CONTEXT) -> tuple[str, str]:
 
 def changes_of(removed: Sequence[tuple[str, Sequence[str]]], added: Sequence[tuple[str, Sequence[str]]], threshold: float = 0.35) -> list[tuple[str | None, str | None]]:
     """As `list_changes`, for (text, tokens) lists."""
-    olds, news = [frozenset(t) for _, t in removed], [frozenset(t) for _, t in added]
-    scores = {(i, j): s for i, a in enumerate(olds) for j, b in enumerate(news) if a and b and (s := len(a & b) / len(a | b)) >= threshold}
-    for_new = {j: min((-s, i) for (i, k), s in scores.items() if k == j)[1] for j in {j for _, j in scores}}
-    for_old = {i: min((-s, j) for (k, j), s in scores.items() if k == i)[1] for i in {i for i, _ in scores}}
-    partner = {j: i for j, i in for_new.items() if for_old[i] == j}
+    olds, left, partner = [frozenset(t) for _, t in removed], dict.fromkeys(range(len(removed))), {}
+    for j, (_, tokens) in enumerate(added):
+        new = frozenset(tokens)
+        alike = [(-len(new & olds[i]) / len(new | olds[i]), i) for i in left if new and olds[i]]
+        score, i = min(alike, default=(0.0, -1))
+        if -score >= threshold:
+            partner[j] = i
+            del left[i]
     out = [region_of(removed[partner[j]][0], text) if j in partner else (None, text) for j, (text, _) in enumerate(added)]
-    return [c for c in out if c[0] != c[1]] + [(text, None) for i, (text, _) in enumerate(removed) if i not in partner.values()]
+    return [c for c in out if c[0] != c[1]] + [(text, None) for i, (text, _) in enumerate(removed) if i in left]

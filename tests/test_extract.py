@@ -1,6 +1,8 @@
 """Facts from page HTML, page kinds, signals, body text."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,7 +108,7 @@ def test_signals_can_be_extended(spark):
 
 
 def test_marker_counts(spark):
-    rows = [(f"https://www.faz.net/a/{i}", "Jetzt kostenlos F+ " if i % 2 else "") for i in range(100)] + [("https://x.de/a", "F+ ")]
+    rows = [(f"https://www.faz.net/a/{i}", "Jetzt kostenlos F+x" if i % 2 else "F+ ") for i in range(100)] + [("https://x.de/a", "F+x")]
     got = {(r.host, r.marker): (r.captures, r.n) for r in ex.paywall_marker_counts(spark.createDataFrame(rows, "url string, html string"), 1000).collect()}
     assert got[("www.faz.net", "f-plus")] == (100, 50) and all(h == "www.faz.net" for h, _ in got)
 
@@ -167,3 +169,37 @@ def test_track_body(spark):
     df = ex.with_jsonld(spark.createDataFrame([("https://x.de/a", f"<article>{text}<p>{'w' * 70}</p></article>", f"<article>{text}</article>", "T", None, False)], "url string, html string, raw_html string, title string, description string, is_live boolean"))
     r = bd.track_body(df).first()
     assert r.body.startswith(PARA.format(0)) and "www" not in r.body and r.is_live is False
+
+
+def drop_blobs_plainly(text):
+    """Front to back: an object that opens with a context goes with its last brace; one that never closes keeps the rest."""
+    out, at = "", 0
+    while (start := text.find('{"@context"', at)) >= 0:
+        depth, end = 0, start
+        while end < len(text):
+            depth += {"{": 1, "}": -1}.get(text[end], 0)
+            end += 1
+            if depth == 0:
+                break
+        if depth:
+            break
+        out, at = out + text[at:start] + " ", end
+    return out + text[at:]
+
+
+def cut_clips_plainly(text):
+    starts = [m.start() for m in re.finditer(r"[^\n]{15,220}?[0-9]{1,2}:[0-9]{2}(?=[A-ZÄÖÜ]|\Z)", text)]
+    near = [a for a, c in zip(starts, starts[2:]) if c - a < 900]
+    return text[: near[0]] if near else text
+
+
+def test_blobs_and_video_lists_against_plain_code(spark):
+    rnd = random.Random(4)
+    parts = ['{"@context"', '{"a"', "{", "}", "} ", ":1", " Wort", "\n", "ü😀"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 25))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts + [None])), "i int, t string").select("t", bd.without_json_blobs(F.col("t")).alias("r")).collect()
+    assert all(r.r == (None if r.t is None else drop_blobs_plainly(r.t)) for r in rows)
+    bits = ["Ein Satz über etwas ", "12:30Uhr", "1:23Noch", " 01:23", "\n", "x" * 300, "Ä", " 9:59Ö"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 30))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts + [None])), "i int, t string").select("t", bd.without_video_list(F.col("t")).alias("r")).collect()
+    assert all(r.r == (None if r.t is None else cut_clips_plainly(r.t)) for r in rows) and any(r.t and r.r != r.t for r in rows)
