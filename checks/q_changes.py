@@ -123,7 +123,7 @@ SELECT article_id, scanned_at AS captured_at, change_kind, added_count, CASE WHE
 FROM k WINDOW w AS (PARTITION BY article_id ORDER BY scanned_at)""")
 def _(spark, d):
     c = versions(spark, d).select("article_id", F.col("scanned_at").alias("captured_at"), F.lit(None).cast("string").alias("title"), "body")
-    return ch.track_changes(c).select("article_id", "captured_at", "change_kind", "added_count", "removed_count", "revision_count", "extension_count", "edit_count")
+    return ch.track_changes(c, passages=False).select("article_id", "captured_at", "change_kind", "added_count", "removed_count", "revision_count", "extension_count", "edit_count")
 
 
 @query("ch12_track_changes_titled", f"""
@@ -132,7 +132,7 @@ SELECT h.article_id, scanned_at AS captured_at, {S.decode('pt')} AS title_old, {
 FROM h JOIN tp ON tp.article_id = h.article_id AND tp.seq = h.seq WHERE prev_at IS NOT NULL AND {S.decode('pt')} <> {S.decode('h.title')}""")
 def _(spark, d):
     c = versions(spark, d).select("article_id", F.col("scanned_at").alias("captured_at"), "title", "body")
-    return ch.track_changes(c).select("article_id", "captured_at", "title_old", "title_new", "change_kind", "revision_count")
+    return ch.track_changes(c, passages=False).select("article_id", "captured_at", "title_old", "title_new", "change_kind", "revision_count")
 
 
 @query("ch12_tracked_state", f"""

@@ -2,25 +2,28 @@
 
 Everything that compares two versions is a Column over a row and its predecessor.  Only the decision that depends on
 earlier decisions (oscillation, counters) is a fold; it runs over a thin stream of change events, one short row per
-changed capture, sorted inside the partition and never collected.
+changed capture, sorted inside the partition and never collected.  The events of an article with very many of them are folded in
+chunks of time, at once.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pressdelta import constants as K
 from pressdelta.functions.text import WS, decode_entities, fingerprint, let, occurrences, split_paragraphs, trim_ws
 from pressdelta.functions.timeutil import as_ts, seconds_between
+from pressdelta.operators.body import clean_body
 from pressdelta.operators.context import real_date_shift
 from pressdelta.operators.passages import list_changes
-from pressdelta.operators.url_jobs import url_kind
-from pressdelta.plans.patterns import carry_forward, previous_row
+from pressdelta.operators.url_jobs import live_content, url_kind
+from pressdelta.plans.patterns import carry_forward, previous_row, written
 from pressdelta.sources.tables import Tables
 
 
@@ -194,26 +197,98 @@ def advance(state: dict, ev: dict) -> dict | None:
 DECISION = ("article_id bigint, captured_at timestamp_ntz, change_kind string, growing boolean, pubdate_changed boolean, pub_old double, "
             "revision_count bigint, extension_count bigint, edit_count bigint, new_type string")
 _EVENT_COLUMNS = ("article_id", "captured_at", "content_hash", "sig", "added_count", "removed_count", "visible", "title_edit", "meta_edit", "pub_prev_s", "pub_new_s", "is_live")
+# one row per record, and one per chunk with `after`, the state at its end, as JSON
+_FOLDED = DECISION + ", chunk bigint, after string"
+# events of an article that are decided in one go
+FOLD_ROWS = 20_000
+# what an article with very many events most likely is in the middle of them: it has grown before
+ASSUMED = {"ext": 2, "type": "timeline"}
 
 
 def _number(v) -> float | None:
     return None if v is None or v != v else float(v)
 
 
+def chunk_start(state: dict) -> dict:
+    """What decisions depend on: counters start anew in each chunk, but for how far the article has grown."""
+    return {**state, "rev": 0, "edit": 0, "ext": min(state["ext"], 2)}
+
+
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by article and time; the state of one article is alive at a time."""
-    current, state = object(), new_state()
-    names = [c.split()[0] for c in DECISION.split(", ")]
+    """Rows come sorted by article, chunk and time, each with the state its chunk starts from (`before`, null at the start of an article); the
+    state of one chunk is alive at a time.  The counters of the records run from the start of the chunk."""
+    current, state, grown = None, new_state(), 0
+    names = [c.split()[0] for c in _FOLDED.split(", ")]
+    closed = lambda: (current[0], None, None, None, None, None, state["rev"], state["ext"] - grown, state["edit"], state["type"], current[1], json.dumps(chunk_start(state)))
     for pdf in batches:
         out = []
         for r in pdf.itertuples(index=False):
-            if r.article_id != current:
-                current, state = r.article_id, new_state()
+            if (r.article_id, r.chunk) != current:
+                if current:
+                    out.append(closed())
+                current, state = (r.article_id, r.chunk), {**new_state(), **json.loads(r.before)} if isinstance(r.before, str) else new_state()
+                grown = state["ext"]
             rec = advance(state, {"hash": r.content_hash, "sig": r.sig, "added": r.added_count, "removed": r.removed_count, "visible": r.visible, "title": r.title_edit,
                                   "meta": r.meta_edit, "pub_prev": _number(r.pub_prev_s), "pub_new": _number(r.pub_new_s), "live": r.is_live})
             if rec:
-                out.append((r.article_id, r.captured_at, rec["kind"], rec["growing"], rec["pub"], rec["pub_old"], rec["rev"], rec["ext"], rec["edit"], rec["type"]))
+                out.append((r.article_id, r.captured_at, rec["kind"], rec["growing"], rec["pub"], rec["pub_old"], rec["rev"], rec["ext"] - grown, rec["edit"], rec["type"], r.chunk, None))
         yield pd.DataFrame(out, columns=names)
+    if current:
+        yield pd.DataFrame([closed()], columns=names)
+
+
+def _decided(events: DataFrame) -> DataFrame:
+    """Records (`after` null) and ends of chunks for events with chunk and before."""
+    keys = ["article_id", "chunk"]
+    return events.repartition(*keys).sortWithinPartitions(*keys, "captured_at").mapInPandas(_fold, _FOLDED)
+
+
+def _chunked(events: DataFrame, rows: int) -> DataFrame:
+    """Events with `chunk`: stretches of about `rows` events of an article, cut between minutes."""
+    minute = F.date_trunc("minute", "captured_at")
+    per = events.groupBy("article_id", minute.alias("__minute")).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(W.partitionBy("article_id").orderBy("__minute").rowsBetween(W.unboundedPreceding, W.currentRow))
+    number = per.select("article_id", "__minute", F.floor((upto - 1) / rows).cast("bigint").alias("chunk"))
+    return events.withColumn("__minute", minute).join(number, ["article_id", "__minute"]).drop("__minute")
+
+
+def decide(events: DataFrame, rows: int = FOLD_ROWS) -> DataFrame:
+    """The decisions of `advance` over the events of each article in time order (DECISION).
+
+    An article with up to `rows` events is folded in one go.  Those with more are cut into chunks of time, which are decided at once from an
+    assumed state.  Then each chunk's true start is the end of the one before; chunks that started otherwise are decided again, until none did.
+    Every round settles at least the first unsettled chunk of each article; as states forget what lies far back, it is few rounds.  Counters are
+    added up over the chunks at the end.
+    """
+    large = written(events.groupBy("article_id").agg(F.count("*").alias("n")).filter(F.col("n") > rows).select("article_id"), "large-articles")
+    none = F.lit(None).cast("string")
+    plain = [c.split()[0] for c in DECISION.split(", ")]
+    if large.isEmpty():
+        return _decided(events.withColumns({"chunk": F.lit(0).cast("bigint"), "before": none})).filter("after IS NULL").select(*plain)
+    small = _decided(events.join(large, "article_id", "left_anti").withColumns({"chunk": F.lit(0).cast("bigint"), "before": none})).filter("after IS NULL").select(*plain)
+    hot = written(_chunked(events.join(large, "article_id", "left_semi"), rows), "chunked-events")
+    keys = ["article_id", "chunk"]
+    assumed = F.to_json(F.struct(F.lit(True).alias("seen"), "hash", *[F.lit(v).alias(k) for k, v in ASSUMED.items()]))
+    start = F.when(F.col("hash").isNotNull(), assumed)
+    # the last hash of the chunk before is known from the events
+    lasts = hot.groupBy(*keys).agg(F.max_by("content_hash", "captured_at").alias("last"))
+    starts = written(lasts.withColumn("hash", F.lag("last").over(W.partitionBy("article_id").orderBy("chunk"))).select(*keys, start.alias("before")), "chunk-starts")
+    done = written(_decided(hot.join(starts, keys)), "chunk-records")
+    while True:
+        ends = done.filter("after IS NOT NULL").select(*keys, "after")
+        true = ends.select(*keys, F.lag("after").over(W.partitionBy("article_id").orderBy("chunk")).alias("before"))
+        canon = lambda c: F.struct(*[F.get_json_object(c, f"$.{k}") for k in new_state()])
+        wrong = written(true.join(starts.select(*keys, F.col("before").alias("__was")), keys).filter(~canon("before").eqNullSafe(canon("__was"))).select(*keys, "before"), "chunk-starts")
+        if wrong.isEmpty():
+            break
+        again = _decided(hot.join(wrong, keys))
+        done = written(done.join(wrong.select(*keys), keys, "left_anti").unionByName(again), "chunk-records")
+        starts = written(starts.join(wrong.select(*keys), keys, "left_anti").unionByName(wrong), "chunk-starts")
+    counts = ("revision_count", "extension_count", "edit_count")
+    before = W.partitionBy("article_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = done.filter("after IS NOT NULL").select(*keys, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in counts])
+    records = done.filter("after IS NULL").join(offsets, keys).withColumns({c: F.col(c) + F.col(f"__{c}") for c in counts})
+    return small.unionByName(records.select(*plain))
 
 
 META_COLUMNS = ("description", "og_image", "topic", "paywalled", "author_status")
@@ -247,17 +322,31 @@ def with_change_facts(captures: DataFrame) -> DataFrame:
         "is_live": F.coalesce("is_live", F.lit(False)), "first_contact": first})
 
 
-def track_changes(captures: DataFrame) -> DataFrame:
-    """Change records of a capture history: one row per recorded change, with counters after it."""
-    facts = with_change_facts(captures)
+def recleaned(captures: DataFrame) -> DataFrame:
+    """Captures (with url) whose stored text is brought to the current cleaning rules, so that furniture an older rule left in is no change."""
+    have = captures.columns
+    for name in ("title", "description"):
+        if name not in have:
+            captures = captures.withColumn(name, F.lit(None).cast("string"))
+    return clean_body(captures).select(*have)
+
+
+def track_changes(captures: DataFrame, passages: bool = True, reclean: bool = False, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """Change records of a capture history: one row per recorded change, with counters after it.
+
+    What moved is written once; the decisions read its thin columns, the records all of them.  `passages=False` leaves out the pairing of
+    old and new passages (`changes` has none then).  `reclean` cleans all captures by the current rules first; they bring `url`."""
+    facts = with_change_facts(recleaned(captures) if reclean else captures)
     moved = F.col("first_contact") | F.col("title_edit") | F.col("meta_edit") | (F.col("content_hash") != F.col("prev_content_hash")) | date_differs(F.col("published_stored"), F.col("published_track"))
-    events = facts.filter(moved).select(*_EVENT_COLUMNS)
-    decided = events.repartition("article_id").sortWithinPartitions("article_id", "captured_at").mapInPandas(_fold, DECISION)
+    wide = ("prev_title", "title", "meta_edits", "added_texts", "removed_texts", "body_words", "prev_body_words", "published_track")
+    facts = written(facts.filter(moved).select(*_EVENT_COLUMNS, *wide), "change-facts")
+    decided = decide(facts.select(*_EVENT_COLUMNS), fold_rows)
     keys = ["article_id", "captured_at"]
     j = facts.join(decided, keys)
     content = (F.col("added_count") > 0) | (F.col("removed_count") > 0)
     # only recorded edits are paired
-    j = j.join(list_changes(j.filter(content & ~F.col("growing")), keys, "removed_texts", "added_texts").withColumnRenamed("changes", "edit_changes"), keys, "left")
+    edits = list_changes(j.filter(content & ~F.col("growing")), keys, "removed_texts", "added_texts") if passages else None
+    j = j.join(edits.withColumnRenamed("changes", "edit_changes"), keys, "left") if passages else j.withColumn("edit_changes", F.lit(None).cast("array<struct<old:string,new:string>>"))
     grown = F.transform("added_texts", lambda p: F.struct(F.lit(None).cast("string").alias("old"), p.alias("new")))
     none = F.array().cast("array<struct<old:string,new:string>>")
     return j.select(
@@ -348,14 +437,6 @@ def never_changed() -> Column:
     return (F.coalesce("revision_count", F.lit(0)) == 0) & (F.coalesce("extension_count", F.lit(0)) == 0) & (F.coalesce("edit_count", F.lit(0)) == 0)
 
 
-def live_content(url: Column, title: Column) -> Column:
-    """Live reporting by URL or title."""
-    hay = F.lower(F.concat(url, F.lit(" "), F.coalesce(title, F.lit(""))))
-    hub = hay.rlike(r"news?ticker/.*alle-[a-z-]+-news")
-    live = hay.rlike(r"liveblog|live-blog|live-ticker|liveticker|newsblog|en-direct|im[- ]minutentakt") | hay.rlike("/live/") | F.coalesce(title.rlike(r"\+\+.+\+\+"), F.lit(False))
-    return ~hub & live
-
-
 def move_out(t: Tables, gone: DataFrame, kind: str) -> Tables:
     """Pages of the URLs get the kind, their articles are removed."""
     urls = gone.select("url").distinct()

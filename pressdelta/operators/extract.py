@@ -14,8 +14,7 @@ from pressdelta import constants as K
 from pressdelta.functions.numbers import half_up
 from pressdelta.functions.text import WS, collapse_ws, decode_entities, is_person, let, rx, trim_ws
 from pressdelta.functions.timeutil import parse_ts
-from pressdelta.operators.changes import live_content
-from pressdelta.operators.url_jobs import looks_like_article, rubric_source_url, topic_sections, url_host, url_kind, url_path
+from pressdelta.operators.url_jobs import live_content, looks_like_article, rubric_source_url, topic_sections, url_host, url_kind, url_path
 from pressdelta.plans.patterns import top_per_group
 from pressdelta.sources.tables import Tables
 

@@ -6,14 +6,18 @@
 * `carry_forward`    latest non-null value per key, in the same way
 * `spread_scan`      more tasks for a scan of few splits
 * `small`            broadcast hint behind a measured size
+* `written`          a table written once to the shared folder and read with only the columns a reader needs
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pressdelta.session import checkpoint_dir
+
 DEFAULT_SALTS = 64
 # Largest table that is offered for broadcast, after its size was checked.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -116,3 +120,10 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint when Spark's own size estimate of the plan is under the limit; otherwise the plan as it is."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the folder for checkpoints: lineage ends here, and several readers do not compute them again."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 """Change records: each branch of the decision, batch and fold, date and paywall folds, gates."""
 
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -145,3 +146,64 @@ def test_bounded_history(spark):
     assert df.select(ch.push_bounded(F.col("h"), F.col("x"), 3, unique=True)).first()[0] == ["b", "c", "a"]
     assert df.select(ch.push_bounded(F.col("h"), F.col("x"), 3)).first()[0] == ["b", "c", "a"]
     assert spark.createDataFrame([(None, "a")], "h array<string>, x string").select(ch.push_bounded(F.col("h"), F.col("x"), 3, unique=True)).first()[0] == ["a"]
+
+
+# --- matching and folds in rounds against the plain sequences -----------------------------------------------------------------
+def plain_matching(edges):
+    """edges {(new, old): (tier, -score)}: each new one, in order, takes the best old one that is left."""
+    left, out = {o for _, o in edges}, set()
+    for n in sorted({n for n, _ in edges}):
+        mine = [(*edges[n, o], o) for o in left if (n, o) in edges]
+        if mine:
+            out.add((n, min(mine)[-1]))
+            left.discard(min(mine)[-1])
+    return out
+
+
+def test_matching_in_rounds_equals_the_sequence(spark):
+    rnd = random.Random(3)
+    groups = []
+    for g in range(60):
+        n, m = rnd.randrange(1, 9), rnd.randrange(1, 9)
+        # few different scores: many ties, and many equal lists
+        groups.append({(a, b): (rnd.choice([0, 0, 1]), -rnd.choice([1.0, 0.5, 80.0])) for a in range(n) for b in range(m) if rnd.random() < rnd.choice([0.4, 1.0])})
+    groups.append({(a, b): (0, -1.0) for a in range(60) for b in range(40)})
+    rows = [(g, o, n, t, -s) for g, edges in enumerate(groups) for (n, o), (t, s) in edges.items()]
+    d = spark.createDataFrame(rows, "g int, old_pos int, new_pos int, tier int, score double")
+    got = {(r.g, r.new_pos, r.old_pos) for r in ps.matched_in_order(d, ["g"]).collect()}
+    assert got == {(g, n, o) for g, edges in enumerate(groups) for n, o in plain_matching(edges)}
+    assert ps.matched_in_order(d.limit(0), ["g"]).count() == 0
+
+
+def random_events(rnd, article, n, live=False):
+    """Thin change events with swings between few states, dates that move, titles and metadata."""
+    out, day = [], dt.datetime(2026, 1, 1)
+    for i in range(n):
+        h, pub = f"h{rnd.randrange(6)}", rnd.choice([None, 0.0, 100.0, 5000.0])
+        out.append((article, day + dt.timedelta(minutes=7 * i), h, rnd.choice(["", "s1", "s2", f"s{i}"]), rnd.randrange(0, 3), rnd.randrange(0, 3), rnd.random() < 0.8, rnd.random() < 0.02, rnd.random() < 0.02, 0.0 if pub is None else pub, pub, live and i > n // 2))
+    return out
+
+
+def test_chunks_at_once_equal_the_fold(spark):
+    rnd = random.Random(12)
+    rows = [e for a, n in ((1, 400), (2, 3), (3, 90), (4, 25), (5, 26)) for e in random_events(rnd, a, n, live=a == 3)]
+    d = spark.createDataFrame(rows, "article_id bigint, captured_at timestamp_ntz, content_hash string, sig string, added_count bigint, removed_count bigint, visible boolean, title_edit boolean, meta_edit boolean, pub_prev_s double, pub_new_s double, is_live boolean")
+    want = []
+    for a in sorted({r[0] for r in rows}):
+        state = ch.new_state()
+        for r in (r for r in rows if r[0] == a):
+            rec = ch.advance(state, dict(zip(("hash", "sig", "added", "removed", "visible", "title", "meta", "pub_prev", "pub_new", "live"), r[2:])))
+            if rec:
+                want.append((a, r[1], rec["kind"], rec["growing"], rec["pub"], rec["pub_old"], rec["rev"], rec["ext"], rec["edit"], rec["type"]))
+    key = lambda rows_: sorted(map(str, map(tuple, rows_)))
+    assert key(ch.decide(d, 10).collect()) == key(ch.decide(d, 25).collect()) == key(ch.decide(d).collect()) == key(want)
+
+
+def test_removed_furniture_is_no_change(spark):
+    text = "Der Text des Artikels, der lang genug für einen Absatz ist und sich nicht ändert."
+    old = f"Vorspann Foto: Max 01.02.2026 - 10:11 Uhr {text}"
+    t = [dt.datetime(2026, 1, d) for d in (1, 2, 3)]
+    d = spark.createDataFrame([(1, t[0], "https://www.bild.de/a", "T", old), (1, t[1], "https://www.bild.de/a", "T", text), (1, t[2], "https://www.bild.de/a", "T", text + " Und ein Satz mehr.")],
+                              "article_id bigint, captured_at timestamp_ntz, url string, title string, body string")
+    assert [r.captured_at for r in ch.track_changes(d, reclean=True).collect()] == [t[2]]
+    assert ch.track_changes(d).count() == 2
