@@ -398,10 +398,19 @@ def _(spark, d):
     return neighbours(spark, d).withColumns({"similarity": F.round("similarity", 6), "rn": F.col("rn").cast("bigint")})
 
 
-@query("cl2_assign_clusters", f"""WITH RECURSIVE {SIMS}, e AS (SELECT article_id AS a, neighbour_id AS b FROM nn WHERE rn <= 10 UNION SELECT neighbour_id, article_id FROM nn WHERE rn <= 10),
-reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b) SELECT least(a, min(b)) AS cluster_id, a AS article_id FROM reach GROUP BY a""")
-def _(spark, d):
-    return cl.assign_clusters(neighbours(spark, d)).select("cluster_id", "article_id")
+# one article after the other: `who` has a cluster, `cl` is it, `sim` the similarity it came with
+@query("cl2_assign_clusters", f"""WITH RECURSIVE {SIMS}, near AS MATERIALIZED (SELECT article_id, list(neighbour_id ORDER BY rn) AS ids, list(s ORDER BY rn) AS sims FROM nn WHERE rn <= 10 GROUP BY 1),
+todo AS MATERIALIZED (SELECT article_id, coalesce(ids, []) AS ids, coalesce(sims, []) AS sims, row_number() OVER (ORDER BY article_id) AS step
+ FROM (SELECT DISTINCT unnest(list_append(ids, article_id)) AS article_id FROM near) LEFT JOIN near USING (article_id)),
+go AS (SELECT 0::BIGINT AS step, []::BIGINT[] AS who, []::BIGINT[] AS cl, []::DOUBLE[] AS sim UNION ALL
+ SELECT step, CASE WHEN done THEN who ELSE list_concat(list_append(who, article_id), list_filter(ids, lambda x: NOT list_contains(who, x))) END,
+  CASE WHEN done THEN cl ELSE list_concat(list_append(cl, target), list_transform(list_filter(ids, lambda x: NOT list_contains(who, x)), lambda x: target)) END,
+  CASE WHEN done THEN sim ELSE list_concat(list_append(sim, 1.0::DOUBLE), list_transform(list_filter(ids, lambda x: NOT list_contains(who, x)), lambda x: sims[list_position(ids, x)])) END
+ FROM (SELECT t.step, t.article_id, t.ids, t.sims, go.who, go.cl, go.sim, list_contains(go.who, t.article_id) AS done,
+        coalesce(go.cl[list_position(go.who, list_filter(t.ids, lambda x: list_contains(go.who, x))[1])], t.article_id) AS target FROM go JOIN todo t ON t.step = go.step + 1))
+SELECT unnest(cl) AS cluster_id, unnest(who) AS article_id, round(unnest(sim), 6) AS similarity FROM go WHERE step = (SELECT max(step) FROM todo)""")
+def _(spark, d):
+    return cl.assign_clusters(neighbours(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("sg5_sync_corpus", f"""SELECT id, last_seen, scan_count FROM d_corpus WHERE published_at >= TIMESTAMP '{NOW}' - INTERVAL 400 DAY OR (published_at IS NULL AND discovered_at >= TIMESTAMP '{NOW}' - INTERVAL 400 DAY) OR last_seen >= TIMESTAMP '{NOW}' - INTERVAL 400 DAY""")

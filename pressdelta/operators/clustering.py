@@ -1,9 +1,9 @@
-"""Story clusters: nearest neighbours by cosine, connected groups.
+"""Story clusters: nearest neighbours by cosine, and clusters that articles join one after the other.
 
-The neighbour search is exact.  Vectors are assigned to the nearest of a bounded number of pivots; a vector is compared
-with a cell only if the triangle inequality on angles allows a member within the threshold.  Equal vectors are one
-vector for the search and expand afterwards, so copies cost nothing.  Cells are cut into chunks of bounded size, which
-bounds the memory of a task and spreads a cell that holds much of the data.
+The neighbour search is exact.  Vectors lie in a tree of balls: a ball with too many vectors is split by far pivots until all are below a
+size, so pivots grow with the input.  Pairs of balls are followed down from the root; a pair goes on only if the triangle inequality on angles
+allows two members within the threshold, and members are compared for the pairs of leaves that are left.  Equal vectors are one vector
+for the search and expand afterwards, so copies cost nothing.
 """
 
 from __future__ import annotations
@@ -12,13 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pressdelta.plans.patterns import top_per_group
-from pressdelta.session import checkpoint_dir
+from pressdelta.plans.patterns import top_per_group, written
 
 NEIGHBOURS, THRESHOLD = 10, 0.86
-CHUNK = 2048
+# vectors of a leaf, balls a ball is split into at once, vectors its pivots are chosen from, tasks a ball is spread over while it is split
+LEAF, FAN, SAMPLE, SPREAD = 512, 32, 512, 16
+# angles of nearly equal vectors are rounded by about this much
+SLACK = 1e-6
+MEMBERS = "g bigint, embedding array<double>, ball string, angle double"
+NODES = "ball string, parent string, center array<double>, radius double, size bigint"
 
 
 def latest_vectors(versions: DataFrame) -> DataFrame:
@@ -33,127 +37,238 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def similar_pairs(vectors: DataFrame, k: int = NEIGHBOURS, threshold: float = THRESHOLD, pivots: int = 64, chunk: int = CHUNK) -> DataFrame:
-    """Nearest neighbours per article with at least the threshold: (article_id, neighbour_id, similarity, rn).
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1, 1))
 
-    vectors: (article_id, embedding).  `pivots` bounds what is sent to every task (pivots * dimension floats); raise it
-    with the number of vectors.
-    """
-    theta = float(np.arccos(np.clip(threshold, -1, 1)))
-    group = F.xxhash64("embedding")
-    v = vectors.select("article_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("g", group)
-    distinct = v.groupBy("g").agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies"))
-    # the pivots: rows with the smallest hashes, a fixed number of them
-    centres = _unit(pd.Series([r.embedding for r in distinct.orderBy("g").limit(pivots).select("embedding").collect()]))
-    if not len(centres):
-        return vectors.sparkSession.createDataFrame([], "article_id bigint, neighbour_id bigint, similarity double, rn int")
+
+# --- tree of balls ------------------------------------------------------------------------------------------------------------
+def far_split(vectors: np.ndarray, parts: int) -> np.ndarray:
+    """Centres of up to `parts` groups of unit vectors: the largest group is split by two far pivots, its farthest vector from any one of
+    it and the farthest from that one, until there are enough or all vectors of a group point the same way."""
+    groups, solid = [np.arange(len(vectors))], []
+    while groups and len(groups) + len(solid) < parts:
+        groups.sort(key=len)
+        g = groups.pop()
+        one = g[_angles(vectors[g], vectors[g[:1]])[:, 0].argmax()]
+        from_one = _angles(vectors[g], vectors[[one]])[:, 0]
+        other = g[from_one.argmax()]
+        if from_one.max() <= SLACK:
+            solid.append(g)
+            continue
+        nearer = from_one <= _angles(vectors[g], vectors[[other]])[:, 0]
+        groups += [g[nearer], g[~nearer]]
+    centers = np.array([vectors[g].mean(axis=0) for g in groups + solid])
+    return centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
+
+
+def ball_tree(vectors: DataFrame, leaf: int = LEAF, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """(members, nodes) for vectors (g, embedding): the ball of each vector, and all balls with parent, centre, radius (of all vectors below) and size.
+
+    Each round splits all balls that are too large, each into as many as its size asks for, `fan` at most; the pivots of a ball come from a
+    bounded sample of it, the split itself takes all.  Centres meet vectors by ball, in `SPREAD` tasks per ball.  A ball whose vectors all point
+    the same way stays as it is."""
+    spark = vectors.sparkSession
+
+    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"g": pdf.g, "embedding": list(_unit(pdf.embedding)) if len(pdf) else [], "ball": "0", "angle": np.pi})
+
+    members = written(vectors.select("g", "embedding").mapInPandas(units, MEMBERS), "ball-members")
+    first = members.agg(F.count("*").alias("size"), F.max(F.size("embedding")).alias("width")).first()
+    nodes = spark.createDataFrame([("0", None, [0.0] * (first.width or 0), float(np.pi), first.size)], NODES)
+
+    def centers(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = int(min(fan, max(2, -(-2 * pdf["size"].iloc[0] // leaf))))
+        found = far_split(np.stack(pdf.embedding), parts)
+        told = [(key[0], [c.tolist() for c in found])] if len(found) > 1 else []
+        return pd.DataFrame(told, columns=["ball", "centers"], dtype=object)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ball, points = None, None
         for pdf in batches:
-            if len(pdf):
-                ang = np.arccos(np.clip(_unit(pdf.embedding) @ centres.T, -1, 1))
-                cell = ang.argmin(axis=1)
-                yield pdf.assign(cell=cell, angle=ang[np.arange(len(pdf)), cell])
-
-    homes = distinct.mapInPandas(assign, "g bigint, embedding array<double>, copies bigint, cell int, angle double")
-    cells = homes.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("size"))
-    # one row per pivot: bounded by `pivots`
-    facts = {r.cell: (r.radius, -(-r.size // chunk)) for r in cells.collect()}
-    ids = np.array(sorted(facts))
-    radius = np.array([facts[c][0] for c in ids])
-    chunks = {int(c): int(facts[c][1]) for c in ids}
-    near = centres[ids]
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = []
+            for key, part in pdf.groupby("ball", sort=False):
+                told = part.centers[part.kind == 0]
+                if len(told):
+                    ball, points = key, np.array([np.asarray(c) for c in told.iloc[0]])
+                rows = part[part.kind == 1]
+                if len(rows) and key == ball:
+                    ang = _angles(np.stack(rows.embedding), points)
+                    near = ang.argmin(axis=1)
+                    out.append(pd.DataFrame({"g": rows.g, "embedding": rows.embedding, "ball": [f"{key}.{c}" for c in near], "angle": ang[np.arange(len(rows)), near]}))
+            if out:
+                yield pd.concat(out)
+
+    large = nodes.filter(F.col("size") > leaf).select("ball", "size")
+    while True:
+        sample = top_per_group(members.join(large, "ball"), ["ball"], [F.xxhash64("g"), F.col("g")], SAMPLE, spread=["g"])
+        split = written(sample.select("ball", "size", "embedding").groupBy("ball").applyInPandas(centers, "ball string, centers array<array<double>>"), "ball-centers")
+        if split.isEmpty():
+            return members, nodes
+        none = lambda t: F.lit(None).cast(t)
+        # ids are never null: pandas would make them floats
+        told = split.select("ball", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("g"), none("array<double>").alias("embedding"), "centers")
+        going = members.join(split.select("ball"), "ball", "left_semi").select("ball", F.pmod(F.xxhash64("g"), F.lit(SPREAD)).cast("int").alias("salt"), F.lit(1).alias("kind"), "g", "embedding", none("array<array<double>>").alias("centers"))
+        moved = told.unionByName(going).repartition("ball", "salt").sortWithinPartitions("ball", "salt", "kind").mapInPandas(assign, MEMBERS)
+        members = written(members.join(split.select("ball"), "ball", "left_anti").select("g", "embedding", "ball", "angle").unionByName(moved), "ball-members")
+        made = split.select(F.col("ball").alias("parent"), F.posexplode("centers").alias("i", "center")).withColumn("ball", F.concat("parent", F.lit("."), "i"))
+        filled = members.groupBy("ball").agg(F.max("angle").alias("radius"), F.count("*").alias("size"))
+        fresh = written(made.join(filled, "ball").select("ball", "parent", "center", "radius", "size"), "ball-nodes")
+        nodes = nodes.unionByName(fresh)
+        large = fresh.filter(F.col("size") > leaf).select("ball", "size")
+
+
+def near_leaves(nodes: DataFrame, theta: float) -> DataFrame:
+    """(a, b): ordered pairs of leaves that may hold two vectors within the angle `theta`.  Pairs go down from the root, level by level."""
+    nodes = written(nodes, "ball-tree")
+    inner = nodes.select(F.col("parent").alias("ball")).distinct()
+    leaves = nodes.join(inner, "ball", "left_anti").select("ball")
+    down = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("ball"), F.col("ball").alias("next")).unionByName(leaves.select("ball", F.col("ball").alias("next")))
+    told = nodes.select("ball", "center", "radius")
+    side = lambda d, s: d.select(*[F.col(c).alias(f"{s}_{c}") for c in d.columns])
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            ang = np.arccos(np.clip(_unit(pdf.embedding) @ near.T, -1, 1))
-            row, col = np.nonzero(ang - radius <= theta + 1e-9)
-            parts = [(r, int(ids[c]), p) for r, c in zip(row, col) for p in range(chunks[int(ids[c])])]
-            if parts:
-                r, c, p = zip(*parts)
-                yield pd.DataFrame({"g": pdf.g.to_numpy()[list(r)], "embedding": pdf.embedding.to_numpy()[list(r)], "cell": c, "part": p})
-
-    members = homes.select("g", "embedding", "cell", F.pmod(F.xxhash64("g", F.lit(7)), _chunks_of(chunks)).cast("int").alias("part"))
-    probes = homes.select("g", "embedding").mapInPandas(probe, "g bigint, embedding array<double>, cell int, part int")
-    # queries of one (cell, part) are cut as well, so that both sides of a task are bounded
-    queries = probes.withColumn("block", F.pmod(F.xxhash64("g", F.lit(11)), F.lit(max(1, sum(chunks.values())))).cast("int"))
-    blocks = queries.select(F.col("cell").alias("m_cell"), F.col("part").alias("m_part"), F.col("block").alias("m_block")).distinct()
-    sided = members.join(blocks, (F.col("cell") == F.col("m_cell")) & (F.col("part") == F.col("m_part"))).select("g", "embedding", "m_cell", "m_part", "m_block")
-
-    def best(key, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        sims = _unit(q.embedding) @ _unit(m.embedding).T
+            if len(pdf):
+                cos = np.einsum("ij,ij->i", np.stack(pdf.l_center), np.stack(pdf.r_center))
+                kept = np.arccos(np.clip(cos, -1, 1)) - pdf.l_radius - pdf.r_radius <= theta + SLACK
+                yield pd.DataFrame({"a": pdf.l_ball[kept], "b": pdf.r_ball[kept]})
+
+    pairs = nodes.filter("parent IS NULL").select(F.col("ball").alias("a"), F.col("ball").alias("b"))
+    inside = lambda side: pairs.join(inner.withColumnRenamed("ball", side), side, "left_semi")
+    while not inside("a").union(inside("b").select("a", "b")).isEmpty():
+        wide = pairs.join(down.select(F.col("ball").alias("a"), F.col("next").alias("l_ball")), "a").join(down.select(F.col("ball").alias("b"), F.col("next").alias("r_ball")), "b")
+        known = wide.select("l_ball", "r_ball").join(side(told, "l"), "l_ball").join(side(told, "r"), "r_ball")
+        pairs = written(known.mapInPandas(close, "a string, b string"), "ball-pairs")
+    return pairs
+
+
+def compared_share(nodes: DataFrame, pairs: DataFrame) -> float:
+    """Share of all ordered pairs of vectors that lie in pairs of leaves to compare."""
+    size = nodes.select("ball", "size")
+    found = pairs.join(size.withColumnsRenamed({"ball": "a", "size": "n"}), "a").join(size.withColumnsRenamed({"ball": "b", "size": "m"}), "b").agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    total = nodes.filter("parent IS NULL").first()["size"]
+    return (found or 0) / max(1, total * total)
+
+
+def similar_pairs(vectors: DataFrame, k: int = NEIGHBOURS, threshold: float = THRESHOLD, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+    """Nearest neighbours per article with at least the threshold: (article_id, neighbour_id, similarity, rn).
+
+    vectors: (article_id, embedding).  Leaves have at most `leaf` vectors each, but for those that point the same way."""
+    theta = float(np.arccos(np.clip(threshold, -1, 1)))
+    v = vectors.select("article_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("g", F.xxhash64("embedding"))
+    members, nodes = ball_tree(v.groupBy("g").agg(F.first("embedding").alias("embedding")), leaf, fan)
+    pairs = near_leaves(nodes, theta)
+    # a leaf of equal directions may be large: it is dealt into parts
+    parts = F.ceil(F.col("size") / leaf).cast("int")
+    homes = members.join(nodes.select("ball", "size"), "ball").select("g", "embedding", "ball", F.pmod(F.xxhash64("g", F.lit(7)), parts).cast("int").alias("part"))
+    cells = homes.select("ball", "part").distinct()
+    cell = lambda d, ball, part: d.select(F.col("ball").alias(ball), F.col("part").alias(part), *[c for c in d.columns if c not in ("ball", "part")])
+    blocks = written(pairs.join(cell(cells, "a", "ap"), "a").join(cell(cells, "b", "bp"), "b"), "ball-blocks")
+    key = ["a", "ap", "b", "bp"]
+    queries = blocks.join(cell(homes, "a", "ap"), ["a", "ap"]).select(*key, "g", "embedding")
+    rows = blocks.join(cell(homes, "b", "bp"), ["b", "bp"]).select(*[F.col(c).alias(f"m_{c}") for c in key], F.col("g").alias("m_g"), F.col("embedding").alias("m_embedding"))
+
+    def best(key: tuple, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(m):
+            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        sims = np.stack(q.embedding) @ np.stack(m.m_embedding).T
         r, c = np.nonzero(sims >= threshold)
-        out = pd.DataFrame({"a": q.g.to_numpy()[r], "b": m.g.to_numpy()[c], "similarity": sims[r, c]})
+        out = pd.DataFrame({"a": q.g.to_numpy()[r], "b": m.m_g.to_numpy()[c], "similarity": sims[r, c]})
         # a vector itself is among its members: k + 1 of each block are enough
         return out.sort_values(["a", "similarity", "b"], ascending=[True, False, True]).groupby("a").head(k + 1)
 
-    found = queries.groupBy("cell", "part", "block").cogroup(sided.groupBy("m_cell", "m_part", "m_block")).applyInPandas(best, "a bigint, b bigint, similarity double")
+    found = queries.groupBy(*key).cogroup(rows.groupBy(*[f"m_{c}" for c in key])).applyInPandas(best, "a bigint, b bigint, similarity double")
     order = [F.desc(F.round("similarity", 9)), F.asc("b")]
     top = found.withColumn("rn", F.row_number().over(W.partitionBy("a").orderBy(*order))).filter(F.col("rn") <= k + 1).drop("rn")
     # copies: every article of a vector sees the first k + 1 articles of a neighbouring vector
     few = top_per_group(v.select("g", "article_id"), ["g"], [F.asc("article_id")], k + 1, spread=["article_id"]).select(F.col("g").alias("b"), F.col("article_id").alias("neighbour_id"))
-    pairs = v.select(F.col("g").alias("a"), "article_id").join(top, "a").join(few, "b").filter(F.col("article_id") != F.col("neighbour_id"))
+    near = v.select(F.col("g").alias("a"), "article_id").join(top, "a").join(few, "b").filter(F.col("article_id") != F.col("neighbour_id"))
     rank = F.row_number().over(W.partitionBy("article_id").orderBy(F.desc(F.round("similarity", 9)), "neighbour_id"))
-    return pairs.withColumn("rn", rank).filter(F.col("rn") <= k).select("article_id", "neighbour_id", "similarity", "rn")
+    return near.withColumn("rn", rank).filter(F.col("rn") <= k).select("article_id", "neighbour_id", "similarity", "rn")
 
 
-def _chunks_of(chunks: dict[int, int]) -> Column:
-    """Number of chunks of a cell as an expression; cells of one chunk need none."""
-    out = None
-    for c, n in chunks.items():
-        if n > 1:
-            out = F.when(F.col("cell") == c, n) if out is None else out.when(F.col("cell") == c, n)
-    return F.lit(1) if out is None else out.otherwise(1)
+# --- clusters -----------------------------------------------------------------------------------------------------------------
+def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): those that come up in order with no earlier leader having taken them.  `edges` (a, b), a < b: a takes b if it is a leader.
 
+    In rounds: a node without an undecided earlier neighbour leads, and who has a leader before it does not.  A node with one undecided earlier
+    neighbour leads if that one does not; such pointers are doubled every round, so a chain of n nodes takes log n rounds.
+    """
+    state = written(nodes.select("node").distinct().withColumn("leads", F.lit(None).cast("boolean")), "cluster-state")
+    edges = written(edges.distinct(), "cluster-edges")
+    ptr = None
+    while True:
+        into = edges.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"), F.max("a").alias("up"))
+        fresh = into.filter("n = 1").select("node", "up", F.lit(True).alias("flip"))
+        if ptr is not None:
+            fresh = ptr.unionByName(fresh.join(ptr.select("node"), "node", "left_anti"))
+        far = fresh.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("flip").alias("flip2"))
+        ptr = written(fresh.join(far, "up", "left").select("node", F.coalesce("up2", "up").alias("up"), F.when(F.col("up2").isNull(), F.col("flip")).otherwise(F.col("flip") != F.col("flip2")).alias("flip")), "cluster-pointers")
+        free = state.join(into.select("node", "n"), "node", "left").withColumn("leads", F.coalesce("leads", F.when(F.col("n").isNull(), True))).select("node", "leads")
+        known = free.filter("leads IS NOT NULL").select(F.col("node").alias("up"), F.col("leads").alias("up_leads"))
+        by_chain = ptr.join(known, "up").select("node", (F.col("flip") != F.col("up_leads")).alias("chain"))
+        taken = edges.join(known.filter("up_leads").select(F.col("up").alias("a")), "a").select(F.col("b").alias("node")).distinct().withColumn("taken", F.lit(True))
+        new = free.join(by_chain, "node", "left").join(taken, "node", "left").select("node", F.coalesce("leads", F.when(F.col("taken"), False), "chain").alias("leads"))
+        state = written(new, "cluster-state")
+        open_ = state.filter("leads IS NULL").select("node")
+        if open_.isEmpty():
+            return state.filter("leads").select("node")
+        settled = state.filter("leads IS NOT NULL")
+        # who has a leader before it is decided; what those who do not lead might take is free of them
+        edges = written(edges.join(open_.withColumnRenamed("node", "b"), "b", "left_semi").join(settled.filter("NOT leads").select(F.col("node").alias("a")), "a", "left_anti"), "cluster-edges")
 
-def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Connected groups of an edge list (a, b): (node, root), root the smallest node of the group.
 
-    Each round every node takes the smallest root among its neighbours, and roots jump to the root of their root.  The
-    minima combine on the map side, so a node with very many neighbours is no hot spot.  Lineage is cut with reliable
-    checkpoints; the loop ends when nothing moves.
-    """
-    checkpoint_dir(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    roots = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("node"), "root").checkpoint()
-    for _ in range(max_rounds):
-        near = both.join(roots.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        hooked = roots.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "near").alias("hook"), "root")
-        jump = roots.select(F.col("node").alias("hook"), F.col("root").alias("up"))
-        nxt = hooked.join(jump, "hook", "left").select("node", F.least("hook", F.coalesce("up", "hook")).alias("root"), F.col("root").alias("before")).checkpoint()
-        moved = nxt.filter("root <> before").limit(1).count()
-        roots = nxt.select("node", "root")
-        if not moved:
-            return roots
-    raise RuntimeError(f"groups not settled after {max_rounds} rounds")
+def resolved(pointers: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, up) whose roots point to themselves, by pointer doubling."""
+    now = written(pointers.select("node", "up"), "cluster-forest")
+    while True:
+        nxt = written(now.join(now.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved")), "cluster-forest")
+        now = nxt.select("node", "up")
+        if nxt.filter("moved").isEmpty():
+            return now.withColumnRenamed("up", "root")
 
 
 def assign_clusters(pairs: DataFrame, existing: DataFrame | None = None, articles: DataFrame | None = None) -> DataFrame:
     """Cluster of each article: (cluster_id, article_id, similarity).
 
-    Articles are grouped by connection; a group that touches existing clusters takes the smallest of their ids, others
-    their smallest article id.  Articles that have a cluster keep it.  `articles` adds unconnected ones as their own.
-    Similarity is that to the seed (first article), 1 for the seed, else the best known to any member.
+    Articles come up in the order of their ids; those that have a cluster, from before (`existing`) or by an earlier one, are passed over.
+    One that comes up joins the cluster of its best neighbour that has one, else it starts a cluster named by its id; then all its
+    neighbours without a cluster join too.  Similarity is 1 for an article that came up, else that to the one that took it in.
+    `articles` adds articles without neighbours.
+
+    The sequence is resolved as a forest: who comes up (`leaders`), who takes in whom (the earliest that can), and to whom each one that comes up
+    points: its best neighbour that is earlier or was taken in earlier.  Pointers are doubled until all end at roots.
     """
-    edges = pairs.select(F.col("article_id").alias("a"), F.col("neighbour_id").alias("b"))
-    groups = connected(edges)
+    pairs = written(pairs.select("article_id", "neighbour_id", "similarity"), "cluster-pairs")
+    nodes = pairs.select(F.col("article_id").alias("node")).union(pairs.select("neighbour_id"))
     if articles is not None:
-        alone = articles.select(F.col("article_id").alias("node")).join(groups.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
-        groups = groups.unionByName(alone)
-    if existing is not None:
-        known = existing.select(F.col("article_id").alias("node"), "cluster_id")
-        g = groups.join(known, "node", "left")
-        ids = g.groupBy("root").agg(F.min("cluster_id").alias("old"))
-        groups = g.filter(F.col("cluster_id").isNull()).join(ids, "root").select("node", "root", F.coalesce("old", "root").alias("cluster_id"))
+        nodes = nodes.union(articles.select("article_id"))
+    nodes = nodes.distinct()
+    known = None if existing is None else existing.select(F.col("article_id").alias("node"), "cluster_id")
+    fresh = nodes if known is None else nodes.join(known.select("node"), "node", "left_anti")
+    fresh = written(fresh, "cluster-nodes")
+    takes = pairs.select(F.col("article_id").alias("a"), F.col("neighbour_id").alias("b"), "similarity")
+    free = takes.join(fresh.withColumnRenamed("node", "a"), "a", "left_semi").join(fresh.withColumnRenamed("node", "b"), "b", "left_semi").filter("a < b")
+    lead = written(leaders(fresh, free.select("a", "b")), "cluster-leaders")
+    # the earliest leader takes in
+    taken = free.join(lead.withColumnRenamed("node", "a"), "a", "left_semi").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("a", "similarity")).alias("x"))
+    taken = written(taken.join(lead, "node", "left_anti").select("node", F.col("x.a").alias("by"), "x.similarity"), "cluster-taken")
+    # when each article has its cluster: from before, when it came up, or when it was taken in
+    since = lead.select("node", F.col("node").alias("since")).unionByName(taken.select("node", F.col("by").alias("since")))
+    if known is not None:
+        since = since.unionByName(known.select("node", F.lit(-(2**63)).cast("bigint").alias("since")).join(nodes, "node", "left_semi"))
+    asked = pairs.join(lead.withColumnRenamed("node", "article_id"), "article_id", "left_semi").join(since.withColumnRenamed("node", "neighbour_id"), "neighbour_id").filter("since < article_id")
+    best = asked.groupBy(F.col("article_id").alias("node")).agg(F.min_by("neighbour_id", F.struct(-F.round("similarity", 9), "neighbour_id")).alias("up"))
+    up = lead.join(best, "node", "left").select("node", F.coalesce("up", "node").alias("up")).unionByName(taken.select("node", F.col("by").alias("up")))
+    if known is not None:
+        up = up.unionByName(known.join(nodes, "node", "left_semi").select("node", F.col("node").alias("up")))
+    roots = resolved(up)
+    if known is None:
+        named = roots.withColumn("cluster_id", F.col("root"))
     else:
-        groups = groups.withColumn("cluster_id", F.col("root"))
-    both = pairs.select("article_id", "neighbour_id", "similarity").union(pairs.select("neighbour_id", "article_id", "similarity"))
-    seed = both.join(groups.select(F.col("node").alias("article_id"), "root"), "article_id")
-    sim = seed.groupBy("article_id").agg(F.max(F.when(F.col("neighbour_id") == F.col("root"), F.col("similarity"))).alias("s"), F.max("similarity").alias("m"))
-    out = groups.join(sim, groups["node"] == sim["article_id"], "left")
-    return out.select("cluster_id", F.col("node").alias("article_id"), F.when(F.col("node") == F.col("root"), 1.0).otherwise(F.coalesce("s", "m", F.lit(1.0))).alias("similarity"))
+        named = roots.join(known.withColumnRenamed("node", "root"), "root", "left").withColumn("cluster_id", F.coalesce("cluster_id", "root")).join(fresh, "node", "left_semi")
+    return named.join(taken.select("node", "similarity"), "node", "left").select("cluster_id", F.col("node").alias("article_id"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
 
 
 def with_clusters(t_clusters: DataFrame | None, assigned: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import glob
+import random
 
 import numpy as np
 import pandas as pd
@@ -108,7 +109,7 @@ def test_unit_vectors_against_brute_force(spark):
     s = u @ u.T
     np.fill_diagonal(s, -2)
     got = {}
-    for r in cl.similar_pairs(df, 5, 0.9, pivots=6, chunk=50).collect():
+    for r in cl.similar_pairs(df, 5, 0.9, leaf=20, fan=3).collect():
         got.setdefault(r.article_id, []).append((r.rn, r.neighbour_id, r.similarity))
     for i in range(len(v)):
         want = [j for j in sorted(range(len(v)), key=lambda j: (-round(s[i, j], 9), j)) if s[i, j] >= 0.9][:5]
@@ -116,18 +117,54 @@ def test_unit_vectors_against_brute_force(spark):
         assert len(have) == len(want) and np.allclose([s[i, j] for j in have], [s[i, j] for j in want], atol=1e-8)
 
 
-def test_clusters(spark):
-    pair = lambda *p: spark.createDataFrame(list(p), "article_id bigint, neighbour_id bigint, similarity double")
-    chain = cl.assign_clusters(pair((1, 2, .9), (2, 3, .9), (3, 4, .9), (8, 9, .95)), articles=spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 8, 9, 20)], "article_id bigint"))
-    assert {(r.cluster_id, r.article_id) for r in chain.collect()} == {(1, 1), (1, 2), (1, 3), (1, 4), (8, 8), (8, 9), (20, 20)}
-    old = spark.createDataFrame([(100, 2, 1.0), (50, 4, 1.0)], "cluster_id bigint, article_id bigint, similarity double")
-    new = cl.assign_clusters(pair((1, 2, .9), (1, 4, .9)), old)
-    assert [(r.cluster_id, r.article_id) for r in new.collect()] == [(50, 1)] and cl.with_clusters(old, new).count() == 3
-
-
-def test_long_chain_settles(spark):
-    e = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert cl.connected(e).select("root").distinct().count() == 1
+def clusters_in_order(articles, pairs, existing=()):
+    """One article after the other, as the job describes it: {article: (cluster, similarity)} of the new ones."""
+    near, has, out = {}, dict(existing), {}
+    for a, b, s in pairs:
+        near.setdefault(a, []).append((-round(s, 9), b, s))
+    for a in sorted(articles):
+        if a in has:
+            continue
+        close = sorted(near.get(a, []))
+        target = next((has[b] for _, b, _ in close if b in has), a)
+        has[a], out[a] = target, (target, 1.0)
+        for _, b, s in close:
+            if b not in has:
+                has[b], out[b] = target, (target, s)
+    return out
+
+
+def test_clusters_equal_the_sequence(spark):
+    rnd = random.Random(7)
+    for n, share, seed in ((60, 0.03, 0), (40, 0.2, 5), (25, 0.6, 3)):
+        pairs = [(a, b, rnd.choice([0.9, 0.95, 0.99])) for a in range(n) for b in range(n) if a != b and rnd.random() < share]
+        old = [(i, 1000 + i % 3) for i in rnd.sample(range(n), seed)]
+        d = spark.createDataFrame(pairs, "article_id bigint, neighbour_id bigint, similarity double")
+        known = spark.createDataFrame([(c, i, 1.0) for i, c in old], "cluster_id bigint, article_id bigint, similarity double")
+        all_ = spark.createDataFrame([(i,) for i in range(n)], "article_id bigint")
+        got = cl.assign_clusters(d, known if seed else None, all_)
+        assert {r.article_id: (r.cluster_id, r.similarity) for r in got.collect()} == clusters_in_order(range(n), pairs, old)
+        assert cl.with_clusters(known, got).count() == n
+
+
+def test_leaders_of_a_long_chain(spark):
+    e = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = cl.leaders(spark.range(201).withColumnRenamed("id", "node"), e)
+    assert sorted(r.node for r in got.collect()) == list(range(0, 201, 2))
+
+
+def test_share_of_compared_pairs_falls_with_size(spark):
+    """Vectors of many stories: with more of them, balls get tighter and a smaller share is compared."""
+    share = []
+    for n in (400, 3200):
+        rng = np.random.default_rng(n)
+        centre = rng.normal(size=(n // 20, 16))
+        v = centre.repeat(20, 0) + rng.normal(scale=.05, size=(n, 16))
+        df = spark.createDataFrame(pd.DataFrame({"g": np.arange(n), "embedding": [list(map(float, x)) for x in v]}))
+        members, nodes = cl.ball_tree(df, leaf=32, fan=8)
+        assert members.count() == n and nodes.filter("size > 32").count() == nodes.select("parent").distinct().count() - 1
+        share.append(cl.compared_share(nodes, cl.near_leaves(nodes, float(np.arccos(0.95)))))
+    assert share[1] < share[0] / 2 < 0.2
 
 
 def test_tree_is_pruned_and_compressed(spark):
