@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pressdelta import constants as K
 from pressdelta.functions.timeutil import seconds_between
@@ -21,13 +25,14 @@ def sighting_counts(links: DataFrame) -> DataFrame:
     return first.groupBy("source_id", F.date_trunc("minute", "t").cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("n"))
 
 
-def link_refs(links: DataFrame, keep: int = K.MAX_REFS) -> DataFrame:
+def link_refs(links: DataFrame, keep: int | None = K.MAX_REFS) -> DataFrame:
     """Where each article is linked, per run: (run_id, url, refs[u, k, t]).  The first sight of a reference counts;
-    home pages come before sections, feeds and sitemaps; at most `keep` are kept."""
+    home pages come before sections, feeds and sitemaps.  The list is a short one by definition, its first `keep`; None gives all."""
     first = links.groupBy("run_id", "article_url", "ref_url").agg(F.min(F.struct("seen_at", "ref_kind")).alias("x"))
     rows = first.select("run_id", "article_url", F.col("ref_url").alias("u"), F.col("x.ref_kind").alias("k"), F.col("x.seen_at").alias("t"))
     order = W.partitionBy("run_id", "article_url").orderBy(ref_priority(F.col("k")), "t", "u")
-    best = rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= keep)
+    ranked = rows.withColumn("rn", F.row_number().over(order))
+    best = ranked if keep is None else ranked.filter(F.col("rn") <= keep)
     lists = best.groupBy("run_id", "article_url").agg(F.array_sort(F.collect_list(F.struct("rn", "u", "k", "t"))).alias("refs"))
     return lists.select("run_id", F.col("article_url").alias("url"), F.transform("refs", lambda x: F.struct(x["u"].alias("u"), x["k"].alias("k"), x["t"].alias("t"))).alias("refs"))
 
@@ -54,14 +59,61 @@ WATERMARK = "2 hours"
 
 
 def sightings_stream(links: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Stream of sighting counts: (source_id, minute, n), appended when a minute is complete.
+    """Stream of sighting counts: (run_id, source_id, minute, n), appended when a run is complete; added up over runs they are
+    `sighting_counts`, for any order of arrival within a run.
 
-    A URL counts once per run.  Deduplication is keyed by run and URL, so no source is a hot key; counts combine before
-    they are shuffled.  Rows later than the watermark drop."""
+    Two aggregations under one watermark, on the start of the runs: the earliest sighting of a URL in a run, then counts per minute.  The first is
+    keyed by run and URL, so no source is a hot key; counts combine before they are shuffled.  Rows of runs older than the watermark drop."""
     # event time has to be of type TIMESTAMP
-    once = links.withColumn("seen_at", F.col("seen_at").cast("timestamp")).withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(["run_id", "source_id", "article_url"])
-    per = once.groupBy(F.window("seen_at", "1 minute"), "source_id").agg(F.count("*").alias("n"))
-    return per.select("source_id", F.col("window.start").cast("timestamp_ntz").alias("minute"), "n")
+    d = links.select(F.col("run_id").cast("timestamp").alias("run_id"), "source_id", "article_url", "seen_at").withWatermark("run_id", watermark)
+    first = d.groupBy("run_id", "source_id", "article_url").agg(F.min("seen_at").alias("t"))
+    per = first.groupBy("run_id", "source_id", F.date_trunc("minute", "t").cast("timestamp_ntz").alias("minute")).agg(F.count("*").alias("n"))
+    return per.select(F.col("run_id").cast("timestamp_ntz").alias("run_id"), "source_id", "minute", "n")
+
+
+REFS_OUT = "run_id timestamp, url string, refs array<struct<u:string,k:string,t:timestamp>>"
+
+
+class RefKeeper(StatefulProcessor):
+    """The references of a URL in its newest run, one map entry each; a newer run starts anew, rows of older ones change nothing."""
+
+    def __init__(self, keep: int | None) -> None:
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "run bigint")
+        self.refs = handle.getMapState("refs", "u string", "t bigint, k string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.run.get()[0] if self.run.exists() else None
+        pdf = pd.concat(list(rows))
+        newest = int(pdf.run_us.max())
+        if known is not None and newest < known:
+            return
+        if known is None or newest > known:
+            self.refs.clear()
+            self.run.update((newest,))
+        moved = newest != known
+        for u, t, k in pdf.loc[pdf.run_us == newest, ["ref_url", "seen_us", "ref_kind"]].sort_values(["seen_us", "ref_kind"]).itertuples(index=False):
+            before = self.refs.getValue((u,)) if self.refs.containsKey((u,)) else None
+            if before is None or (int(t), k) < tuple(before):
+                self.refs.updateValue((u,), (int(t), k))
+                moved = True
+        if moved:
+            order = sorted((K.REF_PRIORITY.get(k, len(K.REF_PRIORITY)), t, u[0], k) for u, (t, k) in self.refs.iterator())
+            told = [{"u": u, "k": k, "t": pd.Timestamp(t, unit="us")} for _, t, u, k in order[: self.keep]]
+            yield pd.DataFrame({"run_id": [pd.Timestamp(newest, unit="us")], "url": [key[0]], "refs": [told]})
+
+    def close(self) -> None:
+        pass
+
+
+def link_refs_stream(links: DataFrame, keep: int | None = K.MAX_REFS) -> DataFrame:
+    """Stream of reference lists (run_id, url, refs), one whenever the list of a URL changes; the last one of a URL is `latest_refs` of
+    `link_refs`, for any order of arrival.  Needs the RocksDB state store."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    d = links.select("article_url", "ref_url", F.coalesce("ref_kind", F.lit("")).alias("ref_kind"), micros("run_id").alias("run_us"), micros("seen_at").alias("seen_us"))
+    return d.groupBy("article_url").transformWithStateInPandas(RefKeeper(keep), outputStructType=REFS_OUT, outputMode="Update", timeMode="None")
 
 
 def merge_refs(stored: DataFrame, links: DataFrame, keep: int = K.MAX_REFS) -> DataFrame:

@@ -33,17 +33,37 @@ def run(stream, mode, collect=None):
     return out
 
 
+def shuffled(df, parts, last):
+    """Files in random order of rows, and one more with the rows that let the watermark pass all others."""
+    path = NEW()
+    for i in range(parts):
+        df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == i).orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(path)
+    last.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def test_sightings(spark):
     links = conform(derive(spark, SF, "link_observations"), SCHEMAS["link_observations"])
-    stream = read_links(spark, files(links, "seen_at", 4), streaming=True, max_files=1)
-    got = {(r.source_id, r.minute): r.n for r in run(lk.sightings_stream(stream, "30 days"), "append")}
     batch = {(r.source_id, r.minute): r.n for r in lk.sighting_counts(links).collect()}
-    # with a watermark as long as the data nothing is final before the end; a shorter one closes all but the last hours
-    assert all(batch[k] == n for k, n in got.items())
-    short = {(r.source_id, r.minute): r.n for r in run(lk.sightings_stream(stream, "2 hours"), "append")}
-    last = max(m for _, m in batch)
-    early = {k: n for k, n in batch.items() if k[1] < last - dt.timedelta(days=9)}
-    assert early and all(short.get(k) == n for k, n in early.items())
+    end = links.limit(1).withColumns({"run_id": F.expr("run_id + INTERVAL 9000 DAYS"), "seen_at": F.expr("seen_at + INTERVAL 9000 DAYS")})
+    for path in (shuffled(links, 4, end), shuffled(links, 7, end)):
+        got = {}
+        for r in run(lk.sightings_stream(read_links(spark, path, streaming=True, max_files=1), "4000 days"), "append"):
+            got[r.source_id, r.minute] = got.get((r.source_id, r.minute), 0) + r.n
+        assert got == batch
+
+
+def test_link_refs_stream(spark):
+    links = conform(derive(spark, SF, "link_observations"), SCHEMAS["link_observations"])
+    # more than one reference per URL and run, and a third one that is seen twice
+    links = links.union(links.withColumns({"ref_url": F.concat("ref_url", F.lit("x")), "ref_kind": F.lit("home")})).union(links.withColumn("seen_at", F.expr("seen_at + INTERVAL 5 MINUTES")))
+    want = {r.url: [(x.u, x.k, x.t) for x in r.refs] for r in lk.latest_refs(lk.link_refs(links)).collect()}
+    for parts in (2, 5):
+        rows = run(lk.link_refs_stream(read_links(spark, shuffled(links, parts, links.limit(0)), streaming=True, max_files=1)), "update")
+        got = {r.url: [(x.u, x.k, x.t.replace(tzinfo=None)) for x in r.refs] for r in rows}
+        assert got == want
+    all_ = lk.link_refs(links, None).selectExpr("max(size(refs))").first()[0]
+    assert all_ >= max(len(x) for x in want.values())
 
 
 def test_link_refs_and_state_merge(spark):
@@ -73,13 +93,34 @@ def test_late_dates_do_not_matter(spark):
     assert latest == {r.url: tuple(r) for r in ch.date_bounds(a).collect()}
 
 
-def test_change_tracking(spark):
-    v = derive(spark, SF, "versions").select("article_id", F.col("scanned_at").alias("captured_at"), F.when(F.col("article_id") % 2 == 0, F.col("title")).alias("title"), "body", F.col("role").alias("topic"))
-    stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(files(v, "captured_at", 3))
-    key = lambda rows: sorted((r.article_id, r.captured_at.replace(tzinfo=None), r.change_kind, r.title_old, r.title_new, r.added_count, r.removed_count, r.word_delta, str([(c.old, c.new) for c in r.changes]),
-                               str([tuple(m) for m in r.meta_edits]), r.revision_count, r.extension_count, r.edit_count) for r in rows)
-    got, want = key(run(track_changes_stream(stream), "append")), key(ch.track_changes(v).collect())
-    assert want and got == want
+def test_change_tracking_in_any_order_of_arrival(spark):
+    v = derive(spark, SF, "versions").select("article_id", F.col("scanned_at").alias("captured_at"), F.when(F.col("article_id") % 2 == 0, F.col("title")).alias("title"), "body", F.col("role").alias("topic"),
+                                             F.expr("CASE WHEN article_id % 3 = 0 THEN TIMESTAMP_NTZ '2024-01-01 00:00:00' END").alias("published_stored"),
+                                             F.expr("CASE WHEN article_id % 3 = 0 THEN TIMESTAMP_NTZ '2024-01-01 00:00:00' + (seq % 4) * INTERVAL 1 HOUR END").alias("published_track"), (F.col("article_id") % 7 == 0).alias("is_live"))
+    plain = lambda t: t if t is None else t.replace(tzinfo=None)
+    key = lambda rows: sorted((r.article_id, plain(r.captured_at), r.change_kind, r.title_old, r.title_new, r.added, r.added_count, r.removed_count, r.word_delta, str([(c.old, c.new) for c in r.changes]), plain(r.pubdate_old),
+                               plain(r.pubdate_new), str([tuple(m) for m in r.meta_edits]), r.revision_count, r.extension_count, r.edit_count, r.new_type) for r in rows)
+    want = key(ch.track_changes(v).collect())
+    end = v.limit(1).withColumns({"article_id": F.lit(-1).cast("bigint"), "captured_at": F.expr("TIMESTAMP_NTZ '2031-01-01 00:00:00'")})
+    stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(shuffled(v, 4, end))
+    got = key(run(track_changes_stream(stream, "2000 days"), "append"))
+    assert want and str(got) == str(want) and any(r[10] for r in got) and {r[16] for r in got} >= {"liveblog", None}
+
+
+def test_silent_articles_are_forgotten(spark):
+    text = "Ein Absatz mit genug Zeichen, damit er als echter Text zählt, Nummer %d, und noch etwas mehr."
+    day = lambda n: dt.datetime(2026, 1, 1) + dt.timedelta(days=n)
+    rows = [(1, day(0), text % 1), (2, day(0), text % 1), (2, day(1), text % 2), (1, day(40), text % 3), (9, day(80), text % 1)]
+    schema = "article_id bigint, captured_at timestamp_ntz, body string"
+    path = NEW()
+    for r in rows:
+        spark.createDataFrame([(*r[:2], None, r[2])], "article_id bigint, captured_at timestamp_ntz, title string, body string").coalesce(1).write.mode("append").parquet(path)
+    stream = lambda: spark.readStream.schema("article_id bigint, captured_at timestamp_ntz, title string, body string").option("maxFilesPerTrigger", 1).parquet(path)
+    month = 30 * 24 * 3600 * 1000
+    kept = run(track_changes_stream(stream(), "1 hour", None), "append")
+    gone = run(track_changes_stream(stream(), "1 hour", month), "append")
+    # the first capture after a long silence is a first contact again
+    assert sorted(r.article_id for r in kept) == [1, 2] and [r.article_id for r in gone] == [2]
 
 
 def test_sync(spark):
