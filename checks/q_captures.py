@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import sqltext as S
@@ -242,6 +244,22 @@ def _(spark, d):
     return n(t.articles, "article").union(n(t.snapshots, "snapshot")).union(n(t.article_keywords, "keyword")).union(n(t.article_authors, "author"))
 
 
+@query("io9_merge_buckets", """SELECT id, CASE WHEN id % 7 = 0 AND id < 3000 THEN 'new ' || id ELSE title END AS title, CASE WHEN id % 7 = 0 AND id < 3000 THEN 0 ELSE word_count END AS word_count FROM d_articles WHERE NOT (id % 11 = 0 AND id < 2000)
+UNION ALL SELECT id + 1000000, 'new ' || id, 0 FROM d_articles WHERE id % 7 = 0 AND id < 3000 UNION ALL SELECT id + 2000000, 'late', 1 FROM d_articles WHERE id % 13 = 0 AND id < 500""")
+def _(spark, d):
+    a = derive(spark, d, "articles").select("id", "title", "word_count")
+    t = sk.BucketedTable.create(a, f"articles_{uuid.uuid4().hex}", "id")
+    some = a.filter("id % 7 = 0 AND id < 3000")
+    fresh = some.select("id", F.concat(F.lit("new "), "id").alias("title"), F.lit(0).cast("bigint").alias("word_count"))
+    t.merge(fresh.union(fresh.select(F.col("id") + 1000000, "title", "word_count")))
+    # known keys stay, keys that are not there change nothing, deleted ones go
+    late = a.filter("id % 13 = 0 AND id < 500").select((F.col("id") + 2000000).alias("id"), F.lit("late").alias("title"), F.lit(1).cast("bigint").alias("word_count"))
+    t.merge(late.union(a.filter("id < 100").select("id", F.lit("no"), F.lit(9).cast("bigint"))), "ignore")
+    t.merge(a.filter("id < 50").select((F.col("id") + 5000000).alias("id"), F.lit("nowhere").alias("title")), "existing")
+    t.merge(a.filter("id % 11 = 0 AND id < 2000").select("id"), "delete")
+    return t.rows()
+
+
 # --- planning ----------------------------------------------------------------------------------------------------------------------------
 PT = ("articles", "pages", "sources")
 OPEN = "op AS (SELECT p.id, p.url, p.source_id FROM d_pages p WHERE kind = 'article' AND NOT EXISTS (SELECT 1 FROM d_articles a WHERE a.url = p.url AND a.title IS NOT NULL))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import berlin_day, query
-from pressdelta.operators import filters as fl, keywords as kw
+from pressdelta.operators import filters as fl, keywords as kw, search as sr
 from pressdelta.operators.filters import FilterParams
 from pressdelta.sources import tables as tb
 from pressdelta.sources.driver_tables import derive, domain
@@ -188,6 +188,14 @@ def _(spark, d):
     return hits.groupBy("term").agg(F.count("*").alias("n")).union(hits.agg(F.lit("any"), F.countDistinct("article_id")))
 
 
+@query("se1_indexed_search", " UNION ALL ".join(f"SELECT '{q}' AS term, article_id FROM ({_search_sql(q)})" for q in ("URGENT", "blue plate", "7.", "ic")))
+def _(spark, d):
+    t = domain(spark, d, *SEARCH_TABLES)
+    # the newest articles come as a delta
+    old, new = (sr.units(t).filter(F.expr(f"{no} (kind = 'article' AND id % 10 = 3)")) for no in ("NOT", ""))
+    return sr.SearchIndex(spark).add(old).add(new).search(t, ("URGENT", "blue plate", "7.", "ic", "x"))
+
+
 @query("se2_restrict_ids", f"SELECT article_id FROM ({_search_sql('URGENT')}) INTERSECT SELECT article_id FROM d_article_keywords WHERE keyword_id % 2 = 0")
 def _(spark, d):
     t = domain(spark, d, *SEARCH_TABLES)

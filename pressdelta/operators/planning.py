@@ -6,14 +6,13 @@ All of them cut to a budget early (top-k with partial cuts), so that the later s
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pressdelta.functions.numbers import half_up
 from pressdelta.functions.timeutil import as_ts, seconds_between
 from pressdelta.operators.filters import tolerance_hours
-from pressdelta.plans.patterns import small, top_per_group
+from pressdelta.plans.patterns import global_rank, small, top_per_group, written
 from pressdelta.sources.tables import Tables, resighted
 
 # (younger than h, older than h, due after h, share of the budget)
@@ -50,56 +49,59 @@ def select_new(open_pages: DataFrame, quota: DataFrame, budget: int) -> DataFram
     return ranked.join(small(quota.select("source_id", "quota")), "source_id").filter(F.col("rn") <= F.col("quota")).select("id", "url", "source_id")
 
 
-def rescan_tier(t: Tables, now, low_h: int, high_h: int, due_h: int, sources: DataFrame, cap: int) -> DataFrame:
+def _overdue_first(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows by last scan, or all of them."""
+    return rows if limit is None else rows.orderBy("last_seen", "id").limit(limit)
+
+
+def rescan_tier(t: Tables, now, low_h: int, high_h: int, due_h: int, sources: DataFrame, cap: int | None = None) -> DataFrame:
     """Titled articles of an age range whose last scan is long enough ago, most overdue first."""
     now = as_ts(now)
     ago = lambda h: now - F.expr(f"INTERVAL {h} HOURS")
     eff = F.coalesce("published_at", "first_seen")
     a = t.articles.filter(F.col("title").isNotNull() & (F.col("last_seen") <= ago(due_h)) & (eff >= ago(high_h)) & (eff <= ago(low_h)))
-    return a.join(small(sources), "source_id", "left_semi").select("url", "source_id", "last_seen", "id").orderBy("last_seen", "id").limit(cap)
+    return a.join(small(sources), "source_id", "left_semi").select("url", "source_id", "last_seen", "id").transform(_overdue_first, cap)
 
 
-def linked_stale(t: Tables, sources: DataFrame, seen_since, due_before, limit: int) -> DataFrame:
+def linked_stale(t: Tables, sources: DataFrame, seen_since, due_before, limit: int | None = None) -> DataFrame:
     """Articles that are still linked but were not scanned lately, longest ago first."""
     p = t.pages.filter((F.col("kind") == "article") & (F.col("last_seen") >= as_ts(seen_since))).select("url")
     a = t.articles.filter(F.col("title").isNotNull() & (F.col("last_seen") <= as_ts(due_before))).select("id", "url", "source_id", "last_seen")
-    return a.join(small(sources), "source_id", "left_semi").join(p, "url").select("url", "source_id", "last_seen", "id").orderBy("last_seen", "id").limit(limit)
+    return a.join(small(sources), "source_id", "left_semi").join(p, "url").select("url", "source_id", "last_seen", "id").transform(_overdue_first, limit)
 
 
-def overdue(t: Tables, sources: DataFrame, since, limit: int) -> DataFrame:
+def overdue(t: Tables, sources: DataFrame, since, limit: int | None = None) -> DataFrame:
     """Safety net: the most overdue articles of the horizon."""
     a = t.articles.filter(F.col("title").isNotNull() & ((F.col("published_at") >= as_ts(since)) | (F.col("first_seen") >= as_ts(since))))
-    return a.join(small(sources), "source_id", "left_semi").select("url", "source_id", "last_seen", "id").orderBy("last_seen", "id").limit(limit)
+    return a.join(small(sources), "source_id", "left_semi").select("url", "source_id", "last_seen", "id").transform(_overdue_first, limit)
 
 
 def select_rescans(t: Tables, now, budget: int, sources: DataFrame | None = None, tiers=TIERS, horizon_days: int = HORIZON_DAYS) -> DataFrame:
     """Articles to scan again: (url, source_id, stage, rn).
 
     Three age tiers with their share of the budget, then articles that are still linked, then the most overdue ones;
-    what a stage does not use is left to the next, and only a URL that was really taken is closed to later stages.  A
-    stage can lose at most one budget of its rows to earlier ones, so two budgets of rows of each are enough, and the choice is a
-    fold over that bounded list.
+    what a stage does not use is left to the next, and only a URL that was really taken is closed to later stages.  Stage by stage:
+    what it offers without what was taken, ranked along the order, up to its share and what is left.  Any budget; nothing is gathered.
     """
     sources = active_ids(t) if sources is None else sources
     ago = lambda h: as_ts(now) - F.expr(f"INTERVAL {h} HOURS")
     tiers = [*tiers[:-1], (horizon_days * 24, *tiers[-1][1:])]
-    most = 2 * budget
-    stages = [(f"tier{k + 1}", rescan_tier(t, now, low, high, due, sources, most), math.ceil(budget * w)) for k, (high, low, due, w) in enumerate(tiers) if high > low]
-    stages.append(("linked", linked_stale(t, sources, ago(LINKED_SEEN_H), ago(LINKED_DUE_H), most), budget))
-    stages.append(("overdue", overdue(t, sources, as_ts(now) - F.expr(f"INTERVAL {horizon_days} DAYS"), most), budget))
-    pool = reduce(DataFrame.unionByName, [d.withColumns({"no": F.lit(i), "stage": F.lit(n), "share": F.lit(cap)}) for i, (n, d, cap) in enumerate(stages)])
-    listed = pool.agg(F.array_sort(F.collect_list(F.struct("no", "last_seen", "id", "url", "source_id", "stage", "share"))).alias("rows"))
-    taken = "array<struct<url:string,source_id:int,stage:string,rn:bigint>>"
-    kind = dict(pool.dtypes)["source_id"]
-    start = F.struct(F.lit(-1).alias("no"), F.lit(0).cast("bigint").alias("got"), F.array().cast(taken.replace("source_id:int", f"source_id:{kind}")).alias("taken"))
-
-    def step(acc: Column, row: Column) -> Column:
-        got = F.when(acc["no"] == row["no"], acc["got"]).otherwise(F.lit(0).cast("bigint"))
-        free = (F.size(acc["taken"]) < budget) & (got < row["share"]) & ~F.exists(acc["taken"], lambda x: x["url"] == row["url"])
-        one = F.struct(row["url"].alias("url"), row["source_id"].alias("source_id"), row["stage"].alias("stage"), (got + 1).alias("rn"))
-        return F.struct(row["no"].alias("no"), F.when(free, got + 1).otherwise(got).alias("got"), F.when(free, F.concat(acc["taken"], F.array(one))).otherwise(acc["taken"]).alias("taken"))
-
-    return listed.select(F.explode(F.aggregate("rows", start, step, lambda acc: acc["taken"])).alias("x")).select("x.url", "x.source_id", "x.stage", "x.rn")
+    stages = [(f"tier{k + 1}", rescan_tier(t, now, low, high, due, sources), math.ceil(budget * w)) for k, (high, low, due, w) in enumerate(tiers) if high > low]
+    stages.append(("linked", linked_stale(t, sources, ago(LINKED_SEEN_H), ago(LINKED_DUE_H)), budget))
+    stages.append(("overdue", overdue(t, sources, as_ts(now) - F.expr(f"INTERVAL {horizon_days} DAYS")), budget))
+    taken, left = None, budget
+    for name, offers, share in stages:
+        if taken is not None:
+            offers = offers.join(taken.select("url"), "url", "left_anti")
+        # a URL is offered by its most overdue row
+        once = offers.groupBy("url").agg(F.min(F.struct("last_seen", "id", "source_id")).alias("x")).select("url", "x.*")
+        got = global_rank(once, [F.asc("last_seen"), F.asc("id")]).filter(F.col("rn") <= min(share, left))
+        got = written(got.select("url", "source_id", F.lit(name).alias("stage"), F.col("rn").cast("bigint").alias("rn")), "rescans")
+        taken = got if taken is None else taken.unionByName(got)
+        left = budget - taken.count()
+        if left <= 0:
+            break
+    return taken
 
 
 def drop_gone(queue: DataFrame, pages: DataFrame, now) -> DataFrame:

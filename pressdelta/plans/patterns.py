@@ -6,6 +6,7 @@
 * `carry_forward`    latest non-null value per key, in the same way
 * `spread_scan`      more tasks for a scan of few splits
 * `small`            broadcast hint behind a measured size
+* `global_rank`      row numbers along an order, without one task that sees all rows
 * `written`          a table written once to the shared folder and read with only the columns a reader needs
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from pressdelta.session import checkpoint_dir
 
@@ -122,8 +123,26 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder for checkpoints."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the folder for checkpoints: lineage ends here, and several readers do not compute them again."""
-    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], rank: str = "rn") -> DataFrame:
+    """Row number along `order`, from 1.  Rows are sorted in ranges and fixed by a checkpoint; ranges are counted, and each adds the rows
+    before it to its own row numbers, so no task sees all rows."""
+    checkpoint_dir(df.sparkSession)
+    fixed = df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("__m", 33)
+    sizes = fixed.groupBy(part.alias("__p")).agg(F.count("*").alias("c"))
+    # one row per range
+    before = sizes.withColumn("__before", F.sum("c").over(W.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(W.unboundedPreceding, -1))).drop("c")
+    j = fixed.withColumn("__p", part).join(before, "__p")
+    return j.select(*df.columns, (F.coalesce("__before", F.lit(0)) + F.col("__m") - F.shiftleft(F.col("__p").cast("bigint"), 33) + 1).alias(rank))

@@ -3,13 +3,14 @@
 import datetime as dt
 import glob
 import random
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pressdelta.operators import clustering as cl, context as cx, planning as pl, retention as rt, url_jobs as uj
+from pressdelta.operators import clustering as cl, context as cx, filters as fl, planning as pl, retention as rt, search as sr, url_jobs as uj
 from pressdelta.sources import sinks as sk
 from pressdelta.sources.tables import SCHEMAS, Tables, conform, load_tables
 
@@ -33,6 +34,63 @@ def test_numbered(spark):
     assert [r["#"] for r in rows] == list(range(1, 101)) and [r.v for r in rows] == list(range(1, 101))
 
 
+def files_of(path):
+    return {f: f.split("__part=")[1].split("/")[0] for f in glob.glob(f"{path}/__part=*/*.parquet")}
+
+
+def test_merge_rewrites_touched_parts_only(spark, tmp_path):
+    rows = spark.range(5000).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"), F.lit(None).cast("int").alias("w"))
+    t = sk.BucketedTable.create(rows, "merge_test", "k", str(tmp_path / "t"), parts=16, buckets=4)
+    before = files_of(t.path)
+    u = spark.createDataFrame([(7, "seven", 1), (9000, "new", 2)], "k bigint, v string, w int")
+    touched = {str(p) for p in t.merge(u)}
+    after = files_of(t.path)
+    assert 1 <= len(touched) <= 2 and {f for f, p in before.items() if p not in touched} == {f for f, p in after.items() if p not in touched}
+    assert not {f for f, p in before.items() if p in touched} & set(after)
+    got = {r.k: (r.v, r.w) for r in t.rows().collect()}
+    assert len(got) == 5001 and got[7] == ("seven", 1) and got[9000] == ("new", 2) and got[8] == ("v8", None)
+    # the target is met as it lies
+    plan, _ = t.merged(u)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    side = text[text.index("FileScan parquet spark_catalog"):].split("\n")[0]
+    assert "Bucketed: true" in side and text.count("Exchange hashpartitioning(k") + text.count("BroadcastExchange") <= 1
+    assert t.merge(u) == sorted(int(p) for p in touched) and {r.k: (r.v, r.w) for r in t.rows().collect()} == got
+    t.merge(spark.createDataFrame([(7, "known", 5), (9001, "newer", 5)], "k bigint, v string, w int"), "ignore")
+    t.merge(spark.createDataFrame([(8, 3), (99999, 4)], "k bigint, w int"), "existing")
+    got = {r.k: (r.v, r.w) for r in t.rows().collect()}
+    assert len(got) == 5002 and got[7] == ("seven", 1) and got[9001] == ("newer", 5) and got[8] == ("v8", 3)
+    # all keys of a part: the part goes
+    part = sorted(set(after.values()))[0]
+    t.merge(t.read([int(part)]).select("k"), "delete")
+    left = {r.k for r in t.rows().collect()}
+    assert part not in files_of(t.path).values() and left < set(got) and t.merge(u.filter("k < 0")) == []
+    t.drop()
+
+
+def test_search_index_against_plain_search(spark):
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("abcäB 7.") for _ in range(rnd.randrange(1, 9)))
+    a = [(i, rnd.random() < 0.9, 1 + i % 3, word(), word(), None if i % 5 else word(), word()) for i in range(300)]
+    kw = [(i, word()) for i in range(40)]
+    ak = [(rnd.randrange(300), rnd.randrange(40)) for _ in range(200)]
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    t = lambda rows: Tables(articles=made(rows, "id bigint, is_article boolean, source_id int, title string, url string, description string, topic string"), keywords=made(kw, "id bigint, term string"), article_keywords=made(ak, "article_id bigint, keyword_id bigint"))
+    terms = ["ab", "B 7", "cäb", "a", "7.", "abca", "zz", "a_b", "%%", "c%7"]
+    index = sr.SearchIndex(spark).add(sr.units(t(a[:200]))).add(sr.units(t(a[200:])).filter("kind = 'article'"))
+    # a delta: some articles get other texts
+    a = [(r[0], r[1], r[2], word(), *r[4:]) if r[0] % 10 == 0 else r for r in a]
+    now = t(a)
+    index.add(sr.units(now).filter("kind = 'article' AND id % 10 = 0"))
+    like = lambda x, q: re.search(re.escape(q).replace("%", ".*").replace("_", "."), x or "", re.I | re.S)
+    linked = lambda i, q: any(like(dict(kw)[k], q) for d, k in ak if d == i)
+    want = {(q, r[0]) for q in terms if len(q) > 1 for r in a if r[1] and (any(like(x, q) for x in r[3:]) or linked(r[0], q))}
+    assert {tuple(r) for r in index.search(now, terms).collect()} == want == {tuple(r) for r in fl.search_many(now, tuple(terms)).collect()}
+    assert {tuple(r) for r in index.search(now, terms, [2]).collect()} == {(q, i) for q, i in want if i % 3 == 1}
+    # the number of scans does not follow the number of terms
+    scans = lambda ts: index.search(now, ts)._jdf.queryExecution().optimizedPlan().toString().count("Relation [gram")
+    assert scans(["ab", "abca"]) == scans(["ab", "abca", "7.", "zz", "B 7", "cäb", "bca"])
+
+
 def test_upserts_are_idempotent(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     u = spark.createDataFrame([(2, "x"), (3, "y"), (3, "y")], "k int, v string")
