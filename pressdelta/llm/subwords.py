@@ -19,10 +19,10 @@ those named like a result are replaced.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
-from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -49,15 +49,13 @@ class Vocabulary:
         special = {unknown, *self.bytes.values()}
         self.ids = {p: i for i, p in enumerate(self.pieces) if p and i not in special}
         self.scores = list(scores)
-        # pieces as a trie: (node, character) -> node, and the piece that ends at a node
-        self.trie, self.ends = {}, [-1]
+        # pieces as a trie: character -> node, and under the empty string the piece that ends at a node
+        self.trie = {}
         for p, i in self.ids.items():
-            node = 0
+            node = self.trie
             for c in p:
-                node = self.trie.setdefault(node << 21 | ord(c), len(self.ends))
-                if node == len(self.ends):
-                    self.ends.append(-1)
-            self.ends[node] = i
+                node = node.setdefault(c, {})
+            node[""] = i
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self.plain = [p.replace(MARK, " ").encode() for p in self.pieces]
         for b, i in self.bytes.items():
@@ -74,10 +72,10 @@ class Vocabulary:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
 
-def merge(vocabulary: Vocabulary, text: str) -> list[str]:
-    """The model's own merging of one string: the best-ranked neighbours first, the leftmost of equals."""
+def merge(vocabulary: Vocabulary, text: str) -> tuple[list[str], tuple[str, str] | None]:
+    """The model's own merging of one string, the best-ranked neighbours first, the leftmost of equals; and the two parts merged last."""
     parts, left, right = list(text), list(range(-1, len(text) - 1)), list(range(1, len(text) + 1))
-    heap = []
+    heap, last = [], None
     def offer(a: int) -> None:
         b = right[a] if a >= 0 else len(parts)
         if a >= 0 and b < len(parts) and (i := vocabulary.ids.get(parts[a] + parts[b])) is not None:
@@ -88,13 +86,14 @@ def merge(vocabulary: Vocabulary, text: str) -> list[str]:
         _, a, joined = heapq.heappop(heap)
         if not parts[a] or (b := right[a]) >= len(parts) or parts[a] + parts[b] != joined:
             continue
+        last = parts[a], parts[b]
         parts[a], parts[b] = joined, ""
         right[a] = right[b]
         if right[b] < len(parts):
             left[right[b]] = a
         offer(left[a])
         offer(a)
-    return [p for p in parts if p]
+    return [p for p in parts if p], last
 
 
 class Segmenter:
@@ -105,66 +104,113 @@ class Segmenter:
     """
 
     def __init__(self, vocabulary: Vocabulary, cached: int = CACHED):
-        self.v, self.cached, self.words, self.follows, self.whole = vocabulary, cached, {"": b""}, {}, {}
+        self.v, self.cached, self.follows, self.made, self.steady = vocabulary, cached, {}, {}, {}
+        # words met lately, and those of the time before; together at most `cached` and those of one slice
+        self.words, self.older = {"": b""}, {}
         self.letter = "H" if len(vocabulary.pieces) <= 1 << 16 else "I"
         self.kind = np.dtype(f"<u{array(self.letter).itemsize}")
 
-    def _piece(self, i: int) -> str:
-        return self.v.pieces[i] if i >= 0 else chr(-1 - i)
+    def _made(self, piece: str) -> tuple[str, str] | None | bool:
+        """The two parts a piece is merged from, None for a single character, False if its characters merge to something else."""
+        found = self.made.get(piece)
+        if found is None and len(piece) > 1:
+            parts, last = merge(self.v, piece)
+            found = self.made[piece] = last if parts == [piece] else False
+        return found
 
-    def _may_follow(self, a: int, b: int) -> bool:
-        """Merging the two pieces alone leaves them as they are."""
-        key = a << 32 ^ b
-        found = self.follows.get(key)
+    def _rank(self, piece: str) -> float:
+        """When a piece comes into being: merges with the best scores come first, single characters are there from the start."""
+        return -self.v.scores[self.v.ids[piece]] if len(piece) > 1 else -math.inf
+
+    def _in_order(self, piece: str) -> bool:
+        """Every merge that makes the piece ranks after those that make its parts, so that ranks tell the order in time."""
+        found = self.steady.get(piece)
         if found is None:
-            if len(self.follows) >= PAIRS:
-                self.follows.clear()
-            one, two = self._piece(a), self._piece(b)
-            found = self.follows[key] = merge(self.v, one + two) == [one, two]
+            found = self.steady[piece] = len(piece) == 1 or all(self._in_order(p) and self._rank(p) < self._rank(piece) for p in self._made(piece))
         return found
 
-    def _stays_whole(self, i: int) -> bool:
-        """Merging the characters of the piece gives the piece."""
-        if i not in self.whole:
-            self.whole[i] = merge(self.v, self._piece(i)) == [self._piece(i)]
-        return self.whole[i]
-
-    def _grow(self, char: str, end: int, stack: list) -> tuple:
-        """State of a prefix that ends with `char` at `end`, from the states before: where its last piece begins, that piece, the best
-        score, and the pieces that have begun and may go on."""
-        trie, ends, follows, merges = self.v.trie, self.v.ends, self.follows, self.v.merges
-        code, open_, best = ord(char), [], None
-        for start, node in stack[-1][3] + [(end - 1, 0)]:
-            node = trie.get(node << 21 | code)
+    def _may_follow(self, a: int, b: int) -> bool:
+        """Merging the two pieces alone leaves them as they are.
+
+        Going back in time, the later made of the two neighbours at the seam falls into its parts; if at any time the neighbours then at the
+        seam would have merged before that, they would not have become the two pieces.  Of equal merges the left one comes first.
+        """
+        one, two, ids, scores = (self._piece(a), self._piece(b), self.v.ids, self.v.scores)
+        if not (self._in_order(one) and self._in_order(two)):
+            return merge(self.v, one + two)[0] == [one, two]
+        until, at = math.inf, False
+        while True:
+            across = ids.get(one + two)
+            if across is not None and (-scores[across] < until or at and -scores[across] == until):
+                return False
+            first, second = self._rank(one), self._rank(two)
+            if first == second == -math.inf:
+                return True
+            if first > second:
+                until, at, one = first, False, self._made(one)[1]
+            else:
+                until, at, two = second, True, self._made(two)[0]
+
+    def _piece(self, i: int) -> str:
+        return self.v.pieces[i] if i >= 0 else chr(-1 - i)
+
+    def _merged_state(self, char: str, end: int, stack: list) -> tuple:
+        """State of a prefix that ends with `char` at `end`: where its last piece begins, that piece, the score (of no meaning here), and the
+        pieces that have begun and may go on.  Exactly one piece can end a prefix; the first that fits is it."""
+        follows, size, open_, best = self.follows, len(self.v.pieces), [], None
+        for start, node in stack[-1][3]:
+            node = node.get(char)
             if node is None:
                 continue
             open_.append((start, node))
-            i = ends[node]
-            if i < 0 or merges and best is not None:
-                continue
-            if merges:
-                # exactly one piece can end a prefix
+            if best is None and "" in node:
+                i = node[""]
                 if start:
                     before = stack[start][1]
-                    fits = follows.get(before << 32 ^ i)
-                    if fits if fits is not None else self._may_follow(before, i):
+                    fits = follows.get(before * size + i)
+                    if fits is None:
+                        if len(follows) >= PAIRS:
+                            follows.clear()
+                        fits = follows[before * size + i] = self._made(self.v.pieces[i]) is not False and self._may_follow(before, i)
+                    if fits:
                         best = start, i, 0.0
-                elif self._stays_whole(i):
+                elif self._made(self.v.pieces[i]) is not False:
                     best = start, i, 0.0
-            elif best is None or stack[start][2] + self.v.scores[i] > best[2]:
-                best = start, i, stack[start][2] + self.v.scores[i]
+        # a character always stands by itself, with a piece of its own or without
+        if best is None:
+            best = end - 1, self.v.ids.get(char, -1 - ord(char)), 0.0
+        open_.append((end, self.v.trie))
+        return *best, open_
+
+    def _scored_state(self, char: str, end: int, stack: list) -> tuple:
+        """The same for the best sum of scores."""
+        open_, best = [], None
+        for start, node in stack[-1][3]:
+            node = node.get(char)
+            if node is None:
+                continue
+            open_.append((start, node))
+            if "" in node:
+                score = stack[start][2] + self.v.scores[node[""]]
+                if best is None or score > best[2]:
+                    best = start, node[""], score
         if char not in self.v.ids:
             # a character without a piece stands alone
             alone = stack[end - 1][2] + self.v.worst
-            if best is None or not merges and alone > best[2]:
-                best = end - 1, -1 - code, alone
+            if best is None or alone > best[2]:
+                best = end - 1, -1 - ord(char), alone
+        open_.append((end, self.v.trie))
         return *best, open_
 
     def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """Each distinct word with its pieces.  Sorted words are a trie walked depth first; `stack` holds the states of the path."""
-        before, stack, grow = "", [(0, 0, 0.0, [])], self._grow
+        before, stack, grow = "", [(0, 0, 0.0, [(0, self.v.trie)])], self._merged_state if self.v.merges else self._scored_state
         for word in sorted(words):
-            common = len(commonprefix((before, word)))
+            common = 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
+                common += 1
             del stack[common + 1 :]
             for end in range(common + 1, len(word) + 1):
                 stack.append(grow(word[end - 1], end, stack))
@@ -194,14 +240,18 @@ class Segmenter:
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text."""
-        if len(self.words) > self.cached:
-            self.words = {"": b""}
+        if len(self.words) > self.cached // 2:
+            self.words, self.older = {"": b""}, self.words
         cut = [self._cut(t) if t else [] for t in texts]
         new = set().union(*cut).difference(self.words)
+        # a word that is met again stays another time
+        met = new.intersection(self.older)
+        self.words.update((w, self.older[w]) for w in met)
+        new -= met
         # runs of marks tie in rank, so their words are merged as they are
         tied = {w for w in new if w.startswith(MARK + MARK)} if self.v.merges else set()
         for w in tied:
-            self.words[w] = self._bytes([self.v.ids[p] if p in self.v.ids else -1 - ord(p) for p in merge(self.v, w)])
+            self.words[w] = self._bytes([self.v.ids[p] if p in self.v.ids else -1 - ord(p) for p in merge(self.v, w)[0]])
         for w, parts in self.segment(new - tied):
             self.words[w] = self._bytes(parts)
         known = self.words

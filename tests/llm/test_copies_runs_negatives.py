@@ -253,3 +253,34 @@ def test_structure_saves_cells():
     edge, _, seed = hardneg.walk(first, second, sizes, -1e300, 100, False)
     lowest, below, rest = hardneg.walk(first, second, sizes, float(first.max() + second.max() - 3), 100, True)
     assert below == edge and lowest < edge and 0 < len(seed) < 40 and len(rest) < 40
+
+
+# --- subwords ---------------------------------------------------------------------------------------------------------------
+def test_pieces_at_a_seam_against_the_merge_itself():
+    """The pair test going back in time, on vocabularies whose merges overlap and tie in text."""
+    from pressdelta.llm import subwords
+    rnd = random.Random(11)
+    for _ in range(30):
+        made = list("abc")
+        while len(made) < 25:
+            new = rnd.choice(made) + rnd.choice(made)
+            if new not in made and len(new) < 9:
+                made.append(new)
+        v = subwords.Vocabulary(["<unk>", *made], [0.0, *[-float(i) for i in range(len(made))]])
+        seg = subwords.Segmenter(v)
+        good = [v.ids[p] for p in made if seg._made(p) is not False]
+        for a in good:
+            for b in good:
+                one, two = v.pieces[a], v.pieces[b]
+                assert seg._may_follow(a, b) == (subwords.merge(v, one + two)[0] == [one, two])
+        words = {"".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 12))) for _ in range(200)}
+        for w, parts in seg.segment(words):
+            assert [v.pieces[i] if i >= 0 else chr(-1 - i) for i in parts] == subwords.merge(v, w)[0]
+
+
+def test_words_met_again_stay():
+    from pressdelta.llm import subwords
+    v = subwords.Vocabulary(["<unk>", "a", "b", "▁", "▁a"], [0.0, -2.0, -3.0, -4.0, -1.0])
+    seg = subwords.Segmenter(v, cached=4)
+    out = [[i.tolist() for i in seg.encode([t])] for t in ("a b ab ba", "a aa", "a bb", "b ab", "a b ab ba")]
+    assert out[0] == out[4] and len(seg.words) + len(seg.older) < 12
