@@ -62,7 +62,10 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.sha2("media", 256)
     # the stored file's own figures travel in the key
     told = files.select(F.struct("key", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), kept.alias("media_sha256")).alias("key"), "media")
-    read = tiff.pages(told, samples=False).filter("last")
+    read = tiff.pages(told, samples=False).filter("last OR error IS NOT NULL")
+    # a file that cannot be read is an error, never a missing row
+    sound = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("TIFF: "), "error"))).otherwise(F.col("image_sha256"))
+    read = read.withColumn("image_sha256", sound)
     return read.select("key.key", "key.n_bytes", F.col("image_bytes").alias("payload_bytes"), F.col("image_sha256").alias("payload_sha256"), "tail_crc32", "key.media_bytes", "key.media_sha256", "feature").withColumnRenamed("key", "doc_id")
 
 
