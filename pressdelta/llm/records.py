@@ -118,8 +118,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, text: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], names=INDEX.names)
         if out:
             out.close()
-    rows = docs.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text"))
-    return store(rows.repartitionByRange("key").sortWithinPartitions("key", "text").mapInArrow(written, INDEX), "record-index")
+    rows = docs.select(F.col(doc_id).cast("long").alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    # many rows without an id, or with one id, are ranges of their own
+    return store(rows.repartitionByRange("key", "h").sortWithinPartitions("key", "h", "text").drop("h").mapInArrow(written, INDEX), "record-index")
 
 
 READ = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("before", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
