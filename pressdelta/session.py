@@ -18,6 +18,8 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a range split of a skewed shuffle is also wanted for rebalances in front of writes
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # batches of whole texts for Python stay small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # `row_number() <= k` is cut before the shuffle up to this k (60 snapshots, 300 terms, 3000 URLs, ...)
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
 }
