@@ -1,7 +1,7 @@
 """Encoding by a public tokenizer with a word cache.
 
 The tokenizer drops white space and never joins across it, so the pieces of a text between blanks and line feeds are encoded on their
-own, and a piece that was seen before is a look-up.  The cache is bounded: when it is full it starts anew.
+own, and a piece that was seen before is a look-up.  The cache is bounded: it holds the pieces met lately and those of the time before.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ class WordEncoder:
     def __init__(self, path: str, cached: int = CACHED):
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.cached, self.known, self.width = cached, {"": b""}, 0
+        self.cached, self.known, self.older, self.width = cached, {"": b""}, {}, 0
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(WORD_END)]] = True
 
@@ -60,10 +60,16 @@ class WordEncoder:
 
     def encode(self, texts: Sequence[str | None], width: int) -> Iterator[bytes]:
         """Ids of each text as little-endian numbers of `width` bytes; null is empty."""
-        if width != self.width or len(self.known) > self.cached:
-            self.known, self.width = {"": b""}, width
+        if width != self.width:
+            self.known, self.older, self.width = {"": b""}, {}, width
+        elif len(self.known) > self.cached // 2:
+            self.known, self.older = {"": b""}, self.known
         split = [plain_case(t or "").replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.known)
+        # a piece that is met again stays another time
+        met = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in met)
+        new -= met
         if new:
             self._learn(list(new), width)
         known = self.known
