@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pressdelta.llm.common import SPACE, pieces, remove, scratch, store
+from pressdelta.llm.common import LAST_ID, SPACE, pieces, remove, scratch, store
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -92,7 +92,7 @@ def signature(elements: np.ndarray, weights: np.ndarray, m: int = REGISTERS) ->
     return owner
 
 
-SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("prints", T.BinaryType())])
+SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("whole", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("prints", T.BinaryType())])
 
 
 def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: content key, bytes, band hashes and one-byte prints of the registers; no bands without words."""
+    """One row per document: hash of the whole text, content key, bytes, band hashes and one-byte prints of the registers; no bands without words."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in pieces(batches, "text"):
@@ -124,8 +124,8 @@ def signed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
                 bands.append(seen[key][0])
                 prints.append(seen[key][1])
             h1, h2 = _halves(keys)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(h1), pa.array(h2), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.binary())], names=SIGNED.names)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, SIGNED)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("whole"), pa.array(h1), pa.array(h2), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.binary())], names=SIGNED.names)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("whole"), F.col(text).alias("text")).mapInArrow(sign, SIGNED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -315,18 +315,20 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     # the row number is fixed once written
     rows = store(signed(docs, text, doc_id).withColumn("row", F.monotonically_increasing_id()), "signatures")
     contents = rows.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    firsts = store(contents.withColumnRenamed("node", "row").join(rows.select("row", "doc_id", "size", "bands", "prints"), "row").withColumnRenamed("row", "node"), "contents")
+    firsts = store(contents.withColumnRenamed("node", "row").join(rows.select("row", "doc_id", "whole", "size", "bands", "prints"), "row").withColumnRenamed("row", "node"), "contents")
     banded = firsts.select("node", F.explode("bands").alias("bucket"))
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = banded.join(full, "bucket").join(firsts.select("node", "prints"), "node")
     met = dealt(members, "bucket", "node").select("bucket", "low", "high", "side", "node", "prints")
     maybe = met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node").mapInArrow(plausible, EDGE)
     groups = components(maybe.distinct())
-    wanted = groups.join(firsts.select("node", "doc_id", "h1", "h2", "size"), "node")
+    wanted = groups.join(firsts.select("node", "doc_id", "whole", "h1", "h2", "size"), "node")
     cut = store(dealt(wanted, "group", "node", F.col("size")), "candidates")
-    texts = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("text"))
-    # texts are shuffled once at every size: the candidates grow with the input
-    found = texts.join(cut.hint("merge"), texts["__id"].eqNullSafe(cut["doc_id"])).select("group", "low", "high", "side", "node", "h1", "h2", "text")
+    # a text meets its candidate by id and hash of the text, so rows without an id are no hot key; equal rows are one, ahead of the shuffle.
+    # The join keeps the dealing of that step: texts are shuffled once at every size, as the candidates grow with the input
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("whole"), F.col(text).alias("text")).groupBy("id", "whole").agg(F.first("text").alias("text"))
+    sought = cut.withColumn("id", F.coalesce("doc_id", F.lit(LAST_ID))).hint("merge")
+    found = texts.join(sought, ["id", "whole"]).select("group", "low", "high", "side", "node", "h1", "h2", "text")
     links = found.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "node").mapInArrow(similar(similarity), EDGE)
     joined = components(links.distinct()).withColumnRenamed("group", "class")
     placed = firsts.select("h1", "h2", "node", "least", "copies").join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -345,9 +347,17 @@ def content_of(text: Column) -> Column:
 
 
 def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each class, the one with the smallest id (of several texts under it, or without ids, the smallest content key); all columns of the documents."""
-    found = classes(docs, text, doc_id).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_h1", "class_h2", "doc_id").agg(F.min(F.struct("h1", "h2")).alias("first"))
-    kept = found.select(F.col("doc_id").alias("__id"), F.col("first.h1").alias("__h1"), F.col("first.h2").alias("__h2"))
-    keyed = docs.withColumn("__content", content_of(F.col(text)))
-    both = keyed.join(kept, keyed[doc_id].cast("long").eqNullSafe(kept["__id"]) & (F.col("__content.h1") == F.col("__h1")) & (F.col("__content.h2") == F.col("__h2")), "left_semi")
-    return both.select(*docs.columns).select(*docs.columns)
+    """One document of each class, the one with the smallest id (of several texts under it, or without ids, the smallest content key; of rows
+    equal in both, any one); all columns of the documents, whatever their names."""
+    own = classes(docs, text, doc_id).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_h1", "class_h2", "doc_id", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    found = own.groupBy("class_h1", "class_h2", "doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("first"))
+    kept = store(found.select(F.col("doc_id").alias("__id"), F.col("first.h1").alias("__h1"), F.col("first.h2").alias("__h2"), F.col("first.n").alias("__n")), "first-documents")
+    # the columns travel in a struct: helper names cannot meet theirs
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{doc_id}`").cast("long").alias("__doc"), content_of(F.col(f"`{text}`")).alias("__content"))
+    on = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__content.h1") == F.col("__h1")) & (F.col("__content.h2") == F.col("__h2"))
+    one = keyed.join(kept.filter("__n = 1"), on, "left_semi").select("__row.*")
+    again = kept.filter("__n > 1")
+    if again.isEmpty():
+        return one
+    repeated = keyed.join(again, on).dropDuplicates(["__id", "__h1", "__h2"]).select("__row.*")
+    return one.unionByName(repeated)

@@ -402,7 +402,7 @@ def test_tiff_pages(spark, docs, none):
         texts = [(t or "").encode() for i, t, _ in TEXTS if i == key]
         own = [r for r in out if r.key == key]
         assert sum(r.last for r in own) == len(texts)
-        payload = texts[0] + bytes(64 - len(texts[0]) % 64)
+        payload = texts[0].ljust(max(64, -(-len(texts[0]) // 64) * 64), b"\0")
         last = [r for r in own if r.last][0]
         assert last.image_sha256 == hashlib.sha256(payload).hexdigest() and last.tail_crc32 == zlib.crc32(payload[-64:]) and last.image_bytes == len(payload)
         assert b"".join(r.samples for r in sorted(own, key=lambda r: r.page)[: last.page + 1]).startswith(payload[:64])
@@ -414,6 +414,25 @@ def test_tiff_pages(spark, docs, none):
     assert tiff.pages(tiff.to_media(none)).count() == 0
 
 
+def test_forms_follow_the_text_and_pad_to_a_multiple():
+    assert [len(tiff.padded(bytes(n))) for n in (0, 1, 63, 64, 65, 128)] == [64, 64, 64, 64, 128, 128]
+    forms = {tuple(tiff.form_of(b"text %d" % i).items()) for i in range(4000)}
+    # every compression, with and without tiles and predictor, in both byte orders
+    assert len(forms) == 4 * 2 * 2 * 2 and all(tiff.form_of(x) == tiff.form_of(bytes(x)) for x in (b"", b"a"))
+
+
+def test_feature_by_hand(spark):
+    texts = [f"text {i} ü" * (i * 9) for i in range(40)]
+    media = tiff.to_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in tiff.pages(media).filter("last").collect():
+        raw = texts[r.key].encode()
+        flat = list(raw) + [0] * ((-len(raw)) % 64 if raw else 64)
+        n, rows = len(flat), [flat[i : i + 64] for i in range(0, len(flat), 64)]
+        step = sum(abs(b - a) for row in rows for a, b in zip(row, row[1:]))
+        bins = [sum(x >> 4 == k for x in flat) for k in range(16)]
+        assert r.feature == f"mean={1000 * sum(flat) // n};var={1000 * (n * sum(x * x for x in flat) - sum(flat) ** 2) // n**2};step={1000 * step // n};bins=" + ",".join(map(str, bins))
+
+
 # rules
 
 def rules_by_hand(text):
@@ -444,3 +463,38 @@ def test_order_of_rules_does_not_change_the_verdict(spark):
     kept = [{r.id for r in frame.filter(rules.verdict(p)).collect()} for p in itertools.permutations(cascade)]
     assert all(k == kept[0] for k in kept) and 0 < len(kept[0]) < 200
     assert {r.name for r in rules.ordered(frame.cache(), cascade)} == {"slow", "quick", "never"}
+
+
+def test_order_of_rules_is_steady(spark):
+    """Rules of clearly different cost and selectivity come in the same order in every run."""
+    frame = spark.range(400).withColumn("x", F.col("id") % 10).cache()
+    work = lambda n: F.aggregate(F.sequence(F.lit(0), F.lit(n)), F.lit(0), lambda a, b: a + b % 2)
+    cascade = [rules.Rule("quick", work(40) + F.col("x") < 24), rules.Rule("slow", work(4000) + F.col("x") < 2004), rules.Rule("rare", work(4000) + F.col("x") < 2001)]
+    orders = {tuple(r.name for r in rules.ordered(frame, cascade, rows=4000)) for _ in range(10)}
+    assert orders == {("quick", "slow", "rare")}
+
+
+def test_sample_of_rules_is_not_gathered(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a text of some words "), "id").alias("text"))
+    plan = rules.judged(docs, sample_rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Limit" not in plan
+
+
+def test_near_duplicates_without_ids_and_in_large_groups(spark):
+    random.seed(5)
+    words = [f"w{i}" for i in range(3000)]
+    base = [random.choice(words) for _ in range(60)]
+    def near(k):
+        w = list(base)
+        w[k % 5] = f"x{k}"
+        return " ".join(w)
+    rows = [(i if i % 3 else None, near(i), "a") for i in range(700)] + [(None, " ".join(random.choice(words) for _ in range(40)), "b") for _ in range(200)] + [(None, "the very same text " * 5, "c")] * 300
+    docs = spark.createDataFrame(rows, DOCS)
+    got = neardup.classes(docs).collect()
+    assert len(got) == len(rows)
+    classes = {}
+    for r in got:
+        classes.setdefault((r.class_h1, r.class_h2), []).append(r)
+    sizes = sorted(map(len, classes.values()), reverse=True)
+    assert sizes[:3] == [700, 300, 1] and len(sizes) == 202
+    assert neardup.first_of_each(docs).count() == 202
