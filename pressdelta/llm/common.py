@@ -6,6 +6,7 @@ costs only its running tasks.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import types
@@ -81,6 +82,14 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def give_back() -> None:
+    """Return memory that is free to the system: a worker lives on beside the executor's next tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices with at most about `most` bytes in `column`; a longer single value is a slice of its own."""
     for batch in batches:
@@ -90,5 +99,4 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20)
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
             yield batch.slice(start, end - start)
             start = end
-    # a worker lives on beside the executor's next tasks
-    pa.default_memory_pool().release_unused()
+    give_back()

@@ -169,7 +169,7 @@ class Segmenter:
                     before = stack[start][1]
                     fits = follows.get(before * size + i)
                     if fits is None:
-                        if len(follows) >= PAIRS:
+                        if len(follows) >= min(PAIRS, self.cached):
                             follows.clear()
                         fits = follows[before * size + i] = self._made(self.v.pieces[i]) is not False and self._may_follow(before, i)
                     if fits:
@@ -265,8 +265,8 @@ def decode_ids(vocabulary: Vocabulary, ids: Sequence[int] | None) -> str:
     return out[1:] if out[:1] == " " else out
 
 
-def _segmenter(path: str, merges: bool) -> Segmenter:
-    return per_process(("subwords", path, merges), lambda: Segmenter(Vocabulary.load(path, merges)))
+def _segmenter(path: str, merges: bool, cached: int = CACHED) -> Segmenter:
+    return per_process(("subwords", path, merges, cached), lambda: Segmenter(Vocabulary.load(path, merges), cached))
 
 
 def decode(ids: Column, path: str, merges: bool = True) -> Column:
@@ -279,14 +279,15 @@ def decode(ids: Column, path: str, merges: bool = True) -> Column:
     return decoded(ids)
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text", merges: bool = True, decoded: str | None = None) -> DataFrame:
-    """The documents with n_tokens and ids; `decoded` names a column for the text made of the ids again."""
+def encoded(docs: DataFrame, path: str, text: str = "text", merges: bool = True, decoded: str | None = None, cached: int = CACHED, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The documents with n_tokens and ids; `decoded` names a column for the text made of the ids again.  `cached` words and pairs are kept
+    per Python worker, and the words of `slice_bytes` of text are segmented together: less of both takes less memory and more time."""
     added = [*ENCODED, *([T.StructField(decoded, T.StringType())] if decoded else [])]
     kept = [c for c in docs.columns if c not in {f.name for f in added}]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = _segmenter(path, merges)
-        for batch in pieces(batches, text, SLICE_BYTES):
+        segmenter = _segmenter(path, merges, cached)
+        for batch in pieces(batches, text, slice_bytes):
             ids = [i.astype(np.int32) for i in segmenter.encode(batch.column(text).to_pylist())]
             ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
             out = [batch.column(c) for c in kept] + [pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))]
