@@ -1,6 +1,10 @@
 """The training-data pipeline: STAGES applied in turn to the documents, each written as Parquet and read by the next.
 
 All stages but the last return the columns of documents.  A document taken more than once by the mix stands as often in its result.
+
+Defined cases, for every stage: a null text counts as empty and stays what it is unless the stage changes texts; rows without an id take part (as one document in
+line dedup, where ids decide who keeps a line); repeated rows are copies of each other; a null source is a source of its own; an empty table
+gives an empty result with the stage's columns; further columns pass through, whatever their names, but for the last stage's result.
 """
 
 from __future__ import annotations
@@ -51,7 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of the text decoded from them: doc_id, source, n_tokens, ids, decoded_sha256."""
-    done = subwords.encoded(docs.select("doc_id", "source", "text"), queries.tokenizer("piece_bpe_32k.model"), decoded="decoded")
+    # less is cached than where the operator runs by itself: the workers have served the stages before
+    done = subwords.encoded(docs.select("doc_id", "source", "text"), queries.tokenizer("piece_bpe_32k.model"), decoded="decoded", cached=100_000, slice_bytes=1 << 20)
     return done.select("doc_id", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
