@@ -396,6 +396,12 @@ def _(spark, d):
     return r.select("run_id", "url", F.array_join(F.transform("refs", lambda x: F.concat(x["u"], F.lit(":"), x["k"])), ",").alias("refs"))
 
 
+@query("sc25_cap_refs", f"WITH {REFS.replace('min((seen_at, ref_kind)) AS m', 'min(seen_at) AS s, min_by(ref_kind, (seen_at, ref_kind)) AS kd').replace('m[2]', 'kd').replace('m[1]', 's')} SELECT run_id, url, string_agg(ref_url || ':' || kind, ',' ORDER BY rn) AS refs FROM rk WHERE rn <= 2 GROUP BY 1, 2")
+def _(spark, d):
+    r = lk.link_refs(derive(spark, d, "link_observations"), None).withColumn("refs", lk.cap_refs(F.reverse("refs"), 2))
+    return r.select("run_id", "url", F.array_join(F.transform("refs", lambda x: F.concat(x["u"], F.lit(":"), x["k"])), ",").alias("refs"))
+
+
 @query("sg3_link_state", "SELECT article_url, min(seen_at) AS first_seen, max(seen_at) AS last_seen, count(*) AS sightings, epoch(max(seen_at)) - epoch(min(seen_at)) > 7200 AS link_resighted FROM d_link_observations GROUP BY 1")
 def _(spark, d):
     return lk.link_state(derive(spark, d, "link_observations"))

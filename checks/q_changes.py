@@ -80,7 +80,7 @@ def _(spark, d):
     return r.select("article_id", "last_reported", base.alias("baseline"), changed.alias("pub_changed"))
 
 
-META = {"description": "substr(body, 1, 60)", "og_image": "substr(title, 1, 8)", "topic": "role", "paywalled": "CASE WHEN length(body) % 3 > 0 THEN length(body) % 2 = 0 END",
+META = {"description": "body", "og_image": "title", "topic": "role", "paywalled": "CASE WHEN length(body) % 3 > 0 THEN length(body) % 2 = 0 END",
         "author_status": "CASE length(body) % 4 WHEN 0 THEN 'named' WHEN 1 THEN 'anonymous' WHEN 2 THEN 'none' END"}
 
 

@@ -8,6 +8,7 @@ from checks.q_filters import NOW, RANGE, corpus, overview
 from checks.registry import berlin, berlin_day, query, utc
 from pressdelta.functions import timeutil as tu
 from pressdelta.operators import context as cx, dashboards as db, filters as fl, keywords as kw, series as sr, url_jobs as uj
+from pressdelta.plans.patterns import global_rank
 from pressdelta.operators.filters import FilterParams
 from pressdelta.sources.driver_tables import derive, domain
 
@@ -400,14 +401,27 @@ def _(spark, d):
     return db.sources_per_country(domain(spark, d, "sources"))
 
 
-@query("so1_sort_view", "SELECT id, word_count FROM d_corpus ")
+def placed(rows, column, direction="asc"):
+    """Rows with their place in the sorted view."""
+    return global_rank(rows, [*db.sort_keys(rows, column, direction), F.col("id").asc()], "place")
+
+
+@query("so1_sort_view", "SELECT id, word_count, row_number() OVER (ORDER BY word_count DESC NULLS LAST, id) AS place FROM d_corpus")
+def _(spark, d):
+    return placed(corpus(spark, d), "word_count", "desc").select("id", "word_count", "place")
+
+
+@query("so1_sort_view_text", "SELECT id, CAST(word_count AS VARCHAR) AS words, row_number() OVER (ORDER BY word_count NULLS LAST, id) AS place FROM d_corpus")
 def _(spark, d):
-    return db.sort_view(corpus(spark, d), "word_count", "desc").select("id", "word_count")
+    return placed(corpus(spark, d).withColumn("words", F.col("word_count").cast("string")), "words").select("id", "words", "place")
 
 
-@query("so1_sort_view_text", "SELECT id, CAST(word_count AS VARCHAR) AS words FROM d_corpus ")
+# numbers inside texts by value, also those of forty places
+@query("so1_sort_view_natural", """WITH t AS (SELECT id, CASE WHEN title IS NOT NULL THEN concat('Folge ', CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN '00' ELSE '1234567890123456789012345678901234567890' END, id, ' der Reihe') END AS words FROM d_articles)
+SELECT id, words, row_number() OVER (ORDER BY words IS NULL, CASE WHEN words IS NULL THEN 0 WHEN id % 3 = 2 THEN 1 ELSE 0 END, CASE WHEN words IS NULL THEN 0 WHEN id % 3 = 2 THEN length(words) ELSE 0 END, id) AS place FROM t""")
 def _(spark, d):
-    return db.sort_view(corpus(spark, d).withColumn("words", F.col("word_count").cast("string")), "words").select("id", "words")
+    words = F.when(F.col("title").isNotNull(), F.concat(F.lit("Folge "), F.expr("CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN '00' ELSE '1234567890123456789012345678901234567890' END"), "id", F.lit(" der Reihe")))
+    return placed(derive(spark, d, "articles").withColumn("words", words), "words").select("id", "words", "place")
 
 
 @query("so2_page", "SELECT id, revision_count FROM d_overview ORDER BY revision_count DESC NULLS LAST, id LIMIT 100 OFFSET 300")

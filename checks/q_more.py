@@ -72,6 +72,24 @@ def _(spark, d):
     return uj.with_article_key(made(spark, d, KEYED)).select("id", "article_key")
 
 
+HEXED = """SELECT id, concat('https://www.bild.de/politik/alt-', h) AS url, concat('<head><link rel="canonical" href="https://www.bild.de/', CASE id % 3 WHEN 0 THEN concat('politik/neu-', h) WHEN 1 THEN concat('article/', h)
+ ELSE concat('sport/fremd-', substr(md5('x'), 1, 24)) END, '"></head>') AS html FROM (SELECT id, substr(md5(CAST(id AS VARCHAR)), 1, 24) AS h FROM d_articles)"""
+
+
+@query("ur2_page_canonical", "SELECT id, concat('https://www.bild.de/politik/', CASE WHEN id % 3 = 0 THEN 'neu-' ELSE 'alt-' END, substr(md5(CAST(id AS VARCHAR)), 1, 24)) AS canonical_url FROM d_articles")
+def _(spark, d):
+    return uj.with_page_canonical(made(spark, d, HEXED)).select("id", "canonical_url")
+
+
+LIVE = """SELECT id, concat('<script type="application/ld+json">{"@type":"', CASE WHEN id % 4 = 0 THEN 'NewsArticle' ELSE 'LiveBlogPosting' END, '","liveBlogUpdate":[{"datePublished":"2026-01-01T11:00:00Z","headline":"B', id, '","articleBody":"zwei"},',
+ '{"datePublished":"2026-01-01T10:00:00Z","headline":"A', id, '"},{"datePublished":"2026-01-01T12:00:00Z","headline":"a', id, '"}]}</script>') AS html FROM d_articles"""
+
+
+@query("bd4_liveblog_body", "SELECT id, CASE WHEN id % 4 > 0 THEN concat('A', id, chr(10), chr(10), 'B', id, '. zwei') END AS body FROM d_articles")
+def _(spark, d):
+    return ex.with_jsonld(made(spark, d, LIVE)).select("id", bd.liveblog_body(F.col("ld")).alias("body"))
+
+
 RUBRIC = """SELECT id, concat('https://s.example/a-', id, '.html') AS url, CASE id % 3 WHEN 0 THEN concat('https://s.example/sport/a-', id, '.html') WHEN 1 THEN 'nichts' END AS og_url, concat('https://s.example/politik/a-', id, '.html') AS canonical_href FROM d_articles"""
 
 

@@ -173,7 +173,7 @@ def link_status(overview: DataFrame, linked_from: DataFrame | None = None) -> Da
 
 def article_record(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """The full record: article facts, authors, keywords and categories as lists, snapshots in order with their
-    version number.  Lists are bounded per article (25 values per dimension, the retained snapshots)."""
+    version number.  Lists hold all of an article's own values: as many as it has authors, keywords, categories and retained snapshots."""
     def names(dim: str, junction: str, key: str, col: str) -> DataFrame:
         j = getattr(t, junction)
         j = j if ids is None else j.join(ids.select("article_id").distinct(), "article_id", "left_semi")

@@ -361,10 +361,6 @@ SORTABLE = {
 }
 
 
-# places of a number inside a text
-DIGITS = 30
-
-
 def sort_keys(rows: DataFrame, column: str, direction: str = "asc") -> list[Column]:
     """Typed order: numbers by value, texts by number or date when they look like one, else by letters ignoring case
     and accents, with runs of digits inside a text by value; blanks last in both directions."""
@@ -376,8 +372,10 @@ def sort_keys(rows: DataFrame, column: str, direction: str = "asc") -> list[Colu
     text = F.when(c != "", c)
     number = F.when(F.trim(text).rlike(r"^-?\d+(?:[.,]\d+)?$"), F.regexp_replace(F.trim(text), ",", ".")).try_cast("double")
     date = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(F.substring(text, 1, 10)))
-    # every run of digits with the same number of places
-    natural = F.regexp_replace(F.regexp_replace(text, r"(\d+)", "0" * DIGITS + "$1"), rf"\d*(\d{{{DIGITS}}})", "$1")
+    # a run of digits sorts by its number of places without leading zeros, then by them: by value, however long
+    plain = lambda run: F.regexp_replace(run, "^0+(?=.)", "")
+    runs = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1)), lambda r: F.when(r.rlike(r"^\d"), F.concat(F.lpad(F.length(plain(r)).cast("string"), 9, "0"), plain(r))).otherwise(r))
+    natural = F.array_join(runs, "")
     return [F.isnull(text).asc(), turn(number), turn(date), turn(F.collate(natural, "UNICODE_CI_AI"))]
 
 

@@ -73,7 +73,7 @@ SELECT article_id * 1000 + seq AS id, article_id, seq, captured_at, change_kind,
   FROM {lineitem} WHERE l_returnflag <> 'N') s""",
     "versions": """
 SELECT conv_id AS article_id, turn AS seq, TIMESTAMP '2024-01-01 00:00:00' + (turn * 60 + conv_id) * INTERVAL 1 MINUTE AS scanned_at,
-       substr(text, 1, 40) AS title, text AS body, role FROM {conversations}""",
+       text AS title, text AS body, role FROM {conversations}""",
     "link_observations": """
 SELECT date_trunc('hour', ts) AS run_id, user_id % 6 + 1 AS source_id, concat('https://x.example/a/', user_id) AS article_url,
        concat('/', event_type, '/') AS ref_url,
