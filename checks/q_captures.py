@@ -447,6 +447,19 @@ def _(spark, d):
     return sync.sync_corpus(cached, c, NOW, 400).select("id", "last_seen", "scan_count")
 
 
+@query("sg5_sync_files", f"""SELECT id, last_seen, scan_count FROM d_corpus WHERE published_at >= TIMESTAMP '{NOW}' - INTERVAL 400 DAY OR (published_at IS NULL AND discovered_at >= TIMESTAMP '{NOW}' - INTERVAL 400 DAY) OR last_seen >= TIMESTAMP '{NOW}' - INTERVAL 400 DAY""")
+def _(spark, d):
+    from checks.q_filters import corpus
+    from pressdelta.plans.patterns import scratch_path
+    from pressdelta.streaming import sync
+    path = scratch_path(spark, "corpus-files")
+    # scans lie in files by time, as they come in
+    corpus(spark, d).repartitionByRange(16, "last_seen").write.parquet(path)
+    source = sync.FileSync(spark, path)
+    c = spark.read.parquet(path)
+    return source.sync(c.filter(F.col("last_seen") < "2001-06-01"), NOW, 400).select("id", "last_seen", "scan_count")
+
+
 @query("sg6_date_bounds", f"WITH s AS (SELECT url, published_at + (id % 11 - 5) * INTERVAL 1 HOUR AS d_at, id % 3 > 0 AS precise FROM d_articles) SELECT url, min(d_at) FILTER (precise) AS lo, max(d_at) FILTER (precise) AS hi, min(d_at) FILTER (NOT precise) AS guess FROM s GROUP BY 1")
 def _(spark, d):
     return ch.date_bounds(derive(spark, d, "articles").selectExpr("url", "published_at + (id % 11 - 5) * INTERVAL 1 HOUR AS at", "id % 3 > 0 AS precise"))

@@ -134,3 +134,32 @@ def test_sync(spark):
     assert far.reload is True
     merged = sync.merge_corpus(near, c.filter("last_seen >= '2001-08-10'"), now, 400)
     assert merged.groupBy("id").count().filter("count > 1").count() == 0 and merged.filter("last_seen >= '2001-08-10' AND scan_count > 0").count() > 0
+
+
+def test_file_sync_opens_only_newer_files(spark):
+    from pressdelta.sources.tables import corpus, flat_overview
+    c = corpus(flat_overview(derive(spark, SF, "articles"), derive(spark, SF, "sources"))).persist()
+    now, rows = "2001-08-20 00:00:00", lambda d: sorted(map(repr, d.select(*c.columns).collect()))
+    path = files(c, "last_seen", 8)
+    source = sync.FileSync(spark, path)
+    assert len(source.refresh()) == 8 and source.refresh() == []
+    assert source.manifest.agg(F.sum("n")).first()[0] == c.count()
+    for days in (0, 30, 400, 4000):
+        assert source.size(now, days) == c.filter(sync.in_corpus_window(now, days)).count() and len(source.opened) < 8
+    mark = c.agg(F.max("last_seen")).first()[0]
+    near = c.filter(F.col("last_seen") < F.lit(mark - dt.timedelta(days=20)))
+    newer = source.newer(near)
+    edge = near.agg(F.max("last_seen")).first()[0] - dt.timedelta(minutes=2)
+    assert rows(newer) == rows(c.filter(F.col("last_seen") >= F.lit(edge))) and 0 < len(source.opened) < 8
+    for cached in (near, c.filter("last_seen < '2001-01-01'"), c.limit(0)):
+        assert rows(source.sync(cached, now, 400)) == rows(sync.sync_corpus(cached, c, now, 400))
+    # a later scan of known rows comes in a file of its own, an emptied file goes
+    later = c.filter("id % 50 = 0").withColumn("last_seen", F.lit(mark) + F.expr("INTERVAL 1 HOUR"))
+    state = c.join(later.select("id"), "id", "left_anti").select(*c.columns)
+    again = sync.FileSync(spark, files(state, "last_seen", 4), source.manifest)
+    later.coalesce(1).write.mode("append").parquet(again.path)
+    spark.createDataFrame([], c.schema).coalesce(1).write.mode("append").parquet(again.path)
+    assert len(again.refresh()) >= 5 and again.refresh() == []
+    assert rows(again.newer(c)) == rows(later.union(state.filter(F.col("last_seen") >= F.lit(mark - dt.timedelta(minutes=2)))))
+    assert len(again.opened) <= 2
+    assert rows(again.sync(c, now, 400)) == rows(sync.sync_corpus(c, later.unionByName(state), now, 400))
