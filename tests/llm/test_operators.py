@@ -149,15 +149,15 @@ def test_runs_are_merged_and_batches_agree(spark):
 def test_merged_runs_are_met(spark, monkeypatch):
     rows = [(i, f"line that repeats {i % 5}\nline of its own {i}") for i in range(48)]
     monkeypatch.setattr(linededup.batches_for, "__defaults__", (3,))
-    met, known = [], linededup.LineRuns.known
+    met, meet = [], linededup.LineRuns.meet
     written, write = [], linededup.LineRuns._write
-    def watched(self):
+    def watched(self, keys):
         met.append([list(level) for level in self.levels])
-        return known(self)
+        return meet(self, keys)
     def noted(self, run, level):
         write(self, run, level)
         written.append((level, self.levels[level][-1]))
-    monkeypatch.setattr(linededup.LineRuns, "known", watched)
+    monkeypatch.setattr(linededup.LineRuns, "meet", watched)
     monkeypatch.setattr(linededup.LineRuns, "_write", noted)
     assert by_id(linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")), "n_lines", "n_dropped", "kept") == lines_by_hand(rows)
     assert len(met) == 4 and any(len(levels) > 1 and levels[1] for levels in met)
@@ -165,6 +165,32 @@ def test_merged_runs_are_met(spark, monkeypatch):
     assert [linededup.batches_for(n, 8192) for n in (0, 1, 30_000, 250_000, 15_000_000)] == [1, 2, 3, 4, 7]
 
 
+def test_runs_are_neither_moved_nor_sorted(spark):
+    keys = linededup.line_keys(spark.createDataFrame([(i, f"line that repeats {i % 5}\nline of its own {i}") for i in range(40)], "doc_id long, text string"))
+    keys = linededup.store(keys, "keys")
+    runs = linededup.LineRuns(spark, fanout=3)
+    for b in range(4):
+        runs.add(keys.filter(F.col("doc").between(8 * b, 8 * b + 7))).count()
+    assert [len(level) for level in runs.levels] == [1, 1]
+    with linededup.sorted_buckets(spark):
+        plan = runs.meet(keys)._jdf.queryExecution().executedPlan().toString()
+        merge = runs._merged([name for level in runs.levels for name in level])._jdf.queryExecution().executedPlan().toString()
+    # the batch alone: once moved, once sorted
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    assert merge.count("SortMergeJoin") == 1 and "Exchange" not in merge and "Sort [" not in merge
+    runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_")]
+
+
+def test_very_frequent_lines(spark, monkeypatch):
+    rows = [(i, "everywhere the same\n" + f"in every third document {i % 3}\n" + f"line of its own {i}") for i in range(90)] + [(None, "everywhere the same")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(linededup, "HOT", 4)
+    assert by_id(linededup.dedup_lines(frame, batches=3), "n_lines", "n_dropped", "kept") == lines_by_hand(rows)
+    monkeypatch.setattr(linededup, "HOT", 0)
+    assert by_id(linededup.dedup_lines(frame, batches=3), "n_lines", "n_dropped", "kept") == lines_by_hand(rows)
+
+
 # subwords
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -295,7 +321,7 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
         copy[random.randrange(60)] = f"x{i}"
         rows.append((i, " ".join(copy)))
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
-    assert {r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0} if len({c for _, c, _ in near_by_hand(rows)}) == 1 else True
+    assert by_id(neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")), "class_id", "class_rows") == near_by_hand(rows)
 
 
 def test_signatures_estimate_probability_jaccard():
