@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import struct
 import zlib
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -62,6 +64,43 @@ def test_quality_moments_are_those_of_numpy(spark):
         assert found[c][0] == 20 and np.allclose(found[c][1], x.sum(0)) and np.allclose(found[c][2], x.T @ x)
 
 
+def vector_by_hand(text):
+    text = text or ""
+    raw, words = text.encode(), text.split()
+    having = lambda allowed: sum(b in allowed for b in raw)
+    part = lambda share, whole: math.asin(math.sqrt(min(1.0, share / whole)))
+    capital, small = having(range(65, 91)), having(range(97, 123))
+    again = sum(words[i] == words[i + 1] for i in range(len(words) - 1))
+    n = len(words)
+    return [math.log(1 + n), math.log(1 + (sum(len(w) for w in words) + 100) / (n + 20)), part(capital, capital + small + 20), part(having(b"#*$%&|<>@^~=_"), len(raw) + 20),
+            part(having(b"!?"), n + 20), part(having(b".,;:"), 2 * n + 20), part(having(b"0123456789"), len(raw) + 20), part(again, n + 20),
+            part(n - len(set(words)), n + 100), part(having(b"\n"), n + 40), part(having(range(192, 256)), len(raw) + 100)]
+
+
+def test_scores_are_log_densities_by_hand(spark):
+    random.seed(21)
+    word = lambda bad: random.choice(("the", "river", "Stone", "walks", "light.", "é", "12", "a,") + (("BUY!!", "###", "NOW", "$5") if bad else ()))
+    rows = [(i, "".join(word(i % 3 == 0) + random.choice(" \n ") for _ in range(random.randrange(5, 120))), 0 if i % 3 == 0 else 1) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int").withColumn("score", F.lit("x")).withColumn("vector", F.lit("x"))
+    model = quality.fit(frame, frame.select("doc_id", "quality"))
+    odd = rows + [(900, None, None), (901, "", None), (902, LONG, None)]
+    got = {r.doc_id: r.s for r in spark.createDataFrame(odd, "doc_id long, text string, quality int").select("doc_id", quality.score(model, F.col("text")).alias("s")).collect()}
+    x, y = np.array([vector_by_hand(t) for _, t, _ in rows]), np.array([l for _, _, l in rows])
+    centre, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = (x - centre) / scale
+    spreads = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).mean() * spreads[c] for c in (0, 1))
+    density = []
+    everything = (np.array([vector_by_hand(t) for _, t, _ in odd]) - centre) / scale
+    for c in (0, 1):
+        shrunk = 0.7 * spreads[c] + 0.3 * pooled
+        shrunk = 0.99 * shrunk + (0.01 * np.trace(shrunk) / len(shrunk) + 1e-9) * np.eye(len(shrunk))
+        off = everything - z[y == c].mean(0)
+        density.append(np.log((y == c).sum()) - 0.5 * (np.linalg.slogdet(shrunk)[1] + np.einsum("ij,ij->i", off, np.linalg.solve(shrunk, off.T).T)))
+    want = 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
+    assert np.allclose([got[i] for i, *_ in odd], want, atol=1e-6)
+
+
 # mixing
 
 def test_fill_stops_and_shares_again():
@@ -243,6 +282,22 @@ def test_shards(spark, docs, none):
     assert got.count() == len(TEXTS) and sharding.placed(none).count() == 0
 
 
+def test_places_by_hand(spark):
+    def hashed(key, name):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        return xxhash.xxh64_intdigest(name.encode(), seed)
+    def place(key, node):
+        if not node.children:
+            return node.shard
+        draws = [(-math.log(((hashed(key, c.name) >> 11) + 1) / 2**53) / c.weight, i) for i, c in enumerate(node.children)]
+        return place(key, node.children[min(draws)[1]])
+    ids = [None, -7, 0, *range(1, 600), 2**40]
+    got = sharding.placed(spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")).collect()
+    assert len(got) == len(ids)
+    for r in got:
+        assert (r.shard, r.grown_shard) == (place(r.doc_id, sharding.layout(40)), place(r.doc_id, sharding.layout(41)))
+
+
 def test_weights_move_only_into_what_grew(spark):
     keys = spark.range(5000)
     old = sharding.descend(keys, "id", sharding.layout(40), "old")
