@@ -143,6 +143,16 @@ def near_leaves(nodes: DataFrame, theta: float) -> DataFrame:
     return pairs
 
 
+def tiles(nodes: DataFrame, most: int) -> DataFrame:
+    """(ball, size, tile) of each leaf: its highest ball of at most `most` vectors, or itself.  Vectors are sent to pairs of tiles, so each goes to
+    as many tasks as there are tiles near it, not leaves."""
+    leaves = nodes.join(nodes.select(F.col("parent").alias("ball")).distinct(), "ball", "left_anti").select("ball", "size")
+    steps = F.split("ball", r"\.")
+    above = leaves.select(F.col("ball").alias("leaf"), F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "."))).alias("ball"))
+    high = above.join(nodes.select("ball", "size"), "ball").filter(F.col("size") <= most).groupBy(F.col("leaf").alias("ball")).agg(F.min_by("ball", F.length("ball")).alias("tile"))
+    return leaves.join(high, "ball", "left").select("ball", "size", F.coalesce("tile", "ball").alias("tile"))
+
+
 def compared_share(nodes: DataFrame, pairs: DataFrame) -> float:
     """Share of all ordered pairs of vectors that lie in pairs of leaves to compare."""
     size = nodes.select("ball", "size")
@@ -159,24 +169,53 @@ def similar_pairs(vectors: DataFrame, k: int = NEIGHBOURS, threshold: float = TH
     v = vectors.select("article_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("g", F.xxhash64("embedding"))
     members, nodes = ball_tree(v.groupBy("g").agg(F.first("embedding").alias("embedding")), leaf, fan)
     pairs = near_leaves(nodes, theta)
-    # a leaf of equal directions may be large: it is dealt into parts
-    parts = F.ceil(F.col("size") / leaf).cast("int")
-    homes = members.join(nodes.select("ball", "size"), "ball").select("g", "embedding", "ball", F.pmod(F.xxhash64("g", F.lit(7)), parts).cast("int").alias("part"))
-    cells = homes.select("ball", "part").distinct()
-    cell = lambda d, ball, part: d.select(F.col("ball").alias(ball), F.col("part").alias(part), *[c for c in d.columns if c not in ("ball", "part")])
-    blocks = written(pairs.join(cell(cells, "a", "ap"), "a").join(cell(cells, "b", "bp"), "b"), "ball-blocks")
+    # leaves meet by tiles; a leaf of equal directions may be larger than a tile: it is dealt into parts
+    most = leaf * fan
+    tile = tiles(nodes, most)
+    parts = F.ceil(F.col("size") / most).cast("int")
+    homes = members.join(tile, "ball").select("g", "embedding", "ball", "tile", F.when(F.col("size") > most, F.pmod(F.xxhash64("g", F.lit(7)), parts)).otherwise(F.lit(0)).cast("int").alias("part"))
+    cells = homes.select("tile", "part").distinct()
+    cell = lambda d, s: d.select(F.col("tile").alias(s), F.col("part").alias(f"{s}p"), *[c for c in d.columns if c not in ("tile", "part")])
+    of = lambda s: tile.select(F.col("ball").alias(s), F.col("tile").alias(f"{s}t"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("at").alias("a"), F.col("bt").alias("b")).distinct()
+    # every two cells meet once, for both directions
+    once = F.struct("a", "ap") <= F.struct(F.col("b").alias("a"), F.col("bp").alias("ap"))
+    blocks = written(near.join(cell(cells, "a"), "a").join(cell(cells, "b"), "b").filter(once), "ball-blocks")
     key = ["a", "ap", "b", "bp"]
-    queries = blocks.join(cell(homes, "a", "ap"), ["a", "ap"]).select(*key, "g", "embedding")
-    rows = blocks.join(cell(homes, "b", "bp"), ["b", "bp"]).select(*[F.col(c).alias(f"m_{c}") for c in key], F.col("g").alias("m_g"), F.col("embedding").alias("m_embedding"))
+    queries = blocks.join(cell(homes, "a"), ["a", "ap"]).select(*key, "g", "ball", "embedding")
+    rows = blocks.join(cell(homes, "b"), ["b", "bp"]).select(*[F.col(c).alias(f"m_{c}") for c in key], *[F.col(c).alias(f"m_{c}") for c in ("g", "ball", "embedding")])
+
+    def leaves(pdf: pd.DataFrame) -> list[tuple]:
+        """(ids, vectors, centre, radius) of each leaf."""
+        out = []
+        for _, part in pdf.groupby("ball", sort=False):
+            vectors = np.stack(part.embedding)
+            center = vectors.mean(axis=0)
+            center /= max(np.linalg.norm(center), 1e-12)
+            out.append((part.g.to_numpy(), vectors, center, _angles(vectors, center[None])[:, 0].max()))
+        return out
 
     def best(key: tuple, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(m):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        sims = np.stack(q.embedding) @ np.stack(m.m_embedding).T
-        r, c = np.nonzero(sims >= threshold)
-        out = pd.DataFrame({"a": q.g.to_numpy()[r], "b": m.m_g.to_numpy()[c], "similarity": sims[r, c]})
         # a vector itself is among its members: k + 1 of each block are enough
-        return out.sort_values(["a", "similarity", "b"], ascending=[True, False, True]).groupby("a").head(k + 1)
+        first = lambda d: d.sort_values(["a", "r", "b"], ascending=[True, False, True]).groupby("a").head(k + 1)
+        same, out, told = key[:2] == key[2:], [], leaves(m.rename(columns=lambda c: c.removeprefix("m_")))
+        for g, vectors, center, radius in leaves(q):
+            own = []
+            for other, others, far, wide in told:
+                if np.arccos(np.clip(center @ far, -1, 1)) - radius - wide > theta + SLACK:
+                    continue
+                sims = vectors @ others.T
+                r, c = np.nonzero(sims >= threshold)
+                hit = sims[r, c]
+                own.append(pd.DataFrame({"a": g[r], "b": other[c], "similarity": hit, "r": hit.round(9)}))
+            if own:
+                found = pd.concat(own)
+                out.append(first(found))
+                if not same:
+                    out.append(first(found.rename(columns={"a": "b", "b": "a"})))
+        if not out:
+            return pd.DataFrame({"a": [], "b": [], "similarity": []})
+        return first(pd.concat(out))[["a", "b", "similarity"]]
 
     found = queries.groupBy(*key).cogroup(rows.groupBy(*[f"m_{c}" for c in key])).applyInPandas(best, "a bigint, b bigint, similarity double")
     order = [F.desc(F.round("similarity", 9)), F.asc("b")]
