@@ -1,8 +1,8 @@
 """Search by a posting table of n-grams: written once, kept up by deltas, read once for any number of terms.
 
-Units of text are articles (title, URL, description, topic), keywords and categories.  A posting says that a unit holds a gram of two or three
-characters, in lower case; postings lie in buckets of grams, sorted, so that a search opens only the buckets of its grams and skips row
-groups.  Of each term's grams the rarest few are met first; units that have all of them are verified against their current text.  Postings of
+Units of text are articles (title, URL, description, topic), keywords and categories.  A posting says that a unit holds a gram of three
+characters (or the two a text ends in), in lower case; a gram of two is met by the postings that begin with it.  Postings lie in buckets by
+their first two characters, sorted, so that a search opens only the buckets of its grams and skips row groups.  Of each term's grams the rarest few are met first; units that have all of them are verified against their current text.  Postings of
 older versions of a text do no harm, as the verification drops them: a delta only adds.
 """
 
@@ -32,17 +32,20 @@ def units(t: Tables) -> DataFrame:
     return rows
 
 
-def grams(text: Column, n: int) -> Column:
-    """All stretches of n characters of a text."""
-    count = F.greatest(F.length(text) - (n - 1), F.lit(0))
-    return F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+def bucket_of(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(gram, 1, SHORTEST)), F.lit(BUCKETS)).cast("int")
 
 
 def postings(units_: DataFrame) -> DataFrame:
-    """(gram, kind, id, bucket): each gram of a unit once; shorter stretches at the end of a text do no harm."""
-    both = units_.select("kind", "id", F.explode("texts").alias("text")).select("kind", "id", F.explode(F.array_distinct(F.concat(grams(F.col("text"), SHORTEST), grams(F.col("text"), GRAM)))).alias("gram"))
-    full = both.filter(F.length("gram") >= SHORTEST).distinct()
-    return full.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
+    """(gram, kind, id, bucket): each gram of a unit once, told apart within the row.  The stretches of a text that are left at its end are
+    shorter than a gram: that of two characters is needed for terms of two."""
+    found = F.array_distinct(F.flatten(F.transform("texts", lambda x: F.filter(ends(x), lambda g: F.length(g) >= SHORTEST))))
+    return units_.select("kind", "id", F.explode_outer(found).alias("gram")).filter("gram IS NOT NULL").withColumn("bucket", bucket_of(F.col("gram")))
+
+
+def ends(text: Column) -> Column:
+    """The stretches of `GRAM` characters that begin at each character but the last, the final one being shorter."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (SHORTEST - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM)))
 
 
 class SearchIndex:
@@ -60,7 +63,8 @@ class SearchIndex:
     def _postings(self, pairs: DataFrame, buckets: Sequence[int]) -> DataFrame:
         found = self.spark.read.schema("gram string, kind string, id bigint, bucket int").parquet(f"{self.path}/postings")
         # named buckets and grams: other folders and row groups are not opened
-        return found.filter(F.col("bucket").isin(*buckets)).join(F.broadcast(pairs), "gram")
+        met = found.filter(F.col("bucket").isin(*buckets)).select("kind", "id", F.explode(F.array_distinct(F.array("gram", F.substring("gram", 1, SHORTEST)))).alias("gram"))
+        return met.join(F.broadcast(pairs), "gram")
 
     def candidates(self, terms: Sequence[str]) -> DataFrame:
         """(term, kind, id): units that hold the rarest grams of a term.  One scan of the postings counts the grams, one more meets them."""
@@ -68,7 +72,7 @@ class SearchIndex:
         parts = [(q, x) for q in terms for x in re.split(r"[%_\\]", q.lower()) if len(x) >= SHORTEST]
         wanted = sorted({(q, x[i : i + n]) for q, x in parts for n in [min(GRAM, len(x))] for i in range(len(x) - n + 1)})
         pairs = self.spark.createDataFrame(wanted, "term string, gram string")
-        buckets = [r.b for r in pairs.select(F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()] or [-1]
+        buckets = [r.b for r in pairs.select(bucket_of(F.col("gram")).alias("b")).distinct().collect()] or [-1]
         met = self._postings(pairs.select("gram").distinct(), buckets)
         # as many rows as the terms have grams
         counts = {r.gram: r.n for r in met.groupBy("gram").agg(F.count("*").alias("n")).collect()}
