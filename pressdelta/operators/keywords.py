@@ -105,9 +105,15 @@ def _scalar(one_row: DataFrame, column: str) -> Column:
 
 
 def zero_filled(trends: DataFrame, first_day, last_day) -> DataFrame:
-    """Long series with a row for every day of the span."""
-    spine = trends.select("term").distinct().withColumn("d", F.explode(day_spine(as_date(first_day), as_date(last_day))))
-    return spine.join(trends.select("term", "d", "n"), ["term", "d"], "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
+    """Long series with a row for every day of the span.
+
+    A term's days come together once; the days it lacks are added to them in the same task, so the filled rows, which are many more than
+    the counts, are not shuffled or joined.  A term that is null has no counts."""
+    first, last = as_date(first_day), as_date(last_day)
+    inside = F.col("term").isNotNull() & F.col("d").between(first, last)
+    days = trends.groupBy("term").agg(F.collect_list(F.when(inside, F.struct("d", F.coalesce("n", F.lit(0)).alias("n")))).alias("known"))
+    lacking = F.transform(F.array_except(day_spine(first, last), F.transform("known", lambda x: x["d"])), lambda d: F.struct(d.alias("d"), F.lit(0).cast("bigint").alias("n")))
+    return days.select("term", F.inline_outer(F.concat("known", lacking)))
 
 
 def movers(metrics: DataFrame, mode: str = "count", k: int = 10, min_total: int = 3) -> DataFrame:
