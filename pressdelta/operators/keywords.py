@@ -12,6 +12,8 @@ from pressdelta.sources.tables import Tables
 
 # articles of a keyword in one block of the neighbour join
 BLOCK = 2000
+# pairs of articles a task of the neighbour join holds
+PAIRS_PER_TASK = 1_000_000
 
 
 def keyword_opts(t: Tables, p: FilterParams = FilterParams(), limit: int = 80) -> DataFrame:
@@ -160,11 +162,16 @@ def neighbours(t: Tables, overview: DataFrame | None = None, ids: DataFrame | No
 
     Score is the sum of 1/sqrt(df) over the shared keywords.  The articles of a keyword are dealt into blocks of `BLOCK` on one
     side of the join, and the other side is sent to every block, so a keyword that many articles carry is worked on by many
-    tasks; pairs are summed on the map side before they are shuffled, and the ranking runs in two rounds.  `own` and `max_df`
+    tasks; the number of tasks follows the number of pairs, so that none holds more of them when the input grows, and the ranking runs
+    in two rounds.  Without `own` and `ids` a pair counts the same for both articles: it is summed once and then turned round.  `own` and `max_df`
     leave keywords out if asked for: all but the first of an article, and those of more articles.
     """
     df = keyword_dfs(t)
     df = df if max_df is None else df.filter(F.col("df") <= max_df)
+    total = df.agg(F.sum(F.col("df") * F.col("df"))).first()[0] or 0
+    session = df.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-total // PAIRS_PER_TASK))
+    both = own is None and ids is None
     links = t.article_keywords.join(df, "keyword_id").select("article_id", "keyword_id", (F.lit(1.0) / F.sqrt("df")).alias("w"), F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
     # rank before the frequency cut: the first keywords of an article are chosen among all of its keywords
     mine = t.article_keywords if own is None else top_per_group(t.article_keywords, ["article_id"], [F.asc("keyword_id")], own, spread=["keyword_id"]).drop("rn")
@@ -172,8 +179,13 @@ def neighbours(t: Tables, overview: DataFrame | None = None, ids: DataFrame | No
     if ids is not None:
         mine = mine.join(ids.select("article_id").distinct(), "article_id", "left_semi")
     other = links.withColumn("block", F.pmod(F.xxhash64("article_id"), F.col("blocks")).cast("int")).withColumnRenamed("article_id", "neighbour_id").drop("blocks")
-    pairs = mine.join(other, ["keyword_id", "block"]).filter(F.col("article_id") != F.col("neighbour_id"))
-    scored = pairs.groupBy("article_id", "neighbour_id").agg(F.sum("w").alias("score"), F.count("*").alias("shared")).filter(F.col("shared") >= min_shared)
+    dealt = lambda d: d.repartition(parts, "keyword_id", "block")
+    pairs = dealt(mine).join(dealt(other), ["keyword_id", "block"]).filter(F.col("article_id") < F.col("neighbour_id") if both else F.col("article_id") != F.col("neighbour_id"))
+    scored = pairs.select("article_id", "neighbour_id", "w").repartition(parts, "article_id", "neighbour_id").groupBy("article_id", "neighbour_id").agg(F.sum("w").alias("score"), F.count("*").alias("shared")).filter(F.col("shared") >= min_shared)
+    if both:
+        way = lambda a, n: F.struct(F.col(a).alias("article_id"), F.col(n).alias("neighbour_id"))
+        ways = F.explode(F.array(way("article_id", "neighbour_id"), way("neighbour_id", "article_id")))
+        scored = scored.select(ways.alias("p"), "score", "shared").select("p.*", "score", "shared")
     best = top_per_group(scored, ["article_id"], [F.desc(F.round("score", 9)), F.asc("neighbour_id")], k, spread=["neighbour_id"])
     if overview is None:
         return best.select("article_id", "neighbour_id", "rn", "score", "shared")
