@@ -382,7 +382,9 @@ UNION ALL SELECT 'keywords', count(*) FROM d_article_keywords WHERE article_id N
 def _(spark, d):
     t = rt.prune(domain(spark, d, "articles", "snapshots", "article_keywords"), NOW, 2)
     n = lambda df, name: df.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
-    return n(t.articles, "articles").union(n(t.snapshots, "snapshots")).union(n(t.snapshots.filter("added IS NOT NULL"), "texts")).union(n(t.article_keywords, "keywords"))
+    # both counts of snapshots in one pass
+    counts = t.snapshots.agg(F.count("*").alias("n"), F.count("added").alias("texts")).select(F.inline(F.array(F.struct(F.lit("snapshots").alias("what"), "n"), F.struct(F.lit("texts").alias("what"), F.col("texts").alias("n")))))
+    return n(t.articles, "articles").union(counts).union(n(t.article_keywords, "keywords"))
 
 
 # --- links -----------------------------------------------------------------------------------------------------------------------------------
