@@ -82,9 +82,9 @@ FROM ({ARTICLES}) x"""
 
 def captures(spark, d):
     text = CAPTURE.replace("{ARTICLES}", "{articles}").replace("VARCHAR(40)", "STRING")
-    made = spark.sql(text.replace("({articles})", "{articles}"), articles=derive(spark, d, "articles"))
-    # stored captures would be split by files; the made ones are spread so that parsing uses all cores
-    return made.repartition(spark.sparkContext.defaultParallelism, "id")
+    # stored captures would be split by files; the made ones are spread so that parsing uses all cores, before the pages are made of them
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.sql(text.replace("({articles})", "{articles}"), articles=derive(spark, d, "articles").repartition(parts, "id"))
 
 
 CAP_SQL = "cap AS MATERIALIZED (" + CAPTURE.replace("{ARTICLES}", "SELECT * FROM d_articles").replace("{{", "{").replace("}}", "}") + ")"
