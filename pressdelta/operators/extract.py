@@ -309,8 +309,9 @@ def mirror_paywall(articles: DataFrame, signals: DataFrame) -> DataFrame:
 
 def backfill_paywall(articles: DataFrame, captures: DataFrame) -> DataFrame:
     """Articles marked as paid whose page says it is free, and nowhere that it is not, become free."""
-    flagged, free, closed = _flags(F.col("ld"))
-    sure = with_jsonld(captures).filter(flagged).groupBy("url").agg(F.bool_or(free).alias("f"), F.bool_or(closed).alias("c")).filter("f AND NOT c").select("url", F.lit(True).alias("__free"))
+    # pages without a flag are neither free nor closed; no filter asks for the parsed blocks a second time
+    _, free, closed = _flags(F.col("ld"))
+    sure = with_jsonld(captures).groupBy("url").agg(F.bool_or(free).alias("f"), F.bool_or(closed).alias("c")).filter("f AND NOT c").select("url", F.lit(True).alias("__free"))
     return articles.join(sure, "url", "left").withColumn("paywalled", F.when(F.col("__free") & F.col("paywalled"), F.lit(False)).otherwise(F.col("paywalled"))).select(*articles.columns)
 
 
