@@ -43,7 +43,7 @@ def pair_tags(o: Column, n: Column) -> Column:
     Words are cut once per row; set differences are hashed array operations, and the lists with repeats are only built
     from them where a tag can still apply.
     """
-    words = F.struct(split_words(o).alias("ow"), norm_words(o).alias("on"), norm_words(n).alias("nn"), number_tokens(o).alias("onum"), number_tokens(n).alias("nnum"))
+    words = F.struct(norm_words(o).alias("on"), norm_words(n).alias("nn"), number_tokens(o).alias("onum"), number_tokens(n).alias("nnum"))
 
     def sets(w: Column) -> Column:
         diff = F.struct(F.array_except(w["on"], w["nn"]).alias("rem"), F.array_except(w["nn"], w["on"]).alias("add"),
@@ -54,7 +54,8 @@ def pair_tags(o: Column, n: Column) -> Column:
 
 
 def _tags(o: Column, n: Column, w: Column, d: Column) -> Column:
-    within = lambda xs, changed, lexicon: occurrences(F.filter(xs, lambda x: x.isin(*lexicon)), changed)
+    # few words change: the long lists are only gone through for those that are in the lexicon
+    within = lambda xs, changed, lexicon: let(F.filter(changed, lambda x: x.isin(*lexicon)), lambda few: F.when(F.size(few) == 0, few).otherwise(occurrences(xs, few)))
     marks = F.struct(within(w["nn"], d["add"], K.HEDGE_WORDS).alias("hedge_in"), within(w["on"], d["rem"], K.HEDGE_WORDS).alias("hedge_out"),
                      within(w["nn"], d["add"], K.HEAT_WORDS).alias("heat_in"), within(w["on"], d["rem"], K.HEAT_WORDS).alias("heat_out"), _factual(w, d).alias("fact"))
     return let(marks, lambda m: _tag_list(o, n, w, d, m))
@@ -95,7 +96,7 @@ def _tag_list(o: Column, n: Column, w: Column, d: Column, m: Column) -> Column:
     word = lambda xs: q(F.coalesce(_first(xs), F.lit("nach Angaben")))
     hedge_reason = F.when(hedged, F.concat(F.lit("Absicherung eingefügt: "), word(m["hedge_in"]))).otherwise(F.concat(F.lit("Absicherung entfernt: "), word(m["hedge_out"])))
     role = F.exists(d["add"], lambda x: x.isin(*K.ROLE_WORDS))
-    lost_names = F.when(role, F.filter(w["ow"], lambda x: is_name(x) & F.array_contains(d["rem"], norm_token(x)) & ~norm_token(x).isin(*K.HEDGE_WORDS)))
+    lost_names = F.when(role, F.filter(split_words(o), lambda x: is_name(x) & F.array_contains(d["rem"], norm_token(x)) & ~norm_token(x).isin(*K.HEDGE_WORDS)))
     name_reason = F.concat(F.lit("Name entfernt: "), q(F.array_join(F.transform(F.slice(lost_names, 1, 2), strip_punct), " ")))
     hot, cold = F.size(m["heat_in"]), F.size(m["heat_out"])
     sharper = (hot > 0) & (hot >= cold) & ~m["fact"]
@@ -130,7 +131,8 @@ def classify_snapshots(snapshots: DataFrame, limit: int | None = None, key: str
     items = F.coalesce(c("changes"), F.array().cast("array<struct<old:string,new:string>>"))
     with_title = F.concat(items, F.when(title & body, F.array(F.struct(c("title_old").alias("old"), c("title_new").alias("new")))).otherwise(F.array().cast("array<struct<old:string,new:string>>")))
     rows = snapshots.select(key, F.posexplode(with_title).alias("pos", "x")).select(key, "pos", F.nullif("x.old", F.lit("")).alias("old"), F.nullif("x.new", F.lit("")).alias("new"))
-    both = with_pair_tags(rows.filter(c("old").isNotNull() & c("new").isNotNull())).select(key, "pos", F.posexplode("tags").alias("i", "t"))
+    # a pair has a tag at least; the outer form keeps Spark from asking for the tags a second time to see that
+    both = with_pair_tags(rows.filter(c("old").isNotNull() & c("new").isNotNull())).select(key, "pos", F.posexplode_outer("tags").alias("i", "t"))
     one = rows.filter(c("old").isNull() != c("new").isNull()).select(key, "pos", F.lit(0).alias("i"), F.when(c("old").isNull(), F.struct(F.lit("addition").alias("key"), F.lit("Absatz hinzugefügt").alias("reason"))).otherwise(
         F.struct(F.lit("deletion").alias("key"), F.lit("Absatz entfernt").alias("reason"))).cast(TAG).alias("t"))
     show = snapshots.filter(title & ~body).select(key, F.lit(0).alias("pos"), F.lit(0).alias("i"), F.struct(F.lit("showcase").alias("key"), F.lit("nur die Überschrift, Text unverändert").alias("reason")).cast(TAG).alias("t"))
