@@ -42,6 +42,34 @@ def test_tiles_and_pairs(spark):
     assert found == {(i, j + 1): pytest.approx(best[i, j], abs=1e-5) for i in range(400) for j in range(5) if best[i, j] >= 0.3}
 
 
+def test_tiles_meet_without_shuffle(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    vectors = rnd.normal(size=(300, 5)).astype(np.float32)
+    vectors[280:] = vectors[3]
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(vectors)] + [(1000, None)]
+    v = spark.createDataFrame(rows, "article_id bigint, embedding array<float>")
+    plans, counts = {}, {}
+
+    def written(df, name, plain=cl.written):
+        plans[name] = physical(df)
+        out = plain(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(cl, "written", written)
+    found = {(r.article_id, r.rn): (r.neighbour_id, round(r.similarity, 6)) for r in cl.similar_pairs(v, 4, 0.2, 16, 4).collect()}
+    # tiles are read from the table by the tasks that need them; what a task finds is whole
+    left = plans["ball-near"].split("CartesianProduct")[1].split("Exchange")[0]
+    assert "Coalesce 1" in left and "FileScan parquet" in left and counts["ball-cells"] > 4
+    assert counts["ball-near"] <= 5 * 281
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    sims = unit @ unit.T
+    for i in range(300):
+        best = sorted((-round(sims[i, j], 9), j) for j in range(300) if j != i and sims[i, j] >= 0.2)[:4]
+        assert [found[i, r + 1][1] for r in range(len(best))] == [pytest.approx(-s, abs=1e-5) for s, _ in best] and (i, len(best) + 1) not in found
+    assert not any(1000 in (a, b) for (a, _), (b, _) in found.items())
+
+
 def test_postings_without_shuffle(spark):
     u = spark.createDataFrame([("article", 1, ["abcab", "abx"]), ("article", 2, ["ab", ""]), ("article", 3, ["a"])], "kind string, id bigint, texts array<string>")
     p = sr.postings(u)
