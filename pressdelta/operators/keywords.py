@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pressdelta.functions.timeutil import as_date, as_ts, axis_time, berlin_day, day_spine
 from pressdelta.operators.filters import FilterParams, select_articles
-from pressdelta.plans.patterns import small, top_per_group
+from pressdelta.plans.patterns import small, top_per_group, written
 from pressdelta.sources.tables import Tables
 
 
@@ -14,6 +14,8 @@ from pressdelta.sources.tables import Tables
 BLOCK = 2000
 # pairs of articles a task of the neighbour join holds
 PAIRS_PER_TASK = 1_000_000
+# keywords of an article up to which each of its links carries tags of the others
+TAGS = 128
 
 
 def keyword_opts(t: Tables, p: FilterParams = FilterParams(), limit: int = 80) -> DataFrame:
@@ -160,28 +162,61 @@ def neighbours(t: Tables, overview: DataFrame | None = None, ids: DataFrame | No
                min_shared: int = 2, k: int = 8) -> DataFrame:
     """Articles that share rare keywords: (article_id, neighbour_id, score, shared, cross).
 
-    Score is the sum of 1/sqrt(df) over the shared keywords.  The articles of a keyword are dealt into blocks of `BLOCK` on one
-    side of the join, and the other side is sent to every block, so a keyword that many articles carry is worked on by many
+    Score is the sum of 1/sqrt(df) over the shared keywords.  Articles meet by keyword.  Each link carries 16-bit tags of the article's other
+    keywords, so that two articles which share nothing else are known when they meet, and such pairs, nearly all, are never shuffled; equal
+    tags of different keywords let a few through, which the exact count then drops.  Links of an article with more than `TAGS` keywords carry no tags.
+
+    The articles of a keyword are dealt into blocks of `BLOCK` that meet in pairs, so a keyword that many articles carry is worked on by many
     tasks; the number of tasks follows the number of pairs, so that none holds more of them when the input grows, and the ranking runs
     in two rounds.  Without `own` and `ids` a pair counts the same for both articles: it is summed once and then turned round.  `own` and `max_df`
     leave keywords out if asked for: all but the first of an article, and those of more articles.
     """
-    df = keyword_dfs(t)
+    # keywords of each article, with repeats; links without an article only count for their keywords
+    lone = F.when(F.col("article_id").isNull(), F.col("keyword_id")).alias("lone")
+    by_article = t.article_keywords.select("article_id", "keyword_id", lone).repartition("article_id", "lone").groupBy("article_id", "lone")
+    lists = written(by_article.agg(F.array_sort(F.collect_list("keyword_id")).alias("keywords"), F.count_if(F.col("keyword_id").isNull()).cast("int").alias("blank")), "article-keywords")
+    df = written(lists.select(F.explode("keywords").alias("keyword_id")).groupBy("keyword_id").agg(F.count("*").alias("df")), "keyword-df")
     df = df if max_df is None else df.filter(F.col("df") <= max_df)
     total = df.agg(F.sum(F.col("df") * F.col("df"))).first()[0] or 0
     session = df.sparkSession
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-total // PAIRS_PER_TASK))
     both = own is None and ids is None
-    links = t.article_keywords.join(df, "keyword_id").select("article_id", "keyword_id", (F.lit(1.0) / F.sqrt("df")).alias("w"), F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
-    # rank before the frequency cut: the first keywords of an article are chosen among all of its keywords
-    mine = t.article_keywords if own is None else top_per_group(t.article_keywords, ["article_id"], [F.asc("keyword_id")], own, spread=["keyword_id"]).drop("rn")
-    mine = mine.join(df, "keyword_id").select("article_id", "keyword_id", F.explode(F.sequence(F.lit(0), F.ceil(F.col("df") / BLOCK).cast("int") - 1)).alias("block"))
-    if ids is not None:
-        mine = mine.join(ids.select("article_id").distinct(), "article_id", "left_semi")
-    other = links.withColumn("block", F.pmod(F.xxhash64("article_id"), F.col("blocks")).cast("int")).withColumnRenamed("article_id", "neighbour_id").drop("blocks")
-    dealt = lambda d: d.repartition(parts, "keyword_id", "block")
-    pairs = dealt(mine).join(dealt(other), ["keyword_id", "block"]).filter(F.col("article_id") < F.col("neighbour_id") if both else F.col("article_id") != F.col("neighbour_id"))
-    scored = pairs.select("article_id", "neighbour_id", "w").repartition(parts, "article_id", "neighbour_id").groupBy("article_id", "neighbour_id").agg(F.sum("w").alias("score"), F.count("*").alias("shared")).filter(F.col("shared") >= min_shared)
+    # at most one in BLOCK links
+    often = small(written(df.filter(F.col("df") > BLOCK).select("keyword_id", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks")), "keyword-blocks"))
+    tagged = min_shared > 1
+
+    def links(of: DataFrame) -> DataFrame:
+        found = _links(of, tagged)
+        found = found if max_df is None else found.join(df.select("keyword_id"), "keyword_id", "left_semi")
+        return found.join(often, "keyword_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("article_id"), F.col("blocks")).cast("int"))
+
+    bits = F.aggregate("tags", F.lit(0).cast("bigint"), lambda x, tag: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), tag.cast("int").bitwiseAND(F.lit(63)))))
+    all_links = lists.filter(F.col("article_id").isNotNull())
+    if both:
+        # a block meets each block of its keyword, itself too, in one cell
+        cells = links(all_links).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("article_id", "keyword_id", "tags", "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+        key = ["keyword_id", "lo", "hi"]
+        mine = other = cells.repartition(parts, *key)
+    else:
+        # rank before the frequency cut: the first keywords of an article are chosen among all of its keywords
+        first = all_links if own is None else all_links.withColumn("keywords", F.slice("keywords", F.lit(1), F.greatest(F.lit(own) - F.col("blank"), F.lit(0))))
+        if ids is not None:
+            first = first.join(ids.select("article_id").distinct(), "article_id", "left_semi")
+        key = ["keyword_id", "block"]
+        mine = links(first).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("article_id", "tags", *key).repartition(parts, *key)
+        other = links(all_links).select("article_id", "tags", *key).repartition(parts, *key)
+    mine = mine.withColumn("bits", bits)
+    other = other.withColumn("bits", bits).select(*key, *[F.col(c).alias(n) for c, n in (("article_id", "neighbour_id"), ("tags", "n_tags"), ("bits", "n_bits"), ("block", "n_block")) if n != "n_block" or both])
+    pairs = mine.join(other, key)
+    if both:
+        pairs = pairs.filter((F.col("article_id") < F.col("neighbour_id")) & ((F.col("lo") == F.col("hi")) | (F.col("block") != F.col("n_block"))))
+    else:
+        pairs = pairs.filter(F.col("article_id") != F.col("neighbour_id"))
+    # unknown without tags
+    pairs = pairs.filter(F.coalesce((F.col("bits").bitwiseAND(F.col("n_bits")) != 0) & F.arrays_overlap("tags", "n_tags"), F.lit(True)))
+    weighed = pairs.select("article_id", "neighbour_id", "keyword_id").join(df.select("keyword_id", (F.lit(1.0) / F.sqrt("df")).alias("w")), "keyword_id")
+    scored = weighed.groupBy("article_id", "neighbour_id").agg(F.sum("w").alias("score"), F.count("*").alias("shared")).filter(F.col("shared") >= min_shared)
     if both:
         way = lambda a, n: F.struct(F.col(a).alias("article_id"), F.col(n).alias("neighbour_id"))
         ways = F.explode(F.array(way("article_id", "neighbour_id"), way("neighbour_id", "article_id")))
@@ -189,7 +224,21 @@ def neighbours(t: Tables, overview: DataFrame | None = None, ids: DataFrame | No
     best = top_per_group(scored, ["article_id"], [F.desc(F.round("score", 9)), F.asc("neighbour_id")], k, spread=["neighbour_id"])
     if overview is None:
         return best.select("article_id", "neighbour_id", "rn", "score", "shared")
-    facts = overview.select(F.col("article_id").alias("neighbour_id"), F.col("source_id").alias("n_source"), "title", "outlet", "country")
-    home = overview.select("article_id", F.col("source_id").alias("a_source"))
+    best = written(best.select("article_id", "neighbour_id", "rn", "score", "shared"), "article-neighbours")
+    # one pass over the articles, with what the pairs need of them
+    named = small(best.select("article_id").union(best.select("neighbour_id")).distinct())
+    told = written(overview.select("article_id", "source_id", "title", "outlet", "country").join(named, "article_id", "left_semi"), "neighbour-facts")
+    facts = told.select(F.col("article_id").alias("neighbour_id"), F.col("source_id").alias("n_source"), "title", "outlet", "country")
+    home = told.select("article_id", F.col("source_id").alias("a_source"))
     return (best.join(facts, "neighbour_id").join(home, "article_id")
             .select("article_id", "neighbour_id", "rn", "score", "shared", "title", "outlet", "country", (F.col("n_source") != F.col("a_source")).alias("cross")))
+
+
+def _links(lists: DataFrame, tagged: bool) -> DataFrame:
+    """(article_id, keyword_id, tags): tags of the article's other keywords; null where they cannot tell, as when the keyword comes twice."""
+    tags = F.transform("keywords", lambda x: (F.pmod(F.xxhash64(x), F.lit(65536)) - 32768).cast("smallint"))
+    rows = lists.select("article_id", "keywords", (tags if tagged else F.lit(None).cast("array<smallint>")).alias("tags")).select("article_id", F.posexplode("keywords").alias("at", "keyword_id"), "keywords", "tags")
+    same = lambda at: F.coalesce(F.get("keywords", at) == F.col("keyword_id"), F.lit(False))
+    alone = ~same(F.col("at") - 1) & ~same(F.col("at") + 1) & (F.size("keywords") <= TAGS)
+    others = F.concat(F.slice("tags", F.lit(1), F.col("at")), F.slice("tags", F.col("at") + 2, F.size("keywords")))
+    return rows.select("article_id", "keyword_id", F.when(alone, others).alias("tags"))

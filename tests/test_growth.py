@@ -1,6 +1,7 @@
 """Steps that must not grow faster than their input: plans, and the same values as the plain forms."""
 
 import datetime as dt
+import random
 import re
 
 import numpy as np
@@ -92,6 +93,37 @@ def test_neighbours_tasks_follow_pairs(spark, monkeypatch):
         assert [(-round(r.score, 9), r.neighbour_id, r.shared) for r in best.filter(F.col("article_id") == a).orderBy("rn").collect()] == want
 
 
+def test_neighbours_leave_out_single_keywords_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(kw, "BLOCK", 5)
+    monkeypatch.setattr(kw, "TAGS", 6)
+    rnd = random.Random(4)
+    links = [(a, 0) for a in range(30)] + [(a, rnd.randrange(1, 25)) for a in range(30) for _ in range(a % 9)]
+    links += [(3, 0), (4, 7), (4, 7), (None, 0), (None, 7), (5, None), (5, None), (-1, 1)]
+    t = Tables(article_keywords=spark.createDataFrame(links, "article_id bigint, keyword_id bigint"))
+    df = {k: sum(x == k for _, x in links) for k in range(25)}
+    whole = {a: [k for x, k in links if x == a and k is not None] for a, _ in links if a is not None}
+    # null comes first in the order of keywords
+    first = {a: sorted(x)[:max(0, 3 - sum((y, k) == (a, None) for y, k in links))] for a, x in whole.items()}
+
+    def want(mine, k, min_shared=2, most=99):
+        out = {}
+        for a, own in mine.items():
+            shared = {b: [x for x in own for y in other if x == y and df[x] <= most] for b, other in whole.items() if b != a}
+            for i, (s, b, n) in enumerate(sorted((-round(sum(df[x] ** -0.5 for x in xs), 9), b, len(xs)) for b, xs in shared.items() if len(xs) >= min_shared)[:k]):
+                out[a, i + 1] = (b, pytest.approx(-s, abs=1e-8), n)
+        return out
+
+    got = lambda best: {(r.article_id, r.rn): (r.neighbour_id, r.score, r.shared) for r in best.collect()}
+    best = kw.neighbours(t, k=4)
+    assert "arrays_overlap" in physical(best)
+    assert got(best) == want(whole, 4)
+    assert got(kw.neighbours(t, k=50, max_df=20)) == want(whole, 50, most=20)
+    assert got(kw.neighbours(t, k=4, own=3)) == want(first, 4)
+    assert got(kw.neighbours(t, k=4, min_shared=1)) == want(whole, 4, 1)
+    ids = spark.createDataFrame([(3,), (17,), (3,), (-1,)], "article_id bigint")
+    assert got(kw.neighbours(t, ids=ids, k=4, min_shared=3)) == want({a: whole[a] for a in (3, 17, -1)}, 4, 3)
+
+
 def test_zero_filled_without_join(spark):
     d = lambda n: dt.date(2024, 1, n)
     rows = spark.createDataFrame([("a", d(2), 3), ("a", d(2), 3), ("a", d(9), 4), ("b", d(9), 1), (None, d(1), 5), ("c", None, 2)], "term string, d date, n bigint")
